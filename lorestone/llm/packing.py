@@ -7,6 +7,10 @@ cuts at multiples of the window; a document that crosses a boundary leaves one r
 
 from __future__ import annotations
 
+import functools
+import re
+import struct
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,8 +20,11 @@ from .common import prefix_sums, read, stage
 
 WINDOW = 4096
 END_ID = 2
-KEPT_WORDS = 400_000  # words whose ids a worker keeps; more than these are looked up anew, with the same result
-SLICE_CHARS = 8_000_000
+KEPT_WORDS = 900_000  # words whose ids a worker keeps; beyond these it begins anew, with the same result
+SLICE_CHARS = 1_000_000
+SLICE_ROWS = 256
+ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+COMBINING = re.compile("[\u0300-\u036f]")
 PIECES = "doc_id {id}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -25,7 +32,8 @@ class WordTokenizer:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
     Ids are looked up word by word between spaces and line feeds. That equals the tokenizer's own result on the whole text if its
-    pre-tokenizer drops white space and never joins characters across it, as word_bpe_49k's does; ``spaced`` says so.
+    normalizer lowers case and its pre-tokenizer drops white space, never joins characters across it and splits letters from
+    punctuation, as word_bpe_49k's do; ``spaced`` says so. Else texts are encoded whole.
     """
 
     def __init__(self, path: str, end_id: int, spaced: bool = True):
@@ -37,27 +45,71 @@ class WordTokenizer:
         self.kept: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: set[str]) -> None:
+        """Afterwards ``kept`` has all of ``words``."""
+        new = words.difference(self.kept)
+        stopped = [w for w in new if len(w) > 1 and w[-1] in ".," and "a" <= w[-2] <= "z"]  # the stop is a token of its own
+        if stopped:
+            new.difference_update(stopped)
+            new.update(w for x in stopped for w in (x[:-1], x[-1]) if w not in self.kept)
+        plain = list(new)
+        for i in range(0, len(plain), 5000):
+            self.kept.update(zip(plain[i : i + 5000], self._ids(plain[i : i + 5000]), strict=True))
+        get = self.kept.__getitem__
+        self.kept.update([(w, get(w[:-1]) + get(w[-1])) for w in stopped])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.spaced:
             return [ids + self.end for ids in self._ids(texts)]
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*split).difference(self.kept)) if split else []
-        if len(self.kept) + len(new) > KEPT_WORDS:
-            self.kept = {}
-            new = list(set().union(*split))
-        self.kept.update(zip(new, self._ids(new), strict=True))
+        split = [_lowered(t).replace("\n", " ").split(" ") for t in texts]
+        if len(self.kept) > KEPT_WORDS:
+            self.kept.clear()
+        self._learn(set().union(*split))
         get = self.kept.__getitem__
         return [b"".join(map(get, words)) + self.end for words in split]
 
 
+def _lowered(text: str) -> str:
+    """A-Z lowered ahead of the tokenizer, unless that could make a special token or another composed character."""
+    if "<|" in text or not text.isascii() and COMBINING.search(text):
+        return text
+    return text.encode().translate(ASCII_LOWER).decode()
+
+
+@functools.lru_cache(maxsize=2)
+def coder_for(path: str, end_id: int, spaced: bool) -> WordTokenizer:
+    """One for each worker process, so that its words outlive a task."""
+    return WordTokenizer(path, end_id, spaced)
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def slices(batches):
+    """Arrow batches of few rows, for bounded memory."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(k, SLICE_ROWS)
+
+
+def _short(texts: list[str]):
+    """Lists of about SLICE_CHARS characters, or of one longer text."""
+    out, chars = [], 0
+    for t in texts:
+        if out and chars + len(t) > SLICE_CHARS:
+            yield out
+            out, chars = [], 0
+        out.append(t)
+        chars += len(t)
+    if out:
+        yield out
+
+
 def tokenize(docs: DataFrame, id_col: str, text_col: str, tokenizer: str | None, end_id: int = END_ID, spaced: bool = True) -> DataFrame:
     """One row per document: doc_id, ids (end id included), part, before (the ids ahead of it in its partition). A null text is an empty one.
 
@@ -68,23 +120,14 @@ def tokenize(docs: DataFrame, id_col: str, text_col: str, tokenizer: str | None,
     def run(batches):
         from pyspark import TaskContext
 
-        coder = WordTokenizer(tokenizer or default_tokenizer(), end_id, spaced)
+        coder = coder_for(tokenizer or default_tokenizer(), end_id, spaced)
         part, before = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            at = 0
-            while at < len(texts):
-                end, chars = at, 0
-                while end < len(texts) and (end == at or chars + len(texts[end]) <= SLICE_CHARS):
-                    chars += len(texts[end])
-                    end += 1
-                ids = coder.encode(texts[at:end])
-                counts = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-                starts = before + np.cumsum(counts) - counts
-                before += int(counts.sum())
-                n = end - at
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(ids, pa.binary()), pa.array(np.full(n, part, np.int32)), pa.array(starts)], names=["doc_id", "ids", "part", "before"])
-                at = end
+        for batch in slices(batches):
+            ids = [x for part_texts in _short([t or "" for t in batch.column(1).to_pylist()]) for x in coder.encode(part_texts)]
+            counts = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+            starts = before + np.cumsum(counts) - counts
+            before += int(counts.sum())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(np.full(len(ids), part, np.int32)), pa.array(starts)], names=["doc_id", "ids", "part", "before"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, ids binary, part int, before long")
 
@@ -103,17 +146,16 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     firsts = held.sparkSession.sparkContext.broadcast(np.array([first.get(p, 0) for p in range(max(first, default=0) + 1)], dtype=np.int64))
 
     def cut(batches):
-        for batch in batches:
-            ids = batch.column(1)
-            size = np.array([len(x) // 4 for x in ids.to_pylist()], dtype=np.int64) if len(ids) else np.zeros(0, np.int64)
-            at = firsts.value[batch.column(2).to_numpy()] + batch.column(3).to_numpy() if len(ids) else size
+        for batch in slices(batches):
+            whole = batch.column(1).to_pylist()
+            size = np.array([len(x) // 4 for x in whole], dtype=np.int64)
+            at = firsts.value[batch.column(2).to_numpy()] + batch.column(3).to_numpy()
             lo, hi = at // window, (at + size - 1) // window
             pieces = hi - lo + 1
             row = np.repeat(np.arange(len(size)), pieces)
             seq = lo[row] + np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
             start = np.maximum(seq * window, at[row]) - at[row]
             end = np.minimum((seq + 1) * window, at[row] + size[row]) - at[row]
-            whole = ids.to_pylist()
             cuts = [whole[r][4 * a : 4 * b] for r, a, b in zip(row.tolist(), start.tolist(), end.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(row)), pa.array(start), pa.array(end - start), pa.array(cuts, pa.binary()), pa.array(size[row]), pa.array(seq), pa.array(at[row] + start - seq * window)],
