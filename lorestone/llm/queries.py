@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import packing, sharding, url_filter
+from . import decontaminate, packing, sharding, url_filter
 
 QUERIES = {
     "op1_feistel_sharding": sharding.op1_feistel_sharding,
     "op2_wildcard_automaton": url_filter.op2_wildcard_automaton,
     "op4_concatenate_and_cut": packing.op4_concatenate_and_cut,
+    "op7_fm_index": decontaminate.op7_fm_index,
 }
 
 ORACLE_SQL = {
