@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import SIMPLE, WordMerges
 from .common import prefix_sums, read, stage
 
 WINDOW = 4096
@@ -43,6 +44,10 @@ class WordTokenizer:
         self.end = np.array([end_id], "<u4").tobytes()
         self.spaced = spaced
         self.kept: dict[str, bytes] = {}
+        try:
+            self.merges = WordMerges(path) if spaced else None
+        except ValueError:
+            self.merges = None
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -54,9 +59,12 @@ class WordTokenizer:
         if stopped:
             new.difference_update(stopped)
             new.update(w for x in stopped for w in (x[:-1], x[-1]) if w not in self.kept)
-        plain = list(new)
-        for i in range(0, len(plain), 5000):
-            self.kept.update(zip(plain[i : i + 5000], self._ids(plain[i : i + 5000]), strict=True))
+        simple = [w for w in new if SIMPLE.fullmatch(w)] if self.merges else []
+        self.kept.update(zip(simple, self.merges.encode(simple) if simple else [], strict=True))
+        new.difference_update(simple)
+        other = list(new)
+        for i in range(0, len(other), 5000):
+            self.kept.update(zip(other[i : i + 5000], self._ids(other[i : i + 5000]), strict=True))
         get = self.kept.__getitem__
         self.kept.update([(w, get(w[:-1]) + get(w[-1])) for w in stopped])
 
