@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, sharding, url_filter
+from . import decontaminate, packing, sharding, toxicity, url_filter
 
 QUERIES = {
     "op1_feistel_sharding": sharding.op1_feistel_sharding,
     "op2_wildcard_automaton": url_filter.op2_wildcard_automaton,
     "op4_concatenate_and_cut": packing.op4_concatenate_and_cut,
     "op7_fm_index": decontaminate.op7_fm_index,
+    "op8_naive_bayes_ngrams": toxicity.op8_naive_bayes_ngrams,
 }
 
 ORACLE_SQL = {

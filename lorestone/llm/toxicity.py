@@ -1,8 +1,8 @@
 """Toxicity by a character n-gram linear classifier whose features are scaled by naive Bayes log-count ratios.
 
 A document's features are the distinct character n-grams of its lower-cased words, hashed into buckets. On a bounded sample of labelled
-rows, bucket j gets the log-count ratio r[j] of naive Bayes; a logistic regression is trained on the features scaled by r, its
-weights folded into one number for each bucket. Scoring sums those numbers over a document's distinct n-grams.
+rows, bucket j gets the log-count ratio r[j] of naive Bayes; a logistic regression is trained on the telling features scaled by r,
+its weights folded into one number for each bucket. Scoring sums those numbers over a document's distinct n-grams.
 """
 
 from __future__ import annotations
@@ -15,10 +15,11 @@ from pyspark.sql import types as T
 
 from .common import read, stage
 
-SIZES = (3, 4, 5)
-BITS = 18
+SIZES = (3, 4, 5, 6)
+BITS = 20
 MAX_ROWS = 16_384  # labelled rows that are used at most, chosen by a hash of their ids
-MAX_FEATURES = 1 << 15  # buckets with the largest ratios, which enter the regression
+TELLING = 4.0  # standard deviations by which a bucket's share of toxic rows must differ from all rows' to enter the regression
+MAX_FEATURES = 1 << 16  # the most telling ones, if there are more
 SAMPLE_PARTS = 16
 THRESHOLD = 0.7
 STEPS = 200
@@ -103,8 +104,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
         return np.zeros(n), 20.0 if rows[1] else -20.0
     share = (found + 1) / (rows[:, None] + 2)
     ratio = np.log(share[1] / share[0])
-    order = np.argsort(-np.abs(ratio) * np.sqrt(found.sum(0)), kind="stable")[:MAX_FEATURES]
-    chosen = order[found.sum(0)[order] > 1]
+    total, toxic = found.sum(0), rows[1] / rows.sum()
+    telling = np.abs(found[1] - total * toxic) / np.sqrt(total * toxic * (1 - toxic) + 0.5)
+    chosen = np.argsort(-telling, kind="stable")[:MAX_FEATURES]
+    chosen = chosen[(telling[chosen] >= TELLING) & (total[chosen] > 1)]
     place = np.full(n, -1)
     place[chosen] = np.arange(len(chosen))
     places = docs.sparkSession.sparkContext.broadcast(place)
