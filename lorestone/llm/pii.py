@@ -349,5 +349,6 @@ def redact(docs: DataFrame, text_col: str = "text", model: Boosted | None = None
 def op3_candidate_boosting(spark, sf_dir: str) -> DataFrame:
     found = find(read(spark, sf_dir, "documents").select("doc_id", "text"))
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    counts = [count(k) for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
