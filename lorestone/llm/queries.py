@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, pii, sharding, toxicity, url_filter
+from . import decontaminate, packing, pii, sharding, toxicity, url_filter, vptree
 
 QUERIES = {
     "op1_feistel_sharding": sharding.op1_feistel_sharding,
@@ -11,8 +11,10 @@ QUERIES = {
     "op4_concatenate_and_cut": packing.op4_concatenate_and_cut,
     "op7_fm_index": decontaminate.op7_fm_index,
     "op8_naive_bayes_ngrams": toxicity.op8_naive_bayes_ngrams,
+    "op9_vantage_points": vptree.op9_vantage_points,
 }
 
 ORACLE_SQL = {
     "op2_wildcard_automaton": url_filter.OP2_SQL,
+    "op9_vantage_points": vptree.OP9_SQL,
 }
