@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, pii, sharding, toxicity, url_filter, vptree
+from . import decontaminate, html_extract, packing, pii, sharding, toxicity, url_filter, vptree
 
 QUERIES = {
     "op1_feistel_sharding": sharding.op1_feistel_sharding,
     "op2_wildcard_automaton": url_filter.op2_wildcard_automaton,
     "op3_candidate_boosting": pii.op3_candidate_boosting,
     "op4_concatenate_and_cut": packing.op4_concatenate_and_cut,
+    "op5_wrapper_induction": html_extract.op5_wrapper_induction,
     "op7_fm_index": decontaminate.op7_fm_index,
     "op8_naive_bayes_ngrams": toxicity.op8_naive_bayes_ngrams,
     "op9_vantage_points": vptree.op9_vantage_points,
