@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, packing, pii, sharding, toxicity, url_filter, vptree
+from . import decontaminate, html_extract, near_dedup, packing, pii, sharding, toxicity, url_filter, vptree
 
 QUERIES = {
     "op1_feistel_sharding": sharding.op1_feistel_sharding,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_candidate_boosting": pii.op3_candidate_boosting,
     "op4_concatenate_and_cut": packing.op4_concatenate_and_cut,
     "op5_wrapper_induction": html_extract.op5_wrapper_induction,
+    "op6_hamming_join": near_dedup.op6_hamming_join,
     "op7_fm_index": decontaminate.op7_fm_index,
     "op8_naive_bayes_ngrams": toxicity.op8_naive_bayes_ngrams,
     "op9_vantage_points": vptree.op9_vantage_points,
