@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, near_dedup, packing, pii, sharding, toxicity, url_filter, vptree
+from . import decontaminate, html_extract, near_dedup, packing, pii, sharding, suffix_dedup, toxicity, url_filter, vptree
 
 QUERIES = {
     "op1_feistel_sharding": sharding.op1_feistel_sharding,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_fm_index": decontaminate.op7_fm_index,
     "op8_naive_bayes_ngrams": toxicity.op8_naive_bayes_ngrams,
     "op9_vantage_points": vptree.op9_vantage_points,
+    "op10_difference_cover": suffix_dedup.op10_difference_cover,
 }
 
 ORACLE_SQL = {
