@@ -3,8 +3,9 @@
 A signature has CHUNKS * WIDTH minima of b bits. Two signatures that differ in at most CHUNKS * (ERRORS + 1) - 1 minima differ in at most
 ERRORS of some chunk (pigeonhole), so enumerating every way to leave ERRORS minima out of each chunk gives both a common key: no pair under that
 distance is missed. A pair with a similarity of 0.8 exceeds it with a chance of about 1e-5. Documents with equal shingle sets are one node from
-the start. Links are confirmed on the full sets. Only components are asked for, so a bucket first links its members to one centre,
-a row for each member; after that only pairs of different components are compared, in blocks of bounded size.
+the start. Only components are asked for, so a bucket of one key gives a spanning forest of its pairs within the distance, not all of them; the forests
+join nodes into coarse groups that hold every link. Inside a group links are confirmed on the full sets, again as a spanning forest.
+Large buckets and groups are dealt out by pairs of blocks of bounded size, so that no task needs one whole.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ WORDS, PERCENT = 5, 80
 CHUNKS, WIDTH, ERRORS = 15, 5, 1
 SIZE = CHUNKS * WIDTH
 MOST = CHUNKS * (ERRORS + 1) - 1  # minima that may differ
-ROUNDS = 2
-BLOCK = 2048
+BLOCK = 2048  # rows of a block at most
+BLOCK_SHINGLES = 2_000_000  # and shingles, unless one document has more
+CHUNK_ROWS = 20_000
 KEPT_WORDS = 500_000
 BROADCAST_IDS = 1_000_000  # ids of 8 bytes that are sent to the executors at most; more are joined
 SLICE = 4096
@@ -127,54 +129,157 @@ def _keys(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", "sig").mapInArrow(run, "key long, id long")
 
 
-def _close(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
-    """Which rows of two arrays of signatures can be similar: within the distance, and sizes that allow it."""
-    return ((a != b).sum(axis=-1) <= MOST) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
-
-
-def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b, distance) of the pairs (a, b) whose signatures are within the distance."""
-    side = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
+class Forest:
+    """Links between the rows of a group that join different parts; ``part`` names each row's part."""
+
+    def __init__(self, n: int):
+        self.part = np.arange(n)
+        self.links: list[tuple[int, int]] = []
+
+    def join(self, i: int, others: np.ndarray) -> None:
+        for j in others.tolist():
+            if self.part[j] != self.part[i]:
+                self.part[self.part == self.part[j]] = self.part[i]
+                self.links.append((i, j))
+
+
+def _blocked(rows: DataFrame, blocks) -> DataFrame:
+    """Adds own, lo and hi: a row goes to every pair of blocks (lo, hi) that has its own block."""
+    held = rows.withColumn("_blocks", blocks.cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
+    held = held.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    return held.withColumns({"lo": F.least("own", "_other"), "hi": F.greatest("own", "_other")}).drop("_blocks", "_other")
+
+
+def _chunks(batches, keys: int, rows: int, size_col: int | None = None, most: int = 0):
+    """Record batches sorted by their first ``keys`` columns, as tables that end between groups and have about ``rows`` rows or ``most`` in a column's sum."""
+    held, n, total = [], 0, 0
+    for batch in batches:
+        cut = 0
+        if n >= rows or (most and total >= most):
+            ends = np.zeros(batch.num_rows, bool)
+            last = held[-1]
+            for k in range(keys):
+                col = batch.column(k).to_numpy()
+                ends |= col != np.concatenate([last.column(k).to_numpy()[-1:], col[:-1]])
+            first = np.flatnonzero(ends)
+            if len(first):
+                cut = int(first[0])
+                if cut:
+                    held.append(batch.slice(0, cut))
+                yield pa.Table.from_batches(held)
+                held, n, total = [], 0, 0
+        held.append(batch.slice(cut))
+        n += batch.num_rows - cut
+        if most:
+            total += int(batch.column(size_col).slice(cut).to_numpy().sum())
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def _groups(table: pa.Table, keys: int) -> tuple[np.ndarray, np.ndarray]:
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for k in range(keys):
+        col = table.column(k).to_numpy()
+        new[1:] |= col[1:] != col[:-1]
+    begin = np.flatnonzero(new)
+    return begin, np.concatenate([begin[1:], [table.num_rows]])
+
+
+def _allowed(na, nb, percent: int):
+    return 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
+
+
+def _pairs_batch(a: list[int], b: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _coarse(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): spanning forests of the pairs within the distance in each bucket."""
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    rows = _blocked(members.join(sizes, "key"), F.ceil(F.col("size") / BLOCK)).join(nodes.select("id", "n", "sig"), "id")
+    rows = rows.select("key", "lo", "hi", "own", "id", "n", "sig").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "n")
 
     def run(batches):
-        for batch in batches:
-            sa, sb = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SIZE) for k in (4, 5))
-            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            ok = pa.array(_close(sa, sb, na, nb, percent))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok), pa.array((sa != sb).sum(axis=1)).filter(ok)], names=["a", "b", "distance"])
-
-    return both.mapInArrow(run, "a long, b long, distance long")
-
-
-def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * |intersection| >= percent * |union|, counted on the full sets."""
-    pairs = stage(pairs.select("a", "b").distinct(), "near-pairs")
-    ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids")
+        for table in _chunks(batches, 3, CHUNK_ROWS):
+            own, ids, n = (table.column(k).to_numpy() for k in (3, 4, 5))
+            sig = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint8).reshape(-1, SIZE)
+            begin, end = _groups(table, 3)
+            two = begin[end - begin == 2]
+            ok = ((sig[two] != sig[two + 1]).sum(axis=1) <= MOST) & _allowed(n[two], n[two + 1], percent)
+            a, b = ids[two[ok]].tolist(), ids[two[ok] + 1].tolist()
+            for lo, hi in zip(begin[end - begin > 2].tolist(), end[end - begin > 2].tolist(), strict=True):
+                f = Forest(hi - lo)
+                s, m, o = sig[lo:hi], n[lo:hi], own[lo:hi]
+                for i in range(hi - lo - 1):
+                    j = i + 1 + np.flatnonzero((f.part[i + 1 :] != f.part[i]) & _allowed(m[i + 1 :], m[i], percent))
+                    if len(j):
+                        f.join(i, j[(s[j] != s[i]).sum(axis=1) <= MOST])
+                a += [int(ids[lo + i]) for i, _ in f.links]
+                b += [int(ids[lo + j]) for _, j in f.links]
+            yield _pairs_batch(a, b)
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def _full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(id, shingles) of the documents with these ids."""
     few = ids.count() <= BROADCAST_IDS
-    needed = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    needed = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("id"), "left_semi")
 
-    def full(batches):
+    def run(batches):
         shingles = shingles_for(words)
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t.as_py() or b"").tobytes() for t in part.column(1)], pa.binary())], names=["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t.as_py() or b"").tobytes() for t in part.column(1)], pa.binary())], names=["id", "shingles"])
+
+    return needed.select("doc_id", "text").mapInArrow(run, "id long, shingles binary")
+
+
+def _linked(ids: np.ndarray, own: np.ndarray, sets: list[np.ndarray], sig: np.ndarray, apart: bool, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the confirmed links of one group (of two blocks, if ``apart``: then links inside a block are another group's)."""
+    n = np.array([len(s) for s in sets])
+    f = Forest(len(ids))
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(n) - n
+    mark = np.zeros(int(flat.max(initial=-1)) + 1, bool)
+    for i in range(len(ids) - 1):
+        j = i + 1 + np.flatnonzero((f.part[i + 1 :] != f.part[i]) & _allowed(n[i + 1 :], n[i], percent) & ((own[i + 1 :] != own[i]) | (not apart)))
+        j = j[(sig[j] != sig[i]).sum(axis=1) <= MOST]
+        if not len(j):
+            continue
+        mine = flat[starts[i] : starts[i] + n[i]]
+        mark[mine] = True
+        size = n[j]
+        at = np.repeat(starts[j] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        common = np.add.reduceat(mark[flat[at]].astype(np.int64), np.cumsum(size) - size)
+        mark[mine] = False
+        f.join(i, j[100 * common >= percent * (n[i] + size - common)])
+    return [(int(ids[i]), int(ids[j])) for i, j in f.links]
+
+
+def _confirmed(groups: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): spanning forests of the links inside the coarse groups (id, component): 100 * |intersection| >= percent * |union| on the full sets."""
+    known = groups.join(nodes.select("id", "n", "sig"), "id")
+    sizes = known.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"))
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("total") / BLOCK_SHINGLES))
+    rows = _blocked(known.join(sizes, "component"), blocks)
+    rows = rows.join(_full_sets(docs, groups.select("id"), words), "id")
+    rows = rows.select("component", "lo", "hi", "own", "id", "n", "sig", "shingles").repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "n")
 
-    sets = needed.select("doc_id", "text").mapInArrow(full, "doc_id long, shingles binary")
-    sets = stage(sets, "near-sets")
-    both = pairs.join(sets.withColumnsRenamed({"doc_id": "b", "shingles": "sb"}), "b").join(sets.withColumnsRenamed({"doc_id": "a", "shingles": "sa"}), "a").select("a", "b", "sa", "sb")
-
-    def confirm(batches):
-        for batch in batches:
-            ok = []
-            for sa, sb in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(sa.as_py(), U), np.frombuffer(sb.as_py(), U)
-                common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                ok.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_())), batch.column(1).filter(pa.array(ok, pa.bool_()))], names=["a", "b"])
+    def run(batches):
+        for table in _chunks((b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)), 3, CHUNK_ROWS, 5, BLOCK_SHINGLES // 2):
+            low, high, own, ids = (table.column(k).to_numpy() for k in (1, 2, 3, 4))
+            sig = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint8).reshape(-1, SIZE)
+            sets = [np.frombuffer(x.as_py(), U) for x in table.column(7)]
+            links = []
+            for lo, hi in zip(*(x.tolist() for x in _groups(table, 3)), strict=True):
+                if hi - lo > 1:
+                    links += _linked(ids[lo:hi], own[lo:hi], sets[lo:hi], sig[lo:hi], bool(low[lo] != high[lo]), percent)
+            yield _pairs_batch([a for a, _ in links], [b for _, b in links])
 
-    return stage(both.mapInArrow(confirm, "a long, b long").distinct(), "near-links")
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -198,45 +303,6 @@ def components(edges: DataFrame) -> DataFrame:
         now = stage(small, "stars")
 
 
-def _labelled(rows: DataFrame, labels: DataFrame, id_col: str = "id") -> DataFrame:
-    """Adds ``component``: an id without a label is one of its own."""
-    named = labels.withColumnsRenamed({"id": id_col})
-    return rows.join(named, id_col, "left").withColumn("component", F.coalesce("component", id_col))
-
-
-def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b) in one bucket but in different components whose signatures are within the distance.
-
-    A bucket of more than BLOCK members is dealt out by blocks: each pair of blocks is a group of its own.
-    """
-    named = _labelled(members, labels)
-    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("key", "size")
-    rows = stage(named.join(mixed, "key").join(nodes.select("id", "n", "sig"), "id"), "near-buckets")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    dealt = rows.withColumns({"blocks": blocks, "own": own}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "component", "n", "sig")
-
-    def run(table: pa.Table) -> pa.Table:
-        ids, comp, n, own = (table.column(c).to_numpy() for c in ("id", "component", "n", "own"))
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, SIZE)
-        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        order = np.argsort(n, kind="stable")
-        ids, comp, n, own, sig = ids[order], comp[order], n[order], own[order], sig[order]
-        out_a, out_b = [], []
-        for i in range(len(ids) - 1):
-            end = int(np.searchsorted(n, 100 * int(n[i]) // percent, side="right"))  # larger ones are too large
-            j = np.arange(i + 1, end)
-            j = j[(comp[j] != comp[i]) & ((own[j] != own[i]) if lo != hi else True)]
-            if len(j):
-                j = j[_close(sig[j], sig[i], n[j], n[i], percent)]
-                out_a += np.minimum(ids[j], ids[i]).tolist()
-                out_b += np.maximum(ids[j], ids[i]).tolist()
-        return pa.table([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
-
-    return dealt.groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long").distinct()
-
-
 def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``; links join texts with 100 * |intersection| >= percent * |union| of their shingle sets.
 
@@ -251,21 +317,10 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
     members = stage(keys.join(shared, "key"), "near-members")
     # rows that repeat an id with another text are linked through the id
-    edges = some.select("f1", "f2", "n", "doc_id").join(nodes, ["f1", "f2", "n"]).select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
-    edges = same = stage(edges, "near-same")
-    labels = same.where("false").select(F.col("a").alias("id"), F.col("b").alias("component"))
-    for r in range(ROUNDS):
-        centres = members.groupBy("key").agg(F.min_by("id", F.xxhash64("id", F.lit(r)) if r else F.col("id")).alias("centre"))
-        pairs = members.join(centres, "key").where("id <> centre").groupBy(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).agg(F.count(F.lit(1)).alias("times"))
-        if r:
-            pairs = _labelled(_labelled(pairs, labels, "a").withColumnRenamed("component", "ca"), labels, "b").where("ca <> component").select("a", "b")
-        near = _near(pairs.select("a", "b"), nodes, percent)
-        # the closest centre of each; the others wait for the comparison across components
-        best = near.groupBy("b").agg(F.min_by("a", F.struct("distance", "a")).alias("a")).unionAll(near.groupBy("a").agg(F.min_by("b", F.struct("distance", "b")).alias("b")).select("b", "a"))
-        edges = edges.unionAll(_confirmed(best, docs, words, percent))
-        labels = stage(components(edges), "near-components")
-    edges = edges.unionAll(_confirmed(_across(members, labels, nodes, percent), docs, words, percent))
-    labels = stage(components(edges), "near-components")
+    groups = stage(components(_coarse(members, nodes, percent)), "near-groups")
+    # rows that repeat an id with another text are linked through the id
+    same = some.select("f1", "f2", "n", "doc_id").join(nodes, ["f1", "f2", "n"]).select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
+    labels = stage(components(same.unionAll(_confirmed(groups, nodes, docs, words, percent))), "near-components")
     out = signed.select("doc_id", F.col("n").alias("n_shingles")).join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
