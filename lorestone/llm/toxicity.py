@@ -21,6 +21,7 @@ MAX_ROWS = 16_384  # labelled rows that are used at most, chosen by a hash of th
 TELLING = 4.0  # standard deviations by which a bucket's share of toxic rows must differ from all rows' to enter the regression
 MAX_FEATURES = 1 << 16  # the most telling ones, if there are more
 SAMPLE_PARTS = 16
+CHUNKS = 64
 THRESHOLD = 0.7
 STEPS = 200
 PENALTY = 1e-4
@@ -57,8 +58,8 @@ class Grams:
 def _trained(features: list[np.ndarray], y: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression on features scaled by ``scale``, by accelerated full-batch descent; classes weigh alike."""
     size = np.array([len(f) for f in features])
-    row, col = np.repeat(np.arange(len(features)), size), np.concatenate(features) if len(features) else np.zeros(0, np.int64)
-    value = scale[col]
+    row, col = np.repeat(np.arange(len(features), dtype=np.int32), size), np.concatenate(features) if len(features) else np.zeros(0, np.int32)
+    value = scale[col].astype(np.float64)
     norm = np.sqrt(np.maximum(np.bincount(row, value**2, minlength=len(y)), 1.0))
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     bound = float((weight * norm**2).sum()) / 4 + PENALTY
@@ -94,23 +95,30 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 found[int(y > 0), grams(text.as_py() or "")] += 1
                 rows[int(y > 0)] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([rows[0]]), pa.array([rows[1]]), pa.array([found.tobytes()], pa.binary())], names=["n0", "n1", "found"])
-
-    found, rows = np.zeros((2, n)), np.zeros(2)
-    for r in sample.mapInArrow(count, "n0 long, n1 long, found binary").toLocalIterator():  # SAMPLE_PARTS rows of fixed size
-        found += np.frombuffer(r["found"], np.int32).reshape(2, n)
-        rows += (r["n0"], r["n1"])
+        parts = [found[:, k : k + n // CHUNKS].tobytes() for k in range(0, n, n // CHUNKS)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CHUNKS), pa.int64()), pa.array(np.full(CHUNKS, rows[0])), pa.array(np.full(CHUNKS, rows[1])), pa.array(parts, pa.binary())], names=["chunk", "n0", "n1", "found"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py(), np.int32) for x in table.column("found"))
+        return pa.table([table.column("chunk").slice(0, 1), pa.array([sum(table.column("n0").to_pylist())]), pa.array([sum(table.column("n1").to_pylist())]), pa.array([total.tobytes()], pa.binary())], names=["chunk", "n0", "n1", "found"])
+
+    shape = "chunk long, n0 long, n1 long, found binary"
+    found, rows = np.zeros((2, n), np.float32), np.zeros(2)
+    for r in sample.mapInArrow(count, shape).groupBy("chunk").applyInArrow(add, shape).toLocalIterator():  # CHUNKS rows of fixed size
+        found[:, r["chunk"] * (n // CHUNKS) : (r["chunk"] + 1) * (n // CHUNKS)] = np.frombuffer(r["found"], np.int32).reshape(2, -1)
+        rows[:] = r["n0"], r["n1"]
     if not rows.all():
-        return np.zeros(n), 20.0 if rows[1] else -20.0
+        return np.zeros(n, np.float32), 20.0 if rows[1] else -20.0
     share = (found + 1) / (rows[:, None] + 2)
     ratio = np.log(share[1] / share[0])
     total, toxic = found.sum(0), rows[1] / rows.sum()
     telling = np.abs(found[1] - total * toxic) / np.sqrt(total * toxic * (1 - toxic) + 0.5)
     chosen = np.argsort(-telling, kind="stable")[:MAX_FEATURES]
     chosen = chosen[(telling[chosen] >= TELLING) & (total[chosen] > 1)]
-    place = np.full(n, -1)
+    place = np.full(n, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-    places = docs.sparkSession.sparkContext.broadcast(place)
+    context = docs.sparkSession.sparkContext
+    places, scales = context.broadcast(place), context.broadcast(ratio[chosen])
 
     def select(batches):
         grams = Grams(bits)
@@ -118,17 +126,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
             kept = []
             for text in batch.column(1):
                 f = places.value[grams(text.as_py() or "")]
-                kept.append(np.sort(f[f >= 0]).astype(np.int32).tobytes())
+                kept.append(np.sort(f[f >= 0]).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary())], names=["y", "features"])
 
-    features, y = [], []
-    for r in sample.mapInArrow(select, "y int, features binary").toLocalIterator():  # at most max_rows rows of MAX_FEATURES numbers
-        features.append(np.frombuffer(r["features"], np.int32))
-        y.append(int(r["y"] > 0))
-    folded, bias = _trained(features, np.array(y), ratio[chosen])
-    weights = np.zeros(n)
-    weights[chosen] = folded
-    return weights, bias
+    def fit(batches):
+        features, y = [], []
+        for batch in batches:
+            features += [np.frombuffer(f.as_py(), np.int32) for f in batch.column(1)]
+            y += batch.column(0).to_pylist()
+        if y:
+            weights, bias = _trained(features, (np.array(y) > 0).astype(int), scales.value)
+            yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([float(bias)])], names=["weights", "bias"])
+
+    # at most max_rows rows of MAX_FEATURES numbers in one task
+    fitted = sample.mapInArrow(select, "y int, features binary").repartition(1).mapInArrow(fit, "weights binary, bias double").first()
+    weights = np.zeros(n, np.float32)
+    weights[chosen] = np.frombuffer(fitted["weights"])
+    return weights, fitted["bias"]
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text") -> DataFrame:
@@ -140,7 +154,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "tex
         weights, bias = shared.value
         grams = Grams(int(np.log2(len(weights))))
         for batch in batches:
-            z = np.array([weights[grams(t.as_py() or "")].sum() for t in batch.column(at)]) + bias
+            z = np.array([weights[grams(t.as_py() or "")].sum(dtype=np.float64) for t in batch.column(at)]) + bias
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))), pa.float64())], names=[*batch.schema.names, "score"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
