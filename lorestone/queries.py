@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "flagship"
+from lorestone.query_sets import chat, graph, pipelines, scalars, search, stats
+
+_ALL = {name: pair for module in (search, graph, stats, chat, scalars, pipelines) for name, pair in module.QUERIES.items()}
+QUERIES = {name: query for name, (query, _) in _ALL.items()}
+ORACLE_SQL = {name: sql for name, (_, sql) in _ALL.items() if sql is not None}
+FLAGSHIP = "hybrid_rrf"
