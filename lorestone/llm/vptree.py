@@ -54,7 +54,7 @@ class Tree:
         return len(self.nodes) - 1
 
     def search(self, q: np.ndarray, k: int, factor: float = FACTOR) -> tuple[np.ndarray, np.ndarray]:
-        """Distances and rows of the k nearest for each query, nearest first; inf and -1 where there are fewer."""
+        """Distances and rows of the k nearest for each query, nearest first, ties by the smaller row; inf and -1 where there are fewer."""
         best, rows = np.full((len(q), k), np.inf), np.full((len(q), k), -1)
         todo = [(self.root, np.arange(len(q)), np.zeros(len(q)), 0.0)]
         while todo:
@@ -70,7 +70,7 @@ class Tree:
                 who = some[hit]
                 both = np.concatenate([best[who], d[hit]], axis=1)
                 ids = np.concatenate([rows[who], np.broadcast_to(node[0], (len(who), len(node[0])))], axis=1)
-                order = np.argsort(both, axis=1, kind="stable")[:, :k]
+                order = np.lexsort((ids, both), axis=1)[:, :k]
                 best[who], rows[who] = np.take_along_axis(both, order, 1), np.take_along_axis(ids, order, 1)
                 continue
             vantage, inner, outer, near, far = node
@@ -90,6 +90,10 @@ def _shard_search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.n
     ids, x = ids[order], np.ascontiguousarray(x[order] + 0.0)  # no negative zeros
     same = x.view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel()
     _, first, inverse = np.unique(same, return_index=True, return_inverse=True)
+    by_id = np.argsort(first)  # so that of equal distances the vector with the smallest id is nearer
+    place = np.empty(len(first), np.int64)
+    place[by_id] = np.arange(len(first))
+    first, inverse = first[by_id], place[inverse]
     by = np.argsort(inverse, kind="stable")
     starts = np.concatenate([[0], np.cumsum(np.bincount(inverse))])
     best, rows = Tree(x[first]).search(q, k + 1, factor)
