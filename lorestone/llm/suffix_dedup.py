@@ -19,11 +19,10 @@ from .common import read, shuffle_partitions, stage
 
 LENGTH = 200
 GRAM = 64
-SHARD_BYTES = 1_000_000  # of text in one suffix array; below 2 ** 21 symbols, so that a triple fits in 63 bits
+SHARD_BYTES = 400_000  # of text in one suffix array; below 2 ** 21 symbols, so that a triple fits in 63 bits
 PIECE = 1 << 15  # windows of a segment at most; longer ones, of periodic text, are cut
 MANY = 1000  # segments of a name beyond which each is parted anew by longer substrings
 FINE_GRAM = 184
-BROADCAST_BYTES = 16 << 20
 U = np.uint64
 A, B = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 
@@ -100,6 +99,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     if name[-1] < len(sampled):
         names = np.empty(len(sampled), np.int64)
         names[order] = name
+        del triple, in_order, name, order  # the recursion needs the memory
         order = suffix_array(names)
     rank = np.zeros(n + 3, np.int64)
     places = sampled[order]
@@ -264,8 +264,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # rows that repeat an id and a text have the same segments twice; they are kept once here and counted below
     kept = named.join(shared, "name").groupBy("d", "h").agg(F.collect_set(F.struct("name", "lo", "hi", "again")).alias("parts"))  # of one document
     kept = stage(kept, "repeats-shared")
-    size = kept.agg(F.sum(F.size("parts") * 16 + 16)).first()[0] or 0
-    cut = stage(_cut(plain.join(F.broadcast(kept) if size <= BROADCAST_BYTES else kept, ["d", "h"]), length), "repeats-segments")
+    cut = stage(_cut(plain.join(kept, ["d", "h"]), length), "repeats-segments")
     groups = cut.groupBy("name", "f1", "f2").agg(F.count(F.lit(1)).alias("times"), F.first("piece").alias("piece"), F.first("n").alias("n"), F.max("again").alias("again"))
     groups = stage(groups, "repeats-groups")
     by_name = groups.groupBy("name").agg(F.count(F.lit(1)).alias("kinds"))
@@ -277,8 +276,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hits = cut.select("d", "h", "f1", "f2", F.col("lo").alias("at")).join(found, ["f1", "f2"]).select("d", "h", (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi"))
     spans = hits.groupBy("d", "h").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("_ranges"))  # of one document
     spans = stage(spans.withColumnsRenamed({"d": "_d", "h": "_h"}), "repeats-spans")
-    size = spans.agg(F.sum(F.size("_ranges") * 8 + 16)).first()[0] or 0
-    out = keyed.join(F.broadcast(spans) if size <= BROADCAST_BYTES else spans, ["_d", "_h"], "left")
+    out = keyed.join(spans, ["_d", "_h"], "left")
     one = "struct<start:bigint,end:bigint>"
 
     def add(done, r):
