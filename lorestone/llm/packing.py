@@ -21,12 +21,14 @@ from .common import prefix_sums, read, stage
 
 WINDOW = 4096
 END_ID = 2
-KEPT_WORDS = 900_000  # words whose ids a worker keeps; beyond these it begins anew, with the same result
+KEPT_WORDS = 600_000  # words whose ids a worker keeps; beyond these it begins anew, with the same result
 SLICE_CHARS = 1_000_000
 SLICE_ROWS = 256
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Letters between runs of ASCII punctuation, which are pre-tokens of their own; apostrophes and what could begin a special token are left out.
+MARKS = r"[!-&(-/:;=-@\[-`{}~]*"
+PARTS = re.compile(f"({MARKS})({SIMPLE.pattern})({MARKS})")
 COMBINING = re.compile("[\u0300-\u036f]")
-PIECES = "doc_id {id}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 class WordTokenizer:
@@ -54,19 +56,27 @@ class WordTokenizer:
 
     def _learn(self, words: set[str]) -> None:
         """Afterwards ``kept`` has all of ``words``."""
-        new = words.difference(self.kept)
-        stopped = [w for w in new if len(w) > 1 and w[-1] in ".," and "a" <= w[-2] <= "z"]  # the stop is a token of its own
-        if stopped:
-            new.difference_update(stopped)
-            new.update(w for x in stopped for w in (x[:-1], x[-1]) if w not in self.kept)
-        simple = [w for w in new if SIMPLE.fullmatch(w)] if self.merges else []
-        self.kept.update(zip(simple, self.merges.encode(simple) if simple else [], strict=True))
-        new.difference_update(simple)
-        other = list(new)
+        kept = self.kept
+        kept[""] = b""
+        simple, parted, other = set(), [], []
+        for w in words.difference(kept):
+            if not self.merges:
+                other.append(w)
+            elif w.isalpha() and (w.isascii() or SIMPLE.fullmatch(w)):
+                simple.add(w)
+            elif m := PARTS.fullmatch(w):
+                a, b, c = m.groups()
+                parted.append((w, a, b, c))
+                if b not in kept:
+                    simple.add(b)
+                other += [x for x in (a, c) if x not in kept]
+            else:
+                other.append(w)
+        if simple:
+            kept.update(zip(simple, self.merges.encode(list(simple)), strict=True))
         for i in range(0, len(other), 5000):
-            self.kept.update(zip(other[i : i + 5000], self._ids(other[i : i + 5000]), strict=True))
-        get = self.kept.__getitem__
-        self.kept.update([(w, get(w[:-1]) + get(w[-1])) for w in stopped])
+            kept.update(zip(other[i : i + 5000], self._ids(other[i : i + 5000]), strict=True))
+        kept.update([(w, kept[a] + kept[b] + kept[c]) for w, a, b, c in parted])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.spaced:
@@ -151,27 +161,16 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     held = stage(tokenize(docs, id_col, text_col, tokenizer, end_id, spaced), "packing")
     totals = held.groupBy("part").agg(F.sum(F.octet_length("ids") / 4).cast("long").alias("n")).collect()  # a row for each partition
     first, _ = prefix_sums([(r["part"], r["n"]) for r in totals])
-    firsts = held.sparkSession.sparkContext.broadcast(np.array([first.get(p, 0) for p in range(max(first, default=0) + 1)], dtype=np.int64))
-
-    def cut(batches):
-        for batch in slices(batches):
-            whole = batch.column(1).to_pylist()
-            size = np.array([len(x) // 4 for x in whole], dtype=np.int64)
-            at = firsts.value[batch.column(2).to_numpy()] + batch.column(3).to_numpy()
-            lo, hi = at // window, (at + size - 1) // window
-            pieces = hi - lo + 1
-            row = np.repeat(np.arange(len(size)), pieces)
-            seq = lo[row] + np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            start = np.maximum(seq * window, at[row]) - at[row]
-            end = np.minimum((seq + 1) * window, at[row] + size[row]) - at[row]
-            cuts = [whole[r][4 * a : 4 * b] for r, a, b in zip(row.tolist(), start.tolist(), end.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row)), pa.array(start), pa.array(end - start), pa.array(cuts, pa.binary()), pa.array(size[row]), pa.array(seq), pa.array(at[row] + start - seq * window)],
-                names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
-            )
-
-    kind = held.schema["doc_id"].dataType.simpleString()
-    return held.select("doc_id", "ids", "part", "before").mapInArrow(cut, PIECES.format(id=kind))
+    firsts = held.sparkSession.createDataFrame(list(first.items()), "part int, first long")
+    at = held.join(F.broadcast(firsts), "part").select("doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("doc_tokens"), (F.col("first") + F.col("before")).alias("at"))
+    size = F.lit(window).cast("long")
+    reached = F.sequence(F.floor(F.col("at") / size), F.floor((F.col("at") + F.col("doc_tokens") - 1) / size))
+    cut = at.select("*", F.explode(reached).alias("sequence_id"))
+    start = F.greatest(F.col("sequence_id") * size, F.col("at")) - F.col("at")
+    end = F.least((F.col("sequence_id") + 1) * size, F.col("at") + F.col("doc_tokens")) - F.col("at")
+    cut = cut.withColumns({"start": start, "length": end - start})
+    piece = F.substring(F.col("ids"), (4 * F.col("start") + 1).cast("int"), (4 * F.col("length")).cast("int"))
+    return cut.select("doc_id", "start", "length", piece.alias("ids"), "doc_tokens", "sequence_id", (F.col("at") + F.col("start") - F.col("sequence_id") * size).alias("offset"))
 
 
 def digest(pieces: DataFrame) -> DataFrame:
