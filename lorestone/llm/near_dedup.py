@@ -27,7 +27,7 @@ MOST = CHUNKS * (ERRORS + 1) - 1  # minima that may differ
 BLOCK = 2048  # rows of a block at most
 BLOCK_SHINGLES = 2_000_000  # and shingles, unless one document has more
 CHUNK_ROWS = 20_000
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 BROADCAST_IDS = 1_000_000  # ids of 8 bytes that are sent to the executors at most; more are joined
 SLICE = 4096
 U = np.uint64
