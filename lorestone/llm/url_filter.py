@@ -20,7 +20,7 @@ from .common import lower_ascii, read
 #: (host, path, verdict); a rule holds for its host and all subdomains where the path starts with the rule's.
 HOST_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: Globs over "." + host + path that block a URL no rule speaks about.
-BLOCK_GLOBS = ("**.ads.**", "**.adserver.**", "*.cheap-*.*", "**/ads/**", "**/wp-login.php**", "*.casino-*.*")
+BLOCK_GLOBS = ("*.ads.**", "*.adserver.**", "*.cheap-*.**", "*.casino-*.**", "**/ads/**", "**/wp-login.php**")
 SLASH = 47
 
 
@@ -164,8 +164,8 @@ WITH u AS (
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow'
     WHEN rule IS NOT NULL THEN 'block'
-    WHEN contains('.' || host || path, '.ads.') OR contains('.' || host || path, '.adserver.') OR contains(path, '/ads/')
-      OR contains(path, '/wp-login.php') OR regexp_matches('.' || host || path, '^[^/]*\.(cheap|casino)-[^/]*\.[^/]*$') THEN 'block'
+    WHEN regexp_matches('.' || host || path, '^[^/]*\.(ads|adserver)\.') OR regexp_matches('.' || host || path, '^[^/]*\.(cheap|casino)-[^/]*\.')
+      OR contains(path, '/ads/') OR contains(path, '/wp-login.php') THEN 'block'
     ELSE 'allow' END AS verdict
 FROM r
 """
