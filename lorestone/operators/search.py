@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from lorestone.functions.text import tokens
 
 RRF_K, ALPHA, LIMIT = 60, 0.5, 10
-LEAST_DIMENSION, UNSEEN = 100, 0.1
 QUERY_ROWS = 10_000  # rows of a query block that are broadcast at most
 
 
@@ -84,11 +83,16 @@ def vocabulary_index(docs: DataFrame) -> DataFrame:
 
 
 def keyword(docs: DataFrame, queries: DataFrame, k: int = LIMIT) -> DataFrame:
-    """(query_id, id, score, rank) by the sum of products of positive weights; a query term that no text has weighs UNSEEN."""
-    weights = term_weights(docs)
-    asked = postings(queries.withColumnRenamed("query_id", "id")).withColumnRenamed("id", "query_id")
-    hits = postings(docs).join(weights.where("weight > 0"), "term").join(asked, "term")
-    scored = hits.groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * F.col("weight")), 6).alias("score"))
+    """(query_id, id, score, rank) by the sum of products of positive weights.
+
+    Only the terms that are asked for leave the scan of the texts; their frequencies, and so their weights, are those of the whole corpus.
+    """
+    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    here = postings(docs).join(query_block(asked.select("term").distinct()), "term", "left_semi")
+    n = docs.agg(F.count(F.lit(1)).alias("n"))
+    weight = F.round(F.greatest(F.lit(0.0), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))), 6)
+    weights = here.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n)).select("term", weight.alias("weight")).where("weight > 0")
+    scored = here.join(asked.join(weights, "term"), "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * F.col("weight")), 6).alias("score"))
     return top(scored, ["query_id"], k)
 
 
