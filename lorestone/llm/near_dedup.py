@@ -334,3 +334,32 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
 
 def op6_hamming_join(spark, sf_dir: str) -> DataFrame:
     return cluster(read(spark, sf_dir, "documents"), words=2)
+
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(w[k:k + 1], ' ') AS shingle FROM w, unnest(range(1, greatest(len(w) - 1, 1) + 1)) AS u(k) WHERE len(w) > 0
+), n AS MATERIALIZED (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), f AS (
+  SELECT shingle, count(*) AS df FROM s GROUP BY shingle
+), r AS MATERIALIZED (
+  SELECT doc_id, shingle, row_number() OVER (PARTITION BY doc_id ORDER BY df, shingle) AS place, n FROM s JOIN f USING (shingle) JOIN n USING (doc_id)
+), t AS MATERIALIZED (
+  SELECT doc_id, shingle, n FROM r WHERE place <= n - ceil(0.8 * n) + 1
+), c AS MATERIALIZED (
+  SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.shingle = b.shingle AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+), l AS MATERIALIZED (
+  SELECT a, b FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b AND x.shingle = y.shingle JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b
+  GROUP BY a, b, p.n, q.n HAVING 100 * count(*) >= 80 * (p.n + q.n - count(*))
+), e AS MATERIALIZED (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), g(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT g.doc_id, e.b FROM g JOIN e ON g.other = e.a
+), m AS (
+  SELECT doc_id, min(other) AS component_id FROM g GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)
+"""

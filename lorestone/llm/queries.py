@@ -18,6 +18,9 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op6_hamming_join": near_dedup.OP6_SQL,
+    "op7_fm_index": decontaminate.OP7_SQL,
+    "op10_difference_cover": suffix_dedup.OP10_SQL,
     "op2_wildcard_automaton": url_filter.OP2_SQL,
     "op9_vantage_points": vptree.OP9_SQL,
 }

@@ -320,3 +320,26 @@ def op10_difference_cover(spark, sf_dir: str) -> DataFrame:
     out = remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return out.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents
+), p AS MATERIALIZED (
+  SELECT doc_id, k, sha256(b[k:k + 199]) AS h FROM (SELECT doc_id, b, octet_length(b) AS n FROM d), unnest(range(1, n - 198)) AS u(k)
+), q AS (
+  SELECT doc_id, k FROM p WHERE h IN (SELECT h FROM p GROUP BY h HAVING count(*) > 1)
+), o AS (
+  SELECT doc_id, k, CASE WHEN k - lag(k) OVER (PARTITION BY doc_id ORDER BY k) <= 200 THEN 0 ELSE 1 END AS new FROM q
+), g AS (
+  SELECT doc_id, k, sum(new) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM o
+), r AS (
+  SELECT doc_id, run, min(k) AS lo, max(k) + 199 AS hi FROM g GROUP BY doc_id, run
+), z AS (
+  SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS last FROM r
+), y AS (
+  SELECT doc_id, count(*) AS n_spans, sum(hi - lo + 1) AS n_removed, max(hi) AS hi, string_agg(hex(b[last + 1:lo - 1]), '' ORDER BY lo) AS kept FROM z JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, octet_length(b) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  CASE WHEN n_spans IS NULL THEN sha256(b) ELSE sha256(unhex(kept || hex(b[y.hi + 1:]))) END AS kept_sha256 FROM d LEFT JOIN y USING (doc_id)
+"""
