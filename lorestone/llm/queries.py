@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_feistel_sharding": sharding.OP1_SQL,
     "op6_hamming_join": near_dedup.OP6_SQL,
     "op7_fm_index": decontaminate.OP7_SQL,
     "op10_difference_cover": suffix_dedup.OP10_SQL,
