@@ -1,11 +1,13 @@
 """Dense, sparse and fused search over chunk tables.
 
-Query sets are bounded blocks: dense queries are a stated set against all rows, joined by a broadcast whose size is checked; sparse scores come from an
+Dense queries are a stated set against all rows, taken in blocks of bounded size that are broadcast; sparse scores come from an
 equi join on terms. Scores are rounded before ranking, so that the order does not depend on how a sum was split; ties go to the smaller id.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +38,12 @@ def query_block(queries: DataFrame) -> DataFrame:
     return F.broadcast(queries) if queries.limit(QUERY_ROWS + 1).count() <= QUERY_ROWS else queries
 
 
+def query_blocks(queries: DataFrame) -> list[DataFrame]:
+    """The queries in broadcast blocks of about QUERY_ROWS rows, dealt by a hash of query_id."""
+    blocks = max(1, -(-queries.count() // QUERY_ROWS))
+    return [F.broadcast(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries) for b in range(blocks)]
+
+
 def top(scored: DataFrame, by: list[str], k: int, ascending: bool = False, id_col: str = "id") -> DataFrame:
     score = F.col("score").asc() if ascending else F.col("score").desc()
     order = Window.partitionBy(*by).orderBy(score, F.col(id_col))
@@ -45,7 +53,8 @@ def top(scored: DataFrame, by: list[str], k: int, ascending: bool = False, id_co
 def dense(rows: DataFrame, queries: DataFrame, k: int = LIMIT, metric: str = "cosine", threshold: float | None = None) -> DataFrame:
     """(query_id, id, score, rank). ``rows``: id, vector and whatever filter was applied; ``queries``: query_id, query."""
     measure, ascending = METRICS[metric]
-    scored = rows.join(query_block(queries)).select("query_id", "id", F.round(measure(F.col("vector"), F.col("query")), 6).alias("score"))
+    parts = [rows.join(block).select("query_id", "id", F.round(measure(F.col("vector"), F.col("query")), 6).alias("score")) for block in query_blocks(queries)]
+    scored = functools.reduce(DataFrame.unionAll, parts)
     if threshold is not None:
         scored = scored.where(F.col("score") <= threshold if ascending else F.col("score") >= threshold)
     return top(scored, ["query_id"], k, ascending)

@@ -98,7 +98,7 @@ def retrieval_metrics(spark, sf_dir):
     v = vectors(spark, sf_dir)
     asked = v.where(F.col("id") % 100 == 0)
     found = S.dense(v, asked.select(F.col("id").alias("query_id"), F.col("vector").alias("query")), 10)
-    relevant = v.join(F.broadcast(asked.select(F.col("id").alias("query_id"), "kind")), "kind").select("query_id", "id")
+    relevant = v.join(S.query_block(asked.select(F.col("id").alias("query_id"), "kind")), "kind").select("query_id", "id")
     return S.retrieval_metrics(found, relevant, 10)
 
 

@@ -26,6 +26,14 @@ def test_search_on_empty_and_zero(spark):
     assert S.keyword(spark.createDataFrame([], "id long, text string"), spark.createDataFrame([(1, "word")], "query_id long, text string")).count() == 0
 
 
+def test_search_in_blocks(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "id long, vector array<double>")
+    asked = rows.select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+    whole = sorted(map(tuple, S.dense(rows, asked, 3, "euclid").collect()))
+    monkeypatch.setattr(S, "QUERY_ROWS", 6)
+    assert sorted(map(tuple, S.dense(rows, asked, 3, "euclid").collect())) == whole
+
+
 def test_fusion_of_one_leg(spark):
     leg = spark.createDataFrame([(1, 5, 1), (1, 6, 2)], "query_id long, id long, rank int")
     got = S.fused(leg, leg.where("false")).orderBy("rank").collect()
