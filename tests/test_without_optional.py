@@ -1,5 +1,6 @@
 """The library without its optional subpackage and pipeline: the entry still imports and lists the other queries."""
 
+import os
 import shutil
 import subprocess
 import sys
@@ -11,7 +12,21 @@ ROOT = Path(__file__).resolve().parent.parent
 def test_entry_without_the_optional_part(tmp_path):
     shutil.copytree(ROOT / "lorestone", tmp_path / "lorestone", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; from lorestone.queries import QUERIES, ORACLE_SQL; assert e.queries() == QUERIES and e.oracle_sql() == ORACLE_SQL; print(len(QUERIES))"
+    code = "import __spark_entry__ as e; from lorestone.queries import QUERIES, ORACLE_SQL; assert set(e.queries()) == set(QUERIES) and e.oracle_sql() == ORACLE_SQL; print(len(QUERIES))"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=False)
     assert done.returncode == 0, done.stderr
     assert int(done.stdout) > 80
+
+
+def test_workers_find_the_package_from_any_folder(tmp_path):
+    code = f"""
+import sys
+sys.path.insert(0, {str(ROOT)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+import __spark_entry__ as e
+print(e.queries()["source_entities"](spark, "").count())
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True, check=False)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert int(done.stdout) > 20
