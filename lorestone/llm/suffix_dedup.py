@@ -4,7 +4,8 @@ A byte string of LENGTH bytes is a window. Suffixes that share a window must mee
 window is named by the least hash among its GRAM-byte substrings, which equal windows share, and neighbouring windows of one name form a
 segment. A name that one place of the corpus gave cannot belong to a repeated window, and segments with the same bytes are counted, not
 compared. What is left, different segments of one name, goes to shards; a shard's suffix array is built by sorting sampled triples,
-recursing on their names and merging the remaining suffixes, and windows are equal where adjacent suffixes share LENGTH bytes.
+recursing on their names and merging the remaining suffixes, and windows are equal where adjacent suffixes share LENGTH bytes. Segments of
+a name with more text than a shard holds are parted anew by FINE_GRAM-byte substrings, and what is still too much is counted window by window.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ LENGTH = 200
 GRAM = 64
 SHARD_BYTES = 400_000  # of text in one suffix array; below 2 ** 21 symbols, so that a triple fits in 63 bits
 PIECE = 1 << 15  # windows of a segment at most; longer ones, of periodic text, are cut
-MANY = 1000  # segments of a name beyond which each is parted anew by longer substrings
+MANY = 1000  # segments of a name beyond which, as beyond SHARD_BYTES, each is parted anew by longer substrings
 FINE_GRAM = 184
 U = np.uint64
 A, B = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -205,48 +206,94 @@ def _cut(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _parted(many: DataFrame, length: int) -> DataFrame:
-    """Segments of names that have very many, parted anew: their windows are named by longer substrings, together with the old name."""
+    """Segments of names that have very many, parted anew: their windows are named by longer substrings, together with the old name. g1 and g2 are hashes of the new piece."""
+    import xxhash
 
     def run(batches):
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for name, f1, f2, off, piece in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
-                for fine, lo, hi, _ in zip(*(x.tolist() for x in segments(np.frombuffer(piece, np.uint8), length, max(1, min(FINE_GRAM, length - 1)))), strict=True):
-                    for col, v in zip(out, ((fine * 31 + name) % 2**64 - 2**63, f1, f2, off + lo, piece[lo : hi + length - 1]), strict=True):
+            out: tuple[list, ...] = ([], [], [], [], [], [], [], [], [])
+            for name, f1, f2, piece in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                for fine, lo, hi, again in zip(*(x.tolist() for x in segments(np.frombuffer(piece, np.uint8), length, max(1, min(FINE_GRAM, length - 1)))), strict=True):
+                    part = piece[lo : hi + length - 1]
+                    g = xxhash.xxh3_128_intdigest(part)
+                    for col, v in zip(out, ((fine * 31 + name) % 2**64 - 2**63, f1, f2, lo, hi - lo, (g >> 64) - 2**63, g % 2**64 - 2**63, part, again), strict=True):
                         col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["name", "f1", "f2", "off", "piece"])
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["name", "f1", "f2", "off", "n", "g1", "g2", "piece", "again"])
+
+    return many.mapInArrow(run, "name long, f1 long, f2 long, off int, n int, g1 long, g2 long, piece binary, again boolean")
+
+
+def _windows(pieces: DataFrame, length: int) -> DataFrame:
+    """(f1, f2, at, w1, w2): every window of the pieces by two hashes of its bytes."""
+    import xxhash
 
-    return many.mapInArrow(run, "name long, f1 long, f2 long, off int, piece binary")
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 100):
+                out: tuple[list, ...] = ([], [], [], [], [])
+                for f1, f2, piece in zip(*(batch.column(c).slice(k, 100).to_pylist() for c in range(3)), strict=True):
+                    for at in range(len(piece) - length + 1):
+                        w = xxhash.xxh3_128_intdigest(piece[at : at + length])
+                        for col, v in zip(out, (f1, f2, at, (w >> 64) - 2**63, w % 2**64 - 2**63), strict=True):
+                            col.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["f1", "f2", "at", "w1", "w2"])
+
+    return pieces.select("f1", "f2", "piece").mapInArrow(run, "f1 long, f2 long, at int, w1 long, w2 long")
+
+
+def _counted(pieces: DataFrame, length: int) -> DataFrame:
+    """(f1, f2, lo, hi) as _compared gives, by counting the windows: no task holds a name's pieces, however many there are."""
+    windows = stage(_windows(pieces, length), "repeats-windows")
+    again = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("w1", "w2")
+    return windows.join(again, ["w1", "w2"]).select("f1", "f2", F.col("at").alias("lo"), (F.col("at") + 1).alias("hi"))
 
 
 def _compared(parts: DataFrame, length: int) -> DataFrame:
     """(f1, f2, lo, hi): windows of a segment that stand elsewhere among the different segments of its name too."""
+    bound = SHARD_BYTES
 
     def run(batches):
         names, rows, size = [], [], 0
 
         def flush():
+            if size > 2 * bound:
+                raise ValueError(f"a shard has {size} bytes of text")
             out: tuple[list, ...] = ([], [], [], [])
-            for (f1, f2, off, _), flags in zip(rows, repeated_windows([r[3] for r in rows], length), strict=True):
+            for (f1, f2, _), flags in zip(rows, repeated_windows([r[2] for r in rows], length), strict=True):
                 for lo, hi in ranges_of(flags):
-                    for col, v in zip(out, (f1, f2, off + lo, off + hi), strict=True):
+                    for col, v in zip(out, (f1, f2, lo, hi), strict=True):
                         col.append(v)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["f1", "f2", "lo", "hi"])
 
         for batch in batches:
-            for name, *row in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
-                if size >= SHARD_BYTES and name != names[-1]:
+            for name, *row in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                if size >= bound and name != names[-1]:
                     yield flush()
                     names, rows, size = [], [], 0
                 names.append(name)
                 rows.append(row)
-                size += len(row[3])
+                size += len(row[2])
         if rows:
             yield flush()
 
     return parts.mapInArrow(run, "f1 long, f2 long, lo int, hi int")
 
 
+def _split(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(name, f1, f2, piece) of different pieces to compare: those of names that fit a shard, and those of names that do not."""
+    by_name = groups.groupBy("name").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.octet_length("piece")).alias("bytes"), F.max("again").alias("twice"))
+    by_name = stage(by_name.where("kinds > 1 OR twice"), "repeats-sizes")
+    crowded = (F.col("kinds") > MANY) | (F.col("bytes") > SHARD_BYTES)
+    rows = lambda g: g.select("name", "f1", "f2", "piece")
+    names = F.broadcast(by_name.where(crowded).select("name"))  # few, as each has much text; so no task gets all pieces of such a name
+    return rows(groups.join(names, "name", "left_anti").join(by_name.where(~crowded), "name")), rows(groups.join(names, "name"))
+
+
+def _sharded(few: DataFrame, length: int) -> DataFrame:
+    return _compared(few.repartition(shuffle_partitions(few.sparkSession), "name").sortWithinPartitions("name", "f1", "f2"), length)
+
+
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """Adds ``spans`` to every row: disjoint ranges (start, end) of UTF-8 bytes, in order and not touching, covered by strings of ``length`` bytes that start elsewhere too.
 
@@ -267,12 +314,15 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cut = stage(_cut(plain.join(kept, ["d", "h"]), length), "repeats-segments")
     groups = cut.groupBy("name", "f1", "f2").agg(F.count(F.lit(1)).alias("times"), F.first("piece").alias("piece"), F.first("n").alias("n"), F.max("again").alias("again"))
     groups = stage(groups, "repeats-groups")
-    by_name = groups.groupBy("name").agg(F.count(F.lit(1)).alias("kinds"))
-    compared = groups.join(by_name, "name").where((F.col("kinds") > 1) | F.col("again")).select("name", "f1", "f2", F.lit(0).alias("off"), "piece", "kinds")
-    few = compared.where(F.col("kinds") <= MANY).drop("kinds")
-    many = _parted(compared.where(F.col("kinds") > MANY).drop("kinds"), length)
-    parts = few.unionAll(many).repartition(shuffle_partitions(docs.sparkSession), "name").sortWithinPartitions("name", "f1", "f2", "off")
-    found = _compared(parts, length).unionAll(groups.where("times > 1").select("f1", "f2", F.lit(0).alias("lo"), F.col("n").alias("hi")))
+    few, many = _split(groups)
+    # names with too many segments for a shard: pieces by a longer name, equal ones counted as above, found in pieces first and then placed in their segments
+    fine = stage(_parted(many, length), "repeats-fine")
+    pieces = stage(fine.groupBy("name", F.col("g1").alias("f1"), F.col("g2").alias("f2")).agg(F.count(F.lit(1)).alias("times"), F.first("piece").alias("piece"), F.first("n").alias("n"), F.max("again").alias("again")), "repeats-pieces")
+    fine_few, fine_many = _split(pieces)
+    whole = lambda g: g.where("times > 1").select("f1", "f2", F.lit(0).alias("lo"), F.col("n").alias("hi"))
+    inner = _sharded(fine_few, length).unionAll(_counted(fine_many, length)).unionAll(whole(pieces)).withColumnsRenamed({"f1": "g1", "f2": "g2"})
+    placed = fine.select("f1", "f2", "off", "g1", "g2").join(inner, ["g1", "g2"]).select("f1", "f2", (F.col("off") + F.col("lo")).alias("lo"), (F.col("off") + F.col("hi")).alias("hi"))
+    found = _sharded(few, length).unionAll(placed).unionAll(whole(groups))
     hits = cut.select("d", "h", "f1", "f2", F.col("lo").alias("at")).join(found, ["f1", "f2"]).select("d", "h", (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi"))
     spans = hits.groupBy("d", "h").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("_ranges"))  # of one document
     spans = stage(spans.withColumnsRenamed({"d": "_d", "h": "_h"}), "repeats-spans")

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.cloudpickle import register_pickle_by_value, unregister_pickle_by_value
 
 from lorestone.llm import bpe, decontaminate, html_extract, near_dedup, packing, pii, sharding, suffix_dedup, toxicity, url_filter, vptree
 
@@ -525,6 +526,30 @@ def test_repeats(spark, monkeypatch, length, many, piece):
         assert (sum(s["end"] - s["start"] for s in spans), len(spans), bytes(got[i]["kept"])) == want
 
 
+def test_common_passage_is_no_large_shard(spark, monkeypatch):
+    """A passage in very many documents with different surroundings: no suffix array gets more than two shards' text, and results stay exact."""
+    one = suffix_dedup.repeated_windows
+
+    def small(texts, length):
+        if (n := sum(map(len, texts))) > 800_000:
+            raise ValueError(f"{n} bytes in one shard")
+        return one(texts, length)
+
+    monkeypatch.setattr(suffix_dedup, "repeated_windows", small)
+    register_pickle_by_value(suffix_dedup)  # so that the workers get the patched function
+    try:
+        r = random.Random(5)
+        passage, letters = "".join(r.choices("abcdefghij", k=230)), "klmnopqrstuvwxyz"
+        docs = ["".join(r.choices(letters, k=60)) + passage + "".join(r.choices(letters, k=60)) for _ in range(5000)]
+        rows = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(4)
+        got = {x["doc_id"]: x for x in suffix_dedup.remove_repeats(rows).collect()}
+    finally:
+        unregister_pickle_by_value(suffix_dedup)
+    for i, want in enumerate(brute_repeats([t.encode() for t in docs], 200)):
+        spans = got[i]["spans"]
+        assert (sum(s["end"] - s["start"] for s in spans), len(spans), bytes(got[i]["kept"])) == want
+
+
 def test_difference_cover():
     r = random.Random(3)
     for _ in range(300):
