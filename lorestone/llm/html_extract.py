@@ -1,9 +1,9 @@
 """Main text of web pages by wrapper induction.
 
 A page becomes a tree of its block elements with leaves of text. Pages of a host are aligned to the host's pivot page by simple tree matching
-(the largest common top-down tree that keeps the order of siblings). Pivot leaves that keep their text on most aligned pages are
-the host's template; every other leaf is a varying slot, so content. Elements that say what they are (menus, footers, adverts, forms, comments,
-scripts) belong to the template on any host, one with a single page too. Counting is done over all pages of a host, with sums by pivot leaf.
+(the largest common top-down tree that keeps the order of siblings). Pivot leaves that keep their text on most of the host's pages are
+the host's template, where equal pages count once; every other leaf is a varying slot, so content. Elements that say what they are (menus, footers, adverts, forms, comments,
+scripts) belong to the template on any host, one with a single page too. Counting is done over all different pages of a host, with sums by pivot leaf.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ TEMPLATE_WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|adv|advert\w*|sponsor\w*|promo
 CONTENT_TAGS = frozenset(("article", "main"))
 NEVER_TEMPLATE = frozenset(("html", "body", "article", "main"))
 
-LEAF, SHARE, LEAST_PAGES = "#", 0.6, 3  # a pivot leaf is template if it keeps its text on SHARE of at least LEAST_PAGES other aligned pages
+LEAF, SHARE, LEAST_PAGES = "#", 0.6, 3  # a pivot leaf is template if it keeps its text on SHARE of the host's other different pages, and at least LEAST_PAGES align to it
 INSIDE_PAGES = 10  # as many are asked for a leaf inside an article or main element, as its text may be a copied article
 MOST_CELLS = 2_000_000  # siblings beyond this product are aligned from both ends only
 SALTS = 16
@@ -323,12 +323,13 @@ def _skeletons(pages: DataFrame) -> DataFrame:
 def induce(pages: DataFrame) -> DataFrame:
     """(host, skeleton, leaves): each host's pivot page and its template leaves. ``pages`` has host, order and html.
 
-    Every page of a host is aligned to its pivot, the page with the smallest ``order``. Salting spreads a large host over many tasks.
+    Every different page of a host is aligned to its pivot, the page with the smallest ``order``; copies of a page are no evidence of a template.
+    Salting spreads a large host over many tasks.
     """
-    skeletons = stage(_skeletons(pages), "html-skeletons")
-    pivots = skeletons.groupBy("host").agg(F.min_by("skeleton", F.struct("order", F.xxhash64("skeleton"))).alias("pivot"))
-    salted = skeletons.withColumn("salt", F.pmod(F.xxhash64("order"), F.lit(SALTS)))
-    both = salted.join(pivots.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["host", "salt"]).select("host", "skeleton", "pivot")
+    skeletons = stage(_skeletons(pages).groupBy("host", "skeleton").agg(F.min("order").alias("order")), "html-skeletons")
+    pivots = skeletons.groupBy("host").agg(F.min_by("skeleton", F.struct("order", F.xxhash64("skeleton"))).alias("pivot"), F.count(F.lit(1)).alias("others"))
+    salted = skeletons.withColumn("salt", F.pmod(F.xxhash64("skeleton"), F.lit(SALTS)))
+    both = salted.join(pivots.drop("others").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["host", "salt"]).select("host", "skeleton", "pivot")
 
     def run(batches):
         sums: dict[tuple[str, int], list[int]] = {}
@@ -356,7 +357,7 @@ def induce(pages: DataFrame) -> DataFrame:
 
     counts = both.mapInArrow(run, "host string, leaf int, pages long, same long").groupBy("host", "leaf").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
     # the pivot itself is one of the pages and always the same
-    fixed = counts.where((F.col("pages") - 1 >= LEAST_PAGES) & (F.col("same") - 1 >= SHARE * (F.col("pages") - 1)))
+    fixed = counts.join(pivots.select("host", (F.col("others") - 1).alias("others")), "host").where((F.col("pages") - 1 >= LEAST_PAGES) & (F.col("same") - 1 >= SHARE * F.col("others")))
     leaves = fixed.groupBy("host").agg(F.collect_list(F.struct("leaf", "pages")).alias("leaves"))  # at most the pivot's leaves
     return pivots.join(leaves, "host", "inner").select("host", F.col("pivot").alias("skeleton"), "leaves")
 

@@ -284,6 +284,17 @@ def test_wrapper(spark):
     assert html_extract.extract(pages.where("false")).count() == 0
 
 
+def test_copies_are_no_template(spark):
+    """Equal pages count once, and a leaf that only a group of near copies has is no template of the host."""
+    copy = "<body><div>Long read</div><div>Its second part</div></body>"
+    article = "<body><article><p>Head {}</p>{}</article></body>"
+    long = "".join(f"<p>Part {k}</p>" for k in range(6))
+    rows = [(i, f"http://c.org/{i}", copy) for i in range(4)] + [(100 + i, f"http://m.org/{i}", article.format(i, long)) for i in range(12)] + [(200 + i, f"http://m.org/x{i}", article.format(f"x{i}", "")) for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "Long read\nIts second part" for i in range(4))
+    assert all(got[100 + i] == "\n".join([f"Head {i}", *(f"Part {k}" for k in range(6))]) for i in range(12))
+
+
 def test_op5(spark, sf):
     import html
 
