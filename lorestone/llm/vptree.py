@@ -128,7 +128,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
     shards = max(1, -(-rows.count() // shard_rows))
-    dealt = rows.withColumns({"shard": F.pmod(F.xxhash64("id"), F.lit(shards)), "size": F.size("v")})
+    # dealt first, so that dropping repeated rows and every block's search can share the exchange
+    dealt = rows.withColumns({"shard": F.pmod(F.xxhash64("id"), F.lit(shards)), "size": F.size("v")}).repartition("shard", "size").dropDuplicates(["shard", "size", "id", "v"])
     asked = stage(usable(queries, id_col, vector_col).dropDuplicates(["id", "v"]), "vptree-queries")
     parts = []
 
@@ -159,8 +160,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     for p in parts[1:]:
         found = found.unionAll(p)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    if len(parts) > 1 or shards > 1:
-        found = found.dropDuplicates(["query_id", "vec_id", "score"])
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

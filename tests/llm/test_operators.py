@@ -494,6 +494,15 @@ def test_relaxed_search_finds_most():
     assert (loose >= exact - 1e-12).all() and (np.isclose(loose, exact)).mean() > 0.3
 
 
+@pytest.mark.parametrize("shard_rows", [4, 1000])
+def test_repeated_rows_are_one_neighbour(spark, shard_rows):
+    """A near row that stands there often takes one rank, in one shard or many, and hides no other neighbour."""
+    rows = [(0, [1.0, 0.0])] + [(1, [1.0, 0.1])] * 15 + [(1, [1.0, 0.2])] + [(i, [1.0, float(i)]) for i in range(2, 8)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = vptree.nearest(vectors, vectors.where("vec_id = 0"), k=4, shard_rows=shard_rows).orderBy("rank").collect()
+    assert [(r["rank"], r["vec_id"]) for r in got] == [(1, 1), (2, 1), (3, 2), (4, 3)]
+
+
 def test_few_neighbours(spark):
     v = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in vptree.nearest(v, v.where("vec_id = 0")).collect()] == [(0, 1, 1, 1.0)]
