@@ -12,10 +12,10 @@ from lorestone.sources.store import Collection
 
 
 def summaries(messages: DataFrame, most: int = 300) -> DataFrame:
-    """(id, conv_id, key, category, query, content, content_hash): the first ``most`` characters stand for a summary."""
+    """(id, conv_id, key, category, query, content, content_hash): the first ``most`` characters stand for a summary, the hash is of the key and the whole text."""
     text = C.conversation_text(messages).withColumn("category", C.category(F.col("content")))
-    out = text.join(C.keywords(messages), "conv_id", "left").select("conv_id", F.concat(F.lit("chat_summary_"), F.substring(F.md5(F.col("conv_id").cast("string")), 1, 8)).alias("key"), "category", F.coalesce("query", F.lit("")).alias("query"), F.substring("content", 1, most).alias("content"))
-    return out.select(point_id(F.col("key")).alias("id"), "*", content_hash(F.col("content")).alias("content_hash"))
+    out = text.join(C.keywords(messages), "conv_id", "left").select("conv_id", F.concat(F.lit("chat_summary_"), F.substring(F.md5(F.col("conv_id").cast("string")), 1, 8)).alias("key"), "category", F.coalesce("query", F.lit("")).alias("query"), F.substring("content", 1, most).alias("content"), F.col("content").alias("_whole"))
+    return out.select(point_id(F.col("key")).alias("id"), "*", content_hash(F.concat_ws("\n", "key", "_whole")).alias("content_hash")).drop("_whole")
 
 
 def index(collection: Collection, messages: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lorestone.functions.text import content_hash
 from lorestone.operators import graph as G
 from lorestone.plans import chat_index as I
 from lorestone.plans import guard as U
@@ -16,7 +17,8 @@ REPLIES = ((1, 'Here: ```json\n{"hasIssues": true, "reason": "seen"}\n```'), (2,
 
 
 def chat_index(spark, sf_dir):
-    return I.summaries(table(spark, sf_dir, "conversations")).select("conv_id", "key", "category", "content_hash")
+    """The hash is of the extract, as in the twin; the index itself stores one of the whole text."""
+    return I.summaries(table(spark, sf_dir, "conversations")).select("conv_id", "key", "category", content_hash(F.col("content")).alias("content_hash"))
 
 
 def chat_html(spark, sf_dir):

@@ -54,6 +54,16 @@ def test_chat_index(spark, tmp_path):
     assert chat_index.index(store, rows).count() == 1
 
 
+def test_chat_index_of_long_conversations(spark, tmp_path):
+    """A change behind the extract updates the stored row, and conversations that begin alike are all stored."""
+    head, schema = "same system prompt " * 30, "conv_id long, turn long, role string, text string"
+    store = Collection(spark, "chat", f"file://{tmp_path}")
+    first = {r["conv_id"]: r["content_hash"] for r in chat_index.index(store, spark.createDataFrame([(1, 0, "user", head)], schema)).collect()}
+    rows = spark.createDataFrame([(1, 0, "user", head), (1, 1, "user", "fix the crash"), (2, 0, "user", head), (3, 0, "user", head)], schema)
+    got = {r["conv_id"]: r["content_hash"] for r in chat_index.index(store, rows).collect()}
+    assert sorted(got) == [1, 2, 3] and len(set(got.values())) == 3 and got[1] != first[1]
+
+
 def test_modified_since(spark):
     found = spark.sql("SELECT 'a' AS file, TIMESTAMP '2024-01-02' AS modified UNION ALL SELECT 'b', TIMESTAMP '2024-01-01'")
     state = spark.sql("SELECT unix_timestamp(TIMESTAMP '2024-01-01') * 1.0D AS mtime")
