@@ -2,7 +2,7 @@
 
 A signature has CHUNKS * WIDTH minima of b bits. Two signatures that differ in at most CHUNKS * (ERRORS + 1) - 1 minima differ in at most
 ERRORS of some chunk (pigeonhole), so enumerating every way to leave ERRORS minima out of each chunk gives both a common key: no pair under that
-distance is missed. A pair with a similarity of 0.8 exceeds it with a chance of about 1e-5. Documents with equal shingle sets are one node from
+distance is missed. A pair with a similarity of 0.8 exceeds it with a chance of 5.2e-5. Documents with equal shingle sets are one node from
 the start. Only components are asked for, so a bucket of one key gives a spanning forest of its pairs within the distance, not all of them; the forests
 join nodes into coarse groups that hold every link. Inside a group links are confirmed on the full sets, again as a spanning forest.
 Large buckets and groups are dealt out by pairs of blocks of bounded size, so that no task needs one whole.
