@@ -494,6 +494,30 @@ def test_relaxed_search_finds_most():
     assert (loose >= exact - 1e-12).all() and (np.isclose(loose, exact)).mean() > 0.3
 
 
+def test_tree_prunes_and_loses_nothing():
+    """Clustered vectors: factor one gives the exact neighbours from a part of the distances; vectors whose squares overflow are compared too."""
+    r = np.random.default_rng(14)
+    centres = r.normal(size=(40, 6)) * 10
+    x, q = centres[r.integers(40, size=4000)] + r.normal(size=(4000, 6)), centres[r.integers(40, size=30)]
+    tree = vptree.Tree(x, 32)
+    best, rows = tree.search(q, 10)
+    every = vptree.distances(q, x)
+    assert (best == np.sort(every, axis=1)[:, :10]).all() and (every[np.arange(30)[:, None], rows] == best).all()
+    assert tree.computed < 0.2 * every.size
+    wild = vptree.Tree(np.array([[1e200], [-1e200], [0.5]]), 1)
+    assert wild.search(np.array([[1.0]]), 4)[1].tolist() == [[2, 0, 1, -1]]
+
+
+@pytest.mark.parametrize(("factor", "least"), [(1.0, 1.0), (1.5, 0.9)])
+def test_recall_of_factors(factor, least):
+    r = np.random.default_rng(15)
+    x = r.normal(size=(6000, 16)) * (0.7 ** np.arange(16))
+    q = x[::100] + 0.0
+    truth = np.argsort(vptree.distances(q, x), axis=1, kind="stable")[:, :11]
+    _, rows = vptree.Tree(x).search(q, 11, factor)
+    assert np.mean([len(set(a) & set(b)) / 11 for a, b in zip(truth.tolist(), rows.tolist(), strict=True)]) >= least
+
+
 @pytest.mark.parametrize("shard_rows", [4, 1000])
 def test_repeated_rows_are_one_neighbour(spark, shard_rows):
     """A near row that stands there often takes one rank, in one shard or many, and hides no other neighbour."""
