@@ -58,3 +58,11 @@ def prefix_sums(totals: list[tuple[int, int]]) -> tuple[dict[int, int], int]:
 def lower_ascii(column):
     """A-Z become a-z; every other character stays as it is."""
     return F.translate(column, UPPER, LOWER)
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``name`` with as many underscores ahead as no column has, whatever its case; so a helper column never meets one of the caller's."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

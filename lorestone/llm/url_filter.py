@@ -15,13 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, read
+from .common import free_name, lower_ascii, read
 
 #: (host, path, verdict); a rule holds for its host and all subdomains where the path starts with the rule's.
 HOST_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: Globs over "." + host + path that block a URL no rule speaks about.
 BLOCK_GLOBS = ("*.ads.**", "*.adserver.**", "*.cheap-*.**", "*.casino-*.**", "**/ads/**", "**/wp-login.php**")
 SLASH = 47
+FEW = 24  # strings
 
 
 def escaped(text: str) -> str:
@@ -79,6 +80,16 @@ def compiled(globs: list[str]) -> Automaton:
     return Automaton(start, keep, loop, at // 64, (at % 64).astype(np.uint64))
 
 
+def _finish(a: Automaton, state: np.ndarray, text: bytes) -> np.ndarray:
+    """The state of one string after ``text``."""
+    whole = lambda words: int.from_bytes(words.astype("<u8").tobytes(), "little")
+    keep, loop = [whole(x) for x in a.keep], [whole(x) for x in a.loop]
+    now = whole(state)
+    for c in text:
+        now = (now << 1) & keep[c] | now & loop[c]
+    return np.frombuffer(now.to_bytes(8 * len(state), "little"), "<u8")
+
+
 def run_all(a: Automaton, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Booleans (URL, glob): which globs fit which of the byte strings data[offsets[i]:offsets[i + 1]]."""
     n = len(offsets) - 1
@@ -88,6 +99,10 @@ def run_all(a: Automaton, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     state = np.tile(a.start, (n, 1))
     for t in range(int(length[0]) if n else 0):
         m = int(np.searchsorted(-length, -t, side="left"))  # those still longer than t
+        if m <= FEW:  # a step over so few costs more than its numbers: these go on one by one, all words in one integer
+            for i in range(m):
+                state[i] = _finish(a, state[i], data[begin[i] + t : begin[i] + length[i]].tobytes())
+            break
         c, s = data[begin[:m] + t], state[:m]
         moved = s << np.uint64(1)
         if s.shape[1] > 1:
@@ -101,7 +116,7 @@ def run_all(a: Automaton, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def host_and_path(url):
     """Columns (host, path). Null, or no ``://``: both are empty."""
     at = F.instr(url, "://")
-    rest = F.when(at > 0, F.expr("substring(_url, instr(_url, '://') + 3)")).otherwise(F.lit(""))
+    rest = F.when(at > 0, F.substr(url, at + 3)).otherwise(F.lit(""))
     rest = F.coalesce(rest, F.lit(""))
     host = F.regexp_extract(rest, r"^[^/?#]*", 0)
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
@@ -109,9 +124,9 @@ def host_and_path(url):
 
 
 def judge(pages: DataFrame, url_col: str = "url", rules=HOST_RULES, block_globs=BLOCK_GLOBS) -> DataFrame:
-    """Adds ``host``, ``path``, ``rule`` and ``verdict`` to every row of ``pages``; columns of those names are replaced.
+    """Adds ``host``, ``path``, ``rule`` and ``verdict`` to every row of ``pages``; columns of those names are replaced, all others kept.
 
-    The rule with the longest host and path decides; rules of equal length: the one listed first. A URL without a rule is
+    URLs of any length are read whole, in time proportional to it. The rule with the longest host and path decides; rules of equal length: the one listed first. A URL without a rule is
     blocked if one of ``block_globs`` fits "." + host + path, else allowed. A null or malformed URL has no host, so no rule.
     """
     rules = list(rules)
@@ -133,10 +148,10 @@ def judge(pages: DataFrame, url_col: str = "url", rules=HOST_RULES, block_globs=
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names[first].tolist(), pa.string()), pa.array(verdict.tolist(), pa.string())], names=[*batch.schema.names[:-1], "rule", "verdict"])
 
     taken = {"host", "path", "rule", "verdict"}
-    base = pages.withColumn("_url", F.col(url_col))
-    host, path = host_and_path(F.col("_url"))
+    host, path = host_and_path(F.col(url_col))
     kept = [c for c in pages.columns if c not in taken]
-    base = base.select(*kept, host.alias("host"), path.alias("path")).withColumn("_canonical", F.concat(F.lit("."), "host", "path"))
+    base = pages.select(*kept, host.alias("host"), path.alias("path"))
+    base = base.withColumn(free_name(base.columns, "canonical"), F.concat(F.lit("."), "host", "path"))
     from pyspark.sql import types as T
 
     schema = T.StructType([*base.schema.fields[:-1], T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())])
