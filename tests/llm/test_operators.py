@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -93,6 +94,18 @@ URLS = [
 ]
 
 
+def test_long_urls_and_clashing_columns(spark):
+    """A URL of a megabyte in linear time, ties of equally long rules, and the caller's own helper-like columns."""
+    long = "http://h.ads.net/" + "a/" * 500_000
+    began = time.time()
+    rows = [(1, long, "x", "y"), (2, "http://e.com/ads/" + "b" * 300_000 + "/ads/", "x", "y"), (3, None, "x", "y"), (4, "http://t.io/aa", "x", "y")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, canonical string, _url string")
+    got = {r["page_id"]: r for r in url_filter.judge(pages, rules=[("net", "/", "block"), ("t.io", "/", "allow"), ("io", "/aa", "block")]).collect()}
+    assert time.time() - began < 30
+    assert [(got[i]["rule"], got[i]["verdict"]) for i in (1, 2, 3, 4)] == [("net/", "block"), (None, "block"), (None, "allow"), ("t.io/", "allow")]
+    assert all(r["canonical"] == "x" and r["_url"] == "y" for r in got.values()) and got[1]["path"] == long[len("http://h.ads.net") :]
+
+
 def test_urls(spark):
     rows = spark.createDataFrame([(i, u[0], "clash") for i, u in enumerate(URLS)], "page_id long, url string, rule string")
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(rows).collect()}
@@ -295,6 +308,133 @@ def test_copies_are_no_template(spark):
     assert all(got[100 + i] == "\n".join([f"Head {i}", *(f"Part {k}" for k in range(6))]) for i in range(12))
 
 
+SOUP = "<body><div><a href=/a>Home {i}</a></div><div>Buy now {i}: the best offer number {i}</div><div><div>Headline {i}</div>{paragraphs}</div><div>Copyright {i} of us</div></body>"
+
+
+def soup(i, n=3):
+    return SOUP.format(i=i, paragraphs="".join(f"<p>Paragraph {k} of story {i} goes on for a while and says more than any offer does.</p>" for k in range(n + i % 3)))
+
+
+def story(i, n=3):
+    return "\n".join([f"Headline {i}", *(f"Paragraph {k} of story {i} goes on for a while and says more than any offer does." for k in range(n + i % 3))])
+
+
+def other(i):
+    """Another layout: a table of cells ahead of the text, in sections."""
+    return f"<body><section><span>Login {i}</span></section><section><section><p>News {i} has its words, which are many here.</p><p>And {i} more of them follow in this place.</p></section><section>Tags {i}</section></section></body>"
+
+
+def layouts():
+    rows = [(i, "http://soup.org/%d" % i, soup(i)) for i in range(7)] + [(10 + i, "http://soup.org/n%d" % i, other(i)) for i in range(6)]
+    rows += [(20, "http://soup.org/odd", "<body><article><p>Odd one</p></article></body>"), (21, "http://lone.org/", soup(21)), (22, None, soup(22)), (23, "http://soup.org/e", None), (24, "http://soup.org/0", soup(0))]
+    want = {i: story(i) for i in range(7)} | {10 + i: f"News {i} has its words, which are many here.\nAnd {i} more of them follow in this place." for i in range(6)}
+    return rows, want | {20: "Odd one", 23: "", 24: story(0)}
+
+
+def test_varying_slots_choose_the_content(spark, monkeypatch):
+    """Pages without any telling element, in two layouts of one host: the wrapper finds the text; without it, all the rest stays."""
+    rows, want = layouts()
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}
+    assert {i: got[i] for i in want} == want
+    assert "Buy now 21" in got[21] and "Buy now 22" in got[22]  # no host to learn from
+    alone = {i: text_of(h or "") for i, _, h in rows}
+    assert alone[20] == "Odd one" and all(alone[i] != want[i] for i in [*range(7), *range(10, 16)])
+    with pytest.raises(ValueError, match="_html"):
+        html_extract.extract(pages.withColumn("_html", pages["url"]))
+
+
+def test_large_wrappers_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(html_extract, "BROADCAST_BYTES", -1)
+    rows, want = layouts()
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i: got[i] for i in want} == want
+
+
+def plain_alignment(a, b):
+    """Pairs of simple tree matching by its recurrence, children compared one by one."""
+
+    def solve(x, y):
+        p, q = a.children[x], b.children[y]
+        if a.tag[x] != b.tag[y]:
+            return 0, []
+        table = [[(0, [])] * (len(q) + 1) for _ in range(len(p) + 1)]
+        for i in range(1, len(p) + 1):
+            for j in range(1, len(q) + 1):
+                s, pairs = solve(p[i - 1], q[j - 1])
+                n, before = table[i - 1][j - 1]
+                table[i][j] = max(table[i - 1][j], table[i][j - 1], (n + s, before + pairs) if s else (0, []), key=lambda t: t[0])
+        n, pairs = table[-1][-1]
+        return n + 1, [(x, y), *pairs]
+
+    return solve(0, 0)[1]
+
+
+def test_whole_query_against_brute_force(spark):
+    """Wrappers from plain alignments of all different pages of a layout to its first page, and every page's text by them."""
+    rows, _ = layouts()
+    parsed = {i: html_extract.Page(h or "") for i, _, h in rows}
+    skeletons = {i: html_extract.Skeleton.of(p) for i, p in parsed.items()}
+    groups = collections.defaultdict(list)
+    for i, url, _ in rows:
+        if url:
+            groups[url.split("/")[2], html_extract.layout(parsed[i])].append(i)
+    wrappers = {}
+    for key, ids in groups.items():
+        different = {skeletons[i].packed(): i for i in sorted(ids, key=str, reverse=True)}
+        if len(different) > 3:
+            pivot = skeletons[min(different.values(), key=str)]
+            sums = collections.defaultdict(lambda: [0, 0, 0, 0])
+            for i in different.values():
+                page, pairs = skeletons[i], plain_alignment(skeletons[i], pivot)
+                below = lambda x, page=page: {z for z in range(len(page.tag)) if z == x or any(u == x for u in ancestors(page, z))}
+                equal = {x for x, y in pairs if page.text[x] and page.text[x] == pivot.text[y]}
+                for x, y in pairs:
+                    new = (1, int(x in equal), 0, 0) if pivot.text[y] else (1, 0, sum(int(page.plain[z]) for z in below(x) - equal), sum(bool(page.text[z]) for z in below(x)))
+                    sums[y] = [s + n for s, n in zip(sums[y], new, strict=True)]
+            wrappers[key] = html_extract.Wrapper(pivot, len(different), [(y, *s) for y, s in sums.items()]), len(different)
+    want = {}
+    for i, url, _ in rows:
+        host = url.split("/")[2] if url else None
+        of_host = [(n, key[1], w) for key, (w, n) in wrappers.items() if key[0] == host]
+        own = wrappers.get((host, html_extract.layout(parsed[i])))
+        wrapper = own[0] if own else max(of_host)[2] if of_host else None
+        if wrapper is None:
+            want[i] = html_extract.main_text(parsed[i], set())
+            continue
+        pairs = plain_alignment(skeletons[i], wrapper.pivot)
+        template = {x for x, y in pairs if y in wrapper.fixed and skeletons[i].text[x] == wrapper.pivot.text[y]}
+        want[i] = html_extract.main_text(parsed[i], template, [x for x, y in pairs if y == wrapper.slot])
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+def ancestors(page, z):
+    while page.parent[z] >= 0:
+        z = int(page.parent[z])
+        yield z
+
+
+def test_long_lists_are_aligned_whole():
+    """A table that is halved gives matchings of the same weight, and constant blocks amid thousands of siblings are found."""
+    r = random.Random(3)
+    for _ in range(100):
+        p, q = r.randint(1, 12), r.randint(1, 12)
+        w = np.array([[r.randint(0, 3) for _ in range(q)] for _ in range(p)])
+        whole, halved = (html_extract.chain(lambda i: w[i], p, q, cells) for cells in (10**6, 8))
+        for pairs in (whole, halved):
+            assert sum(w[i, k] for i, k in pairs) == sum(w[i, k] for i, k in whole) and sorted(i for i, _ in pairs) == sorted({i for i, _ in pairs})
+            assert [k for _, k in sorted(pairs)] == sorted(k for _, k in pairs)
+    page = lambda n: html_extract.Skeleton.of(html_extract.Page("<body>" + "".join(f"<p>{k}</p>" if k % 7 else f"<div><i>{k}</i></div>" for k in range(n)) + "</body>"))
+    a, b = page(3000), page(2900)
+    assert len(html_extract.aligned(a, b)) == len(b.tag)
+
+
+@pytest.mark.parametrize(("source", "text"), [("<body class=layout><div class='layout has-sidebar'><article><div class='article-header'><h1>H</h1></div><p>t</p></article></div></body>", "H\nt"), ("<div class='content with-nav'>a</div><div class='site-footer'>f</div><div class='comments-area'>c</div>", "a"), ("<div id=sidebar><article>kept</article></div>", "kept"), ("<aside><article>teaser</article></aside><p>a", "a"), ("<header><h1>Site</h1></header><article><header><h1>H</h1></header></article>", "H"), ("<ul><li><a href=x>one</a></ul><p>a", "one\na")])
+def test_names_of_layouts_drop_no_article(source, text):
+    assert text_of(source) == text
+
+
 def test_op5(spark, sf):
     import html
 
