@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prefix_sums, read, shuffle_partitions, stage
+from .common import free_name, prefix_sums, read, shuffle_partitions, stage
 
 ROUNDS = 6
 SEED = 20_240_229
@@ -70,8 +70,9 @@ def number_rows(df: DataFrame, order: list[str], name: str) -> tuple[DataFrame,
     """
     parts = shuffle_partitions(df.sparkSession)
     one = F.monotonically_increasing_id()
-    held = stage(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", one), name)
-    part = F.shiftright("_at", PART_BITS)
+    at_col = free_name(df.columns, "_at")
+    held = stage(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(at_col, one), name)
+    part = F.shiftright(at_col, PART_BITS)
     counts = held.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each partition
     first, n = prefix_sums([(r["part"], r["n"]) for r in counts])
 
@@ -81,26 +82,29 @@ def number_rows(df: DataFrame, order: list[str], name: str) -> tuple[DataFrame,
     def numbered(at: pd.Series) -> pd.Series:
         return pd.Series(firsts.value[at.to_numpy() >> PART_BITS] + (at.to_numpy() & ((1 << PART_BITS) - 1)))
 
-    return held.withColumn("row_number", numbered("_at")).drop("_at"), n
+    return held.withColumn("row_number", numbered(at_col)).drop(at_col), n
 
 
 def shard(df: DataFrame, order: list[str], shards: int, seed: int = SEED) -> DataFrame:
     """Adds ``shard`` and ``slot`` to rows that are ordered, and so numbered, by ``order``.
 
     An empty table gives an empty table. Rows that agree in all of ``order`` are interchangeable. Null ids are numbered
-    first. ``df`` should be narrow: it goes through one shuffle. Its columns must not be named row_number, shard or slot.
+    first. ``df`` should be narrow: it goes through one shuffle. Columns named row_number, shard or slot are refused (ValueError); all others stay.
     """
     if shards < 1:
         raise ValueError("shards must be positive")
+    clash = {"row_number", "shard", "slot"} & {c.lower() for c in df.columns}
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} are in use")
     numbered, n = number_rows(df, order, "sharding")
 
     @F.pandas_udf(T.LongType())
     def permuted(row: pd.Series) -> pd.Series:
         return pd.Series(permute(row.to_numpy(), n, seed))
 
-    p = permuted("row_number")
-    out = numbered.withColumn("_p", p)
-    return out.withColumns({"shard": (F.col("_p") % shards).cast("int"), "slot": F.floor(F.col("_p") / F.lit(shards)).cast("long")}).drop("_p")
+    p = free_name(numbered.columns, "_p")
+    out = numbered.withColumn(p, permuted("row_number"))
+    return out.withColumns({"shard": (F.col(p) % shards).cast("int"), "slot": F.expr(f"`{p}` div {shards}L")}).drop(p)
 
 
 def op1_feistel_sharding(spark, sf_dir: str, shards: int = 40) -> DataFrame:
