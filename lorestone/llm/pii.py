@@ -32,8 +32,7 @@ NOT_DIGIT = re.compile("[^0-9]+")
 DIGIT = re.compile("[0-9]")
 # generators
 AT = re.compile(r"(?i)\s?[(\[{]\s?at\s?[)\]}]\s?|\s@\s|\sat\s")
-BEFORE = re.compile(r"[A-Za-z0-9._%+-]{1,64}$")
-AFTER = re.compile(r"(?i)[A-Za-z0-9-]{1,63}(?:(?:\s?[(\[{]\s?dot\s?[)\]}]\s?|\sdot\s|\.)[A-Za-z0-9-]{1,63}){1,4}")
+AFTER = re.compile(r"(?i)[A-Za-z0-9-]+(?:(?:\s?[(\[{]\s?dot\s?[)\]}]\s?|\sdot\s|\.)[A-Za-z0-9-]+)+")
 NUMBER = re.compile(r"(?:\([0-9]{2,5}\)|[0-9]{2,4})(?:[\x20./-]{1,2}[0-9]{2,5}){1,5}(?![0-9])")
 HEXES = re.compile(r"(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4})?(?::[0-9A-Fa-f]{1,4})*")
 WORDS = {
@@ -89,9 +88,12 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     """Spans that could be personal data in other notations; they may overlap and most are not."""
     out = []
     for m in AT.finditer(text):
-        left, right = BEFORE.search(text[max(0, m.start() - 64) : m.start()]), AFTER.match(text, m.end())
-        if left and right:
-            out.append(("email", m.start() - len(left[0]), right.end()))
+        start = m.start()
+        while start > 0 and text[start - 1] in LOCAL:  # as far as a name goes; what parts two of these matches is in no name
+            start -= 1
+        right = AFTER.match(text, m.end()) if start < m.start() else None
+        if right:
+            out.append(("email", start, right.end()))
     if DIGIT.search(text):
         for m in NUMBER.finditer(text):
             n = len(NOT_DIGIT.sub("", m[0]))
