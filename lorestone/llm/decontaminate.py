@@ -9,19 +9,22 @@ nearest sampled suffix position, and merged into spans of words.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read, stage
+from .common import free_name, read, stage
 
 WINDOW = 10
 SHARD_WORDS = 1 << 20
 SHARD_BYTES = 64 << 20
 SAMPLING = 8
-BENCHMARK_BYTES = 16 << 20  # of benchmark text sent to the executors at once; a larger benchmark is taken in as many blocks as needed
+BENCHMARK_BYTES = 8 << 20  # of benchmark text whose phrases are sent to the executors at once; a larger benchmark is taken in as many blocks as needed
+PHRASES = 1 << 17  # that are searched together
 #: ASCII letters and digits and every byte of a longer UTF-8 character are parts of words, A-Z as a-z; the rest separates.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -137,20 +140,40 @@ class FMIndex:
 
 
 class Phrases:
-    """The windows of the items' words, numbered words, and which items have which window."""
+    """The windows of the items' words as arrays, made once for a block of the benchmark and sent to the executors.
+
+    ``number``: a number for each word; ``ids``: the numbered words of all items, one after the other; ``by_length``: for each window length the places in ``ids``
+    of the different windows, and which items have them: those of window i are owners[starts[i]:starts[i + 1]], numbers in ``names``.
+    """
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
         self.number: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
+        self.names = sorted({name for name, _ in items})
+        place = {name: i for i, name in enumerate(self.names)}
+        parts, first, owner, size = [], [], [], []
+        at = 0
         for name, text in items:
-            ids = [self.number.setdefault(w, len(self.number) + 2) for w in words_of(text)]  # 0 ends a text, 1 separates
-            for i in range(max(1, len(ids) - window + 1)) if ids else ():
-                owners.setdefault(tuple(ids[i : i + window]), set()).add(name)
+            words = words_of(text)
+            if not words:
+                continue
+            parts.append(np.fromiter((self.number.setdefault(w, len(self.number) + 2) for w in words), np.int32, len(words)))  # 0 ends a text, 1 separates
+            n = max(1, len(words) - window + 1)
+            first.append(np.arange(at, at + n, dtype=np.int32))
+            owner.append(np.full(n, place[name], np.int32))
+            size.append(np.full(n, min(window, len(words)), np.int32))
+            at += len(words)
+        none = np.zeros(0, np.int32)
+        self.ids, first, owner, size = (np.concatenate(x) if x else none for x in (parts, first, owner, size))
         self.sigma = len(self.number) + 2
-        self.by_length = {}
-        for length in sorted({len(w) for w in owners}):
-            own = [w for w in owners if len(w) == length]
-            self.by_length[length] = (np.array(own, np.int64), [sorted(owners[w]) for w in own])
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for length in np.unique(size).tolist():
+            start, own = first[size == length], owner[size == length]
+            rows = np.ascontiguousarray(self.ids[start[:, None] + np.arange(length, dtype=np.int32)])
+            _, one, which = np.unique(rows.view(np.dtype((np.void, 4 * length))).ravel(), return_index=True, return_inverse=True)
+            del rows
+            pairs = np.unique((which.astype(np.int64) << 32) | own)
+            begin = np.searchsorted(pairs >> 32, np.arange(len(one) + 1))
+            self.by_length[length] = (start[one], begin, (pairs & 0xFFFFFFFF).astype(np.int32))
         self.shortest = min(self.by_length, default=0)
 
 
@@ -208,24 +231,28 @@ class Shard:
         doc, word = (np.concatenate(x) for x in zip(*self.where, strict=True))
         index = FMIndex(text, self.p.sigma)
         begins, ends, owned = [], [], [set() for _ in range(self.docs)]
-        for length, (phrases, owners) in self.p.by_length.items():
-            lo, hi = index.search(phrases)
-            found = np.flatnonzero(hi > lo)
-            n = hi[found] - lo[found]
-            rows = np.repeat(lo[found] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-            at = index.locate(rows)
-            begins.append(at)
-            ends.append(at + length)
-            pairs = np.unique(np.stack([doc[at], np.repeat(found, n)]), axis=1) if len(at) else np.zeros((2, 0), np.int64)
-            for d, k in pairs.T.tolist():
-                owned[d].update(owners[k])
-        begin, end = np.concatenate(begins), np.concatenate(ends)
-        if len(begin):
-            for a, b in zip(*merged(begin, end), strict=True):
-                spans[doc[a]].append((int(word[a]), int(word[a] + b - a)))
+        for length, (places, starts, owners) in self.p.by_length.items():
+            for k in range(0, len(places), PHRASES):
+                some = places[k : k + PHRASES]
+                lo, hi = index.search(self.p.ids[some[:, None] + np.arange(length, dtype=np.int32)].astype(np.int64))
+                found = np.flatnonzero(hi > lo)
+                n = hi[found] - lo[found]
+                rows = np.repeat(lo[found] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                if not len(rows):
+                    continue
+                at = index.locate(rows)
+                begins.append(at)
+                ends.append(at + length)
+                pairs = np.unique(np.stack([doc[at], np.repeat(found + k, n)]), axis=1)
+                for d, w in pairs.T.tolist():
+                    owned[d].update(owners[starts[w] : starts[w + 1]].tolist())
+        if not begins:
+            return counts, spans, items
+        for a, b in zip(*merged(np.concatenate(begins), np.concatenate(ends)), strict=True):
+            spans[doc[a]].append((int(word[a]), int(word[a] + b - a)))
         for d, s in enumerate(spans):
             spans[d] = sorted(s)
-            items[d] = sorted(owned[d])
+            items[d] = [self.p.names[i] for i in sorted(owned[d])]
         return counts, spans, items
 
 
@@ -237,12 +264,13 @@ ADDED = [
 
 
 def _find(docs: DataFrame, text_col: str, items: list[tuple[str, bytes]], window: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+    """Adds n_words, spans and items of one block of the benchmark."""
+    shared = docs.sparkSession.sparkContext.broadcast(Phrases(items, window))
     at = docs.columns.index(text_col)
     kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
-        phrases = Phrases(shared.value, window)
+        phrases = shared.value
         shard, held, size = Shard(phrases), [], 0
 
         def flush():
@@ -274,26 +302,26 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     """Adds ``n_words``, ``spans`` (disjoint ranges of word numbers inside occurrences, in order) and ``items`` (sorted ids) to every row.
 
     A null or empty text has no words. An item with fewer words than the window is one phrase; one without words, or a null id or text, is none. Repeated
-    items and documents are treated each for itself. Spans that touch are one. An empty benchmark finds nothing. Columns of ``docs``
-    must not have the added names. The benchmark is sent to the executors in blocks of about ``block_bytes`` of text; with more than one block,
-    what the blocks find is merged row by row.
+    items and documents are treated each for itself. Spans that touch are one. An empty benchmark finds nothing. Columns of ``docs`` named n_words, spans
+    or items are refused (ValueError). The benchmark is sent to the executors in blocks of about ``block_bytes`` of text. With more than one block the rows are
+    numbered and written once; what a block finds is kept by row number, and merged.
     """
+    clash = {"n_words", "spans", "items"} & {c.lower() for c in docs.columns}
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} are in use")
     items = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("words"))
     total = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     take = lambda b: [(r["item"], r["words"].encode()) for r in items.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == b).toLocalIterator()]
     if blocks == 1:
         return _find(docs, text_col, take(0), window)
-    out = docs
-    for b in range(blocks):
-        prior = out if b == 0 else out.withColumnsRenamed({"n_words": "_n", "spans": "_spans", "items": "_items"})
-        out = _find(prior, text_col, take(b), window)
-        if b:
-            both = F.array_sort(F.concat("_spans", "spans"))
-            out = out.withColumns({"spans": _merged_spans(both), "items": F.array_sort(F.array_union("_items", "items"))}).drop("_n", "_spans", "_items")
-        if b + 1 < blocks:
-            out = stage(out, "decontaminate")
-    return out
+    row = free_name(docs.columns, "_row")
+    numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate")
+    texts = numbered.select(F.col(row).alias("row"), F.col(text_col).alias("text"))
+    found = [stage(_find(texts, "text", take(b), window).drop("text").where((F.size("spans") > 0) if b else F.lit(True)), "decontaminate-found") for b in range(blocks)]
+    # the first block has a row for every document; of one document the others have a row for each block at most
+    each = functools.reduce(DataFrame.unionAll, found).groupBy(F.col("row").alias(row)).agg(F.max("n_words").alias("n_words"), _merged_spans(F.array_sort(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return numbered.join(each, row).select(*docs.columns, "n_words", "spans", "items")
 
 
 def _merged_spans(spans):
