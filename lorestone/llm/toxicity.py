@@ -2,7 +2,8 @@
 
 A document's features are the distinct character n-grams of its lower-cased words, hashed into buckets. On a bounded sample of labelled
 rows, bucket j gets the log-count ratio r[j] of naive Bayes; a logistic regression is trained on the telling features scaled by r,
-its weights folded into one number for each bucket. Scoring sums those numbers over a document's distinct n-grams.
+its weights folded into one number for each bucket. Every task keeps the features of its own rows, and the regression's gradients are sums
+over tasks; what the driver holds are a few vectors of one number for each bucket. Scoring sums the folded numbers over a document's distinct n-grams.
 """
 
 from __future__ import annotations
@@ -19,11 +20,10 @@ SIZES = (3, 4, 5, 6)
 BITS = 20
 MAX_ROWS = 16_384  # labelled rows that are used at most, chosen by a hash of their ids
 TELLING = 4.0  # standard deviations by which a bucket's share of toxic rows must differ from all rows' to enter the regression
-MAX_FEATURES = 1 << 16  # the most telling ones, if there are more
 SAMPLE_PARTS = 16
 CHUNKS = 64
 THRESHOLD = 0.7
-STEPS = 200
+EVALUATIONS, HISTORY, TOLERANCE = 60, 8, 1e-4  # of the regression's loss at most; steps that L-BFGS remembers; of the first gradient's length
 PENALTY = 1e-4
 
 
@@ -55,26 +55,68 @@ class Grams:
         return g[self.seen[g] == order]
 
 
-def _trained(features: list[np.ndarray], y: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic regression on features scaled by ``scale``, by accelerated full-batch descent; classes weigh alike."""
-    size = np.array([len(f) for f in features])
-    row, col = np.repeat(np.arange(len(features), dtype=np.int32), size), np.concatenate(features) if len(features) else np.zeros(0, np.int32)
-    value = scale[col].astype(np.float64)
-    norm = np.sqrt(np.maximum(np.bincount(row, value**2, minlength=len(y)), 1.0))
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-    bound = float((weight * norm**2).sum()) / 4 + PENALTY
-    w, b = np.zeros(len(scale)), 0.0
-    v, c, t = w, b, 1.0
-    step = min(1.0, 4.0 / bound)
-    for _ in range(STEPS):
-        z = np.bincount(row, value * v[col], minlength=len(y)) + c
-        g = weight * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y)
-        new = v - step * (np.bincount(col, value * g[row], minlength=len(scale)) + PENALTY * v)
-        bias = c - step * g.sum()
-        after = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        v, c = new + (t - 1) / after * (new - w), bias + (t - 1) / after * (bias - b)
-        w, b, t = new, bias, after
-    return w * scale, b
+def _loss(rows: DataFrame, scales, weight: tuple[float, float]):
+    """A function of (weights and, last, the bias) that gives the logistic loss over ``rows`` (y, features) and its gradient, summed over the tasks."""
+    context = rows.sparkSession.sparkContext
+
+    def at(w: np.ndarray) -> tuple[float, np.ndarray]:
+        shared = context.broadcast(w)
+
+        def run(batches):
+            v, gradient, loss = shared.value[:-1] * scales.value, np.zeros(len(shared.value)), 0.0
+            for batch in batches:
+                features = [np.frombuffer(f.as_py(), np.int32) for f in batch.column(1)]
+                y = np.array(batch.column(0).to_pylist()) > 0
+                size = np.array([len(f) for f in features])
+                row, col = np.repeat(np.arange(len(y)), size), np.concatenate(features)
+                z = np.bincount(row, v[col], minlength=len(y)) + shared.value[-1]
+                share = np.where(y, weight[1], weight[0])
+                loss += float((share * np.logaddexp(0, np.where(y, -z, z))).sum())
+                g = share * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
+                gradient[:-1] += np.bincount(col, g[row], minlength=len(v))
+                gradient[-1] += g.sum()
+            gradient[:-1] *= scales.value
+            yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([gradient.tobytes()], pa.binary())], names=["loss", "gradient"])
+
+        loss, gradient = PENALTY / 2 * float(w[:-1] @ w[:-1]), np.append(PENALTY * w[:-1], 0.0)
+        for r in rows.mapInArrow(run, "loss double, gradient binary").toLocalIterator(prefetchPartitions=True):  # a row for each task
+            loss += r["loss"]
+            gradient += np.frombuffer(r["gradient"])
+        shared.destroy()
+        return loss, gradient
+
+    return at
+
+
+def minimised(loss, w: np.ndarray, evaluations: int = EVALUATIONS) -> np.ndarray:
+    """L-BFGS with halved steps: as few evaluations as there can be, as each is a pass over the rows."""
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    value, g = loss(w)
+    first, used = float(np.linalg.norm(g)), 1
+    while used < evaluations and np.linalg.norm(g) > TOLERANCE * first:
+        d, kept = -g, []
+        for s, y in reversed(steps):
+            a = (s @ d) / (s @ y)
+            kept.append(a)
+            d = d - a * y
+        if steps:
+            d = d * (steps[-1][0] @ steps[-1][1]) / (steps[-1][1] @ steps[-1][1])
+        for (s, y), a in zip(steps, reversed(kept), strict=True):
+            d = d + (a - (y @ d) / (s @ y)) * s
+        rate = 1.0 if steps else 1.0 / max(first, 1e-300)
+        while used < evaluations:
+            now, g_now = loss(w + rate * d)
+            used += 1
+            if now <= value + 1e-4 * rate * float(g @ d):
+                break
+            rate /= 2
+        else:
+            break
+        s, y = rate * d, g_now - g
+        if s @ y > 1e-12 * np.linalg.norm(s) * np.linalg.norm(y):
+            steps = [*steps, (s, y)][-HISTORY:]
+        w, value, g = w + s, now, g_now
+    return w
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int = MAX_ROWS, bits: int = BITS) -> tuple[np.ndarray, float]:
@@ -113,8 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     ratio = np.log(share[1] / share[0])
     total, toxic = found.sum(0), rows[1] / rows.sum()
     telling = np.abs(found[1] - total * toxic) / np.sqrt(total * toxic * (1 - toxic) + 0.5)
-    chosen = np.argsort(-telling, kind="stable")[:MAX_FEATURES]
-    chosen = chosen[(telling[chosen] >= TELLING) & (total[chosen] > 1)]
+    chosen = np.flatnonzero((telling >= TELLING) & (total > 1))
     place = np.full(n, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     context = docs.sparkSession.sparkContext
@@ -129,24 +170,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
                 kept.append(np.sort(f[f >= 0]).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary())], names=["y", "features"])
 
-    def fit(batches):
-        features, y = [], []
-        for batch in batches:
-            features += [np.frombuffer(f.as_py(), np.int32) for f in batch.column(1)]
-            y += batch.column(0).to_pylist()
-        if y:
-            weights, bias = _trained(features, (np.array(y) > 0).astype(int), scales.value)
-            yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([float(bias)])], names=["weights", "bias"])
-
-    # at most max_rows rows of MAX_FEATURES numbers in one task
-    fitted = sample.mapInArrow(select, "y int, features binary").repartition(1).mapInArrow(fit, "weights binary, bias double").first()
+    # 4 bytes for each telling n-gram of at most max_rows rows, parted over SAMPLE_PARTS tasks
+    selected = stage(sample.mapInArrow(select, "y int, features binary"), "toxicity-features")
+    fitted = minimised(_loss(selected, scales, (0.5 / rows[0], 0.5 / rows[1])), np.zeros(len(chosen) + 1))
     weights = np.zeros(n, np.float32)
-    weights[chosen] = np.frombuffer(fitted["weights"])
-    return weights, fitted["bias"]
+    weights[chosen] = fitted[:-1] * ratio[chosen]
+    places.destroy()
+    scales.destroy()
+    return weights, float(fitted[-1])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text") -> DataFrame:
-    """Adds ``score``, from 0 to 1, to every row; a null or empty text is scored by the bias alone. Repeated rows get the same score."""
+    """Adds ``score``, from 0 to 1, to every row; a null or empty text is scored by the bias alone. Repeated rows get the same score. A column of that name is replaced."""
+    docs = docs.drop("score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

@@ -161,6 +161,47 @@ def test_boosting():
     assert base == [] and [s[0] for s in spans] == ["email", "phone"]
 
 
+def test_long_names_are_whole():
+    text = "write to " + "a" * 80 + " at " + "b" * 70 + " dot org now"
+    found = [s for s in pii.candidates(text) if s[0] == "email"]
+    assert found == [("email", 9, len(text) - 4)]
+
+
+def plain_rating(model, x):
+    """The trees' sum for one candidate, node by node."""
+    z = model.prior
+    bins = [sum(e < v for e in edges) for edges, v in zip(model.edges, x, strict=True)]
+    for feature, cut, value in model.trees:
+        node = 0
+        while node < len(cut):
+            node = 2 * node + (2 if bins[feature[node]] > cut[node] else 1)
+        z += value[node - len(cut)]
+    return 1 / (1 + np.exp(-(model.slope * z + model.shift)))
+
+
+def test_added_spans_against_plain_rating():
+    """Every candidate rated by itself; of overlapping ones the likelier stays, and none that meets a base span."""
+    r = random.Random(17)
+    bits = ["call (212) 555-1234", "jo.e [at] web (dot) org", "a at b dot com", "4111 1111 1111 1111", "fe80::1:2:3", "version 1.2.3.4", "212-555-1234-77", "+1 212 555 1234", "x@y.org", "order 1234 5678 90", "the", "12:30:45:10", "mail a_b at c.org or 030 123 4567"]
+    model = pii.default_model()
+    texts = [" ".join(r.choice(bits) for _ in range(r.randint(0, 8))) for _ in range(600)] + [""]
+    added = 0
+    for text, (base, spans) in zip(texts, pii.all_spans(texts, model), strict=True):
+        assert sorted(base) == sorted(brute_spans(text))
+        rated = []
+        for k, a, b in pii.candidates(text):
+            q = plain_rating(model, pii.features(text, k, a, b))
+            if q >= model.threshold[pii.KINDS.index(k)] and not any(x < b and a < y for _, x, y in base):
+                rated.append((-q, a, b, k))
+        kept = []
+        for q, a, b, k in sorted(rated):
+            if not any(x < b and a < y for _, x, y in kept):
+                kept.append((k, a, b))
+        assert sorted(spans) == sorted(base + kept), text
+        added += len(kept)
+    assert added > 300
+
+
 def test_pii_rows(spark, odd, nothing):
     rows = spark.createDataFrame([(1, "é a@b.de x"), (2, None), (3, ""), (4, "10.0.0.1 10.0.0.1"), (4, "10.0.0.1 10.0.0.1")], "doc_id long, text string")
     assert [r["text"] for r in pii.redact(rows).orderBy("doc_id").collect()] == ["é [EMAIL] x", None, "", "[IP] [IP]", "[IP] [IP]"]
@@ -552,6 +593,26 @@ def test_suffix_array_by_doubling():
             assert decontaminate.suffix_array(s).tolist() == sorted(range(n + 1), key=lambda i: s[i:].tolist())
 
 
+def test_phrases_are_arrays():
+    """Windows, and the items that have them, against sets; a benchmark of a few megabytes is held in a few times its size."""
+    r = random.Random(18)
+    items = [(str(i), " ".join(r.choice("abc") for _ in range(r.randint(0, 9))).encode()) for i in range(60)]
+    p = decontaminate.Phrases(items, 3)
+    word = {n: w for w, n in p.number.items()}
+    want, got = collections.defaultdict(set), {}
+    for name, text in items:
+        w = text.split()
+        for k in range(max(1, len(w) - 2) if w else 0):
+            want[tuple(w[k : k + 3])].add(name)
+    for length, (places, starts, owners) in p.by_length.items():
+        for i, at in enumerate(places.tolist()):
+            got[tuple(word[x] for x in p.ids[at : at + length].tolist())] = {p.names[o] for o in owners[starts[i] : starts[i + 1]].tolist()}
+    assert got == want
+    text = b" ".join(b"w%d" % r.randint(0, 50_000) for _ in range(300_000))
+    p = decontaminate.Phrases([("x", text)], 10)
+    assert sum(a.nbytes for parts in p.by_length.values() for a in parts) + p.ids.nbytes < 5 * len(text)
+
+
 def test_fm_index():
     r = np.random.default_rng(4)
     text = r.integers(1, 4, 300)
@@ -596,6 +657,32 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(x["score"] < 0.01 for x in toxicity.score(docs, none).collect())
 
 
+def test_regression_against_a_dense_one(spark):
+    """Sets of n-grams as strings, naive Bayes ratios from their counts, and Newton's method on the dense matrix give the same scores."""
+    r = random.Random(16)
+    words, bad = ["stone", "river", "walk", "near", "house"], ["scum", "vile"]
+    texts = [" ".join(r.choice(words + bad * (i % 3 == 0)) for _ in range(12)) for i in range(240)]
+    y = np.array([int(i % 3 == 0) if i % 17 else 1 - int(i % 3 == 0) for i in range(240)])
+    grams = [{f" {t} "[k : k + n] for n in toxicity.SIZES for k in range(len(t) + 3 - n)} for t in texts]
+    names = sorted(set().union(*grams))
+    x = np.array([[float(g in s) for g in names] for s in grams])
+    found, rows = np.stack([x[y == c].sum(0) for c in (0, 1)]), np.array([(y == c).sum() for c in (0, 1)])
+    ratio = np.log(((found[1] + 1) / (rows[1] + 2)) / ((found[0] + 1) / (rows[0] + 2)))
+    total, share = found.sum(0), rows[1] / rows.sum()
+    use = (np.abs(found[1] - total * share) / np.sqrt(total * share * (1 - share) + 0.5) >= toxicity.TELLING) & (total > 1)
+    a = np.hstack([x[:, use] * ratio[use], np.ones((240, 1))])
+    weight, ridge, w = 0.5 / rows[y], np.append(np.full(use.sum(), toxicity.PENALTY), 0.0), np.zeros(use.sum() + 1)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-a @ w))
+        w -= np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + np.diag(ridge + 1e-12), a.T @ (weight * (p - y)) + ridge * w)
+    docs = spark.createDataFrame([(i, t, "old") for i, t in enumerate(texts)], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, int(c)) for i, c in enumerate(y)], "doc_id long, toxic int")
+    out = toxicity.score(docs, toxicity.train(docs, labels, "doc_id", "text", "toxic"))
+    got = {x["doc_id"]: x["score"] for x in out.collect()}
+    assert use.sum() > 5 and out.columns == ["doc_id", "text", "score"]
+    assert max(abs(got[i] - 1 / (1 + np.exp(-z))) for i, z in enumerate(a @ w)) < 5e-3
+
+
 def test_op8(spark):
     sf = "/root/testdata/sf0.01"
     toxic = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
