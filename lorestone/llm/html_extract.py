@@ -541,40 +541,78 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", orde
     host, _ = host_and_path(F.col(url_col))
     order = F.coalesce(F.col(order_col).cast("string"), F.lit(""))
     wrappers = stage(induce(pages.select(host.alias("host"), order.alias("order"), F.col(html_col).alias("html")).where("host <> ''")), "html-wrappers")
+    base = pages.select(*kept, host.alias("_host"), F.col(html_col).alias("_html"))
+    size = wrappers.agg(F.sum(F.octet_length("host") + F.octet_length("skeleton") + 36 * F.size("marks"))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        return _extracted_here(base, wrappers)
     one = F.struct("layout", "pages", "skeleton", "marks")
     own = wrappers.select(F.col("host").alias("_host"), F.col("layout").alias("_layout"), one.alias("_wrapper"))
     main = wrappers.groupBy(F.col("host").alias("_host")).agg(F.max_by(one, F.struct("pages", "layout")).alias("_main"))
-    size = wrappers.agg(F.sum(F.octet_length("host") + F.octet_length("skeleton") + 36 * F.size("marks"))).first()[0] or 0
-    laid = _laid_out(pages.select(*kept, host.alias("_host"), F.col(html_col).alias("_html")))
-    if size <= BROADCAST_BYTES:
-        joined = laid.join(F.broadcast(own), ["_host", "_layout"], "left").join(F.broadcast(main), "_host", "left")
-    else:
-        salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
-        salted = laid.withColumn("_salt", F.pmod(F.xxhash64("_html"), F.lit(SALTS)))
-        joined = salted.join(own.withColumn("_salt", salts), ["_host", "_layout", "_salt"], "left").join(main.withColumn("_salt", salts), ["_host", "_salt"], "left")
-    joined = joined.select(*kept, "_html", "_host", F.coalesce("_wrapper", "_main").alias("_wrapper"))
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    salted = _laid_out(base).withColumn("_salt", F.pmod(F.xxhash64("_html"), F.lit(SALTS)))
+    joined = salted.join(own.withColumn("_salt", salts), ["_host", "_layout", "_salt"], "left").join(main.withColumn("_salt", salts), ["_host", "_salt"], "left")
+    return _extracted(joined.select(*kept, "_host", "_html", F.coalesce("_wrapper", "_main").alias("_wrapper")))
+
+
+def _made(w: dict) -> Wrapper:
+    return Wrapper(Skeleton.unpacked(w["skeleton"]), w["pages"], [tuple(m.values()) for m in w["marks"]])
+
+
+def _texts(rows: DataFrame, fields: list[T.StructField], text_of) -> DataFrame:
+    """``fields`` of the rows and the text that ``text_of`` (batch, row number, page) gives; the page is the column behind the fields and the host."""
+    n = len(fields)
 
     def run(batches):
-        known: dict[tuple[str, int], Wrapper] = {}
         for whole in batches:
             for k in range(0, whole.num_rows, 128):
                 batch = whole.slice(k, 128)
-                n, texts = batch.num_columns, []
-                for source, name, found in zip(batch.column(n - 3).to_pylist(), batch.column(n - 2).to_pylist(), batch.column(n - 1), strict=True):
-                    page = Page(source or "")
-                    if not found.is_valid:
-                        texts.append(main_text(page, set()))
-                        continue
-                    key = (name, found["layout"].as_py())
-                    if key not in known:
-                        if len(known) >= 256:
-                            known.clear()
-                        w = found.as_py()
-                        known[key] = Wrapper(Skeleton.unpacked(w["skeleton"]), w["pages"], [tuple(m.values()) for m in w["marks"]])
-                    texts.append(main_text(page, *known[key].parts(Skeleton.of(page))))
-                yield pa.RecordBatch.from_arrays([*batch.columns[: n - 3], pa.array(texts, pa.string())], names=[*batch.schema.names[: n - 3], "text"])
-
-    return joined.mapInArrow(run, T.StructType([*joined.schema.fields[:-3], T.StructField("text", T.StringType())]))
+                texts = [text_of(batch, i, Page(source or "")) for i, source in enumerate(batch.column(n + 1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(texts, pa.string())], names=[*batch.schema.names[:n], "text"])
+
+    return rows.mapInArrow(run, T.StructType([*fields, T.StructField("text", T.StringType())]))
+
+
+def _extracted_here(rows: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """With all wrappers, few as they are, in every task: (fields, _host, _html)."""
+    found = [r.asDict(recursive=True) for r in wrappers.toLocalIterator()]
+    shared = rows.sparkSession.sparkContext.broadcast(found)
+    made: dict[tuple[str, int], Wrapper] = {}
+    raw: dict[str, dict[int, dict]] = {}
+    n = rows.columns.index("_host")
+
+    def text_of(batch: pa.RecordBatch, i: int, page: Page) -> str:
+        if not raw and shared.value:
+            for w in shared.value:
+                raw.setdefault(w["host"], {})[w["layout"]] = w
+        of_host = raw.get(batch.column(n)[i].as_py())
+        if not of_host:
+            return main_text(page, set())
+        w = of_host.get(layout(page)) or max(of_host.values(), key=lambda w: (w["pages"], w["layout"]))
+        key = (w["host"], w["layout"])
+        if key not in made:
+            made[key] = _made(w)
+        return main_text(page, *made[key].parts(Skeleton.of(page)))
+
+    return _texts(rows, rows.schema.fields[:-2], text_of)
+
+
+def _extracted(rows: DataFrame) -> DataFrame:
+    """With each row's wrapper beside it: (fields, _host, _html, _wrapper)."""
+    known: dict[tuple[str, int], Wrapper] = {}
+    n = rows.columns.index("_host")
+
+    def text_of(batch: pa.RecordBatch, i: int, page: Page) -> str:
+        found = batch.column(n + 2)[i]
+        if not found.is_valid:
+            return main_text(page, set())
+        key = (batch.column(n)[i].as_py(), found["layout"].as_py())
+        if key not in known:
+            if len(known) >= 256:
+                known.clear()
+            known[key] = _made(found.as_py())
+        return main_text(page, *known[key].parts(Skeleton.of(page)))
+
+    return _texts(rows, rows.schema.fields[:-3], text_of)
 
 
 def op5_wrapper_induction(spark, sf_dir: str) -> DataFrame:
