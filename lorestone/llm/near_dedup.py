@@ -5,7 +5,11 @@ ERRORS of some chunk (pigeonhole), so enumerating every way to leave ERRORS mini
 distance is missed. A pair with a similarity of 0.8 exceeds it with a chance of 5.2e-5. Documents with equal shingle sets are one node from
 the start. Only components are asked for, so a bucket of one key gives a spanning forest of its pairs within the distance, not all of them; the forests
 join nodes into coarse groups that hold every link. Inside a group links are confirmed on the full sets, again as a spanning forest.
-Large buckets and groups are dealt out by pairs of blocks of bounded size, so that no task needs one whole.
+
+Large buckets and groups are dealt to blocks of bounded size, so that no task needs one whole. Every block compares its members with each other and with
+a few representatives of the group, which joins near copies of one text in linear work. A second round takes what is still apart: the members outside
+their group's largest component meet all its blocks, and only pairs of different components are compared. So every pair is compared or joined
+already, and the work beyond the blocks is members outside the largest component times members.
 """
 
 from __future__ import annotations
@@ -15,10 +19,10 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read, stage
+from .common import drop_staged, read, stage
 
 WORDS, PERCENT = 5, 80
 CHUNKS, WIDTH, ERRORS = 15, 5, 1
@@ -26,6 +30,7 @@ SIZE = CHUNKS * WIDTH
 MOST = CHUNKS * (ERRORS + 1) - 1  # minima that may differ
 BLOCK = 2048  # rows of a block at most
 BLOCK_SHINGLES = 2_000_000  # and shingles, unless one document has more
+REPRESENTATIVES = 32  # of a group of several blocks, by a hash
 CHUNK_ROWS = 20_000
 KEPT_WORDS = 200_000
 BROADCAST_IDS = 1_000_000  # ids of 8 bytes that are sent to the executors at most; more are joined
@@ -130,10 +135,10 @@ def _keys(nodes: DataFrame) -> DataFrame:
 
 
 class Forest:
-    """Links between the rows of a group that join different parts; ``part`` names each row's part."""
+    """Links between the rows of a group that join different parts; ``part`` names each row's part, at first by its label."""
 
-    def __init__(self, n: int):
-        self.part = np.arange(n)
+    def __init__(self, labels: np.ndarray):
+        self.part = np.unique(labels, return_inverse=True)[1]
         self.links: list[tuple[int, int]] = []
 
     def join(self, i: int, others: np.ndarray) -> None:
@@ -143,11 +148,42 @@ class Forest:
                 self.links.append((i, j))
 
 
-def _blocked(rows: DataFrame, blocks) -> DataFrame:
-    """Adds own, lo and hi: a row goes to every pair of blocks (lo, hi) that has its own block."""
-    held = rows.withColumn("_blocks", blocks.cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
-    held = held.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    return held.withColumns({"lo": F.least("own", "_other"), "hi": F.greatest("own", "_other")}).drop("_blocks", "_other")
+def _dealt(rows: DataFrame, group: str, blocks) -> DataFrame:
+    """(group, block, guest, label, id, blocks) of the first round: each row in its block, and the representatives of groups of several blocks in all blocks."""
+    held = rows.withColumns({"blocks": blocks.cast("int"), "label": F.col("id"), "guest": F.lit(False)})
+    held = held.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    few = Window.partitionBy(group).orderBy(F.xxhash64("id", F.lit(1)), "id")
+    guests = held.where("blocks > 1").withColumn("_r", F.row_number().over(few)).where(F.col("_r") <= REPRESENTATIVES).drop("_r")
+    return held.unionByName(_in_all_blocks(guests))
+
+
+def _in_all_blocks(guests: DataFrame) -> DataFrame:
+    own = guests.withColumns({"guest": F.lit(True), "_own": F.col("block")}).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return own.where("block <> _own").drop("_own")  # there they are members
+
+
+def _still_apart(dealt: DataFrame, group: str, labels: DataFrame) -> DataFrame:
+    """The rows of the second round: groups of several blocks and several components, where members outside the largest one are guests of all blocks."""
+    large = dealt.where("blocks > 1 AND NOT guest").drop("label").join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+    sizes = large.groupBy(group, "label").agg(F.count(F.lit(1)).alias("size"))
+    main = sizes.groupBy(group).agg(F.max_by("label", F.struct("size", -F.col("label"))).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+    large = large.join(main, group)
+    return large.drop("main").unionByName(_in_all_blocks(large.where("label <> main").drop("main")))
+
+
+def _two_rounds(dealt: DataFrame, group: str, compare) -> DataFrame:
+    """The edges (a, b) that ``compare`` (rows, whether members of a block are compared with each other) finds in both rounds."""
+    dealt = stage(dealt, "near-dealt")
+    first = stage(compare(dealt, True), "near-links")
+    if dealt.where("blocks > 1").isEmpty():
+        drop_staged(dealt)
+        return first
+    labels = components(first)
+    apart = stage(_still_apart(dealt, group, labels), "near-apart")
+    second = stage(compare(apart, False), "near-links")
+    out = stage(first.unionAll(second), "near-links")
+    drop_staged(dealt, first, labels, apart, second)
+    return out
 
 
 def _chunks(batches, keys: int, rows: int, size_col: int | None = None, most: int = 0):
@@ -197,29 +233,34 @@ def _pairs_batch(a: list[int], b: list[int]) -> pa.RecordBatch:
 def _coarse(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(a, b): spanning forests of the pairs within the distance in each bucket."""
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    rows = _blocked(members.join(sizes, "key"), F.ceil(F.col("size") / BLOCK)).join(nodes.select("id", "n", "sig"), "id")
-    rows = rows.select("key", "lo", "hi", "own", "id", "n", "sig").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "n")
-
-    def run(batches):
-        for table in _chunks(batches, 3, CHUNK_ROWS):
-            own, ids, n = (table.column(k).to_numpy() for k in (3, 4, 5))
-            sig = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint8).reshape(-1, SIZE)
-            begin, end = _groups(table, 3)
-            two = begin[end - begin == 2]
-            ok = ((sig[two] != sig[two + 1]).sum(axis=1) <= MOST) & _allowed(n[two], n[two + 1], percent)
-            a, b = ids[two[ok]].tolist(), ids[two[ok] + 1].tolist()
-            for lo, hi in zip(begin[end - begin > 2].tolist(), end[end - begin > 2].tolist(), strict=True):
-                f = Forest(hi - lo)
-                s, m, o = sig[lo:hi], n[lo:hi], own[lo:hi]
-                for i in range(hi - lo - 1):
-                    j = i + 1 + np.flatnonzero((f.part[i + 1 :] != f.part[i]) & _allowed(m[i + 1 :], m[i], percent))
-                    if len(j):
-                        f.join(i, j[(s[j] != s[i]).sum(axis=1) <= MOST])
-                a += [int(ids[lo + i]) for i, _ in f.links]
-                b += [int(ids[lo + j]) for _, j in f.links]
-            yield _pairs_batch(a, b)
-
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    dealt = _dealt(members.join(sizes, "key"), "key", F.ceil(F.col("size") / BLOCK)).select("key", "block", "guest", "label", "id", "blocks")
+
+    def compare(rows: DataFrame, within: bool) -> DataFrame:
+        rows = rows.join(nodes.select("id", "n", "sig"), "id").select("key", "block", "guest", "label", "id", "n", "sig")
+        rows = rows.repartition("key", "block").sortWithinPartitions("key", "block", "n")
+
+        def run(batches):
+            for table in _chunks(batches, 2, CHUNK_ROWS):
+                guest, label, ids, n = (table.column(k).to_numpy() for k in (2, 3, 4, 5))
+                sig = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint8).reshape(-1, SIZE)
+                begin, end = _groups(table, 2)
+                two = begin[end - begin == 2]
+                ok = ((sig[two] != sig[two + 1]).sum(axis=1) <= MOST) & _allowed(n[two], n[two + 1], percent) & (label[two] != label[two + 1])
+                a, b = ids[two[ok]].tolist(), ids[two[ok] + 1].tolist()
+                for lo, hi in zip(begin[end - begin > 2].tolist(), end[end - begin > 2].tolist(), strict=True):
+                    f = Forest(label[lo:hi])
+                    s, m, g = sig[lo:hi], n[lo:hi], guest[lo:hi]
+                    for i in range(hi - lo - 1):
+                        j = i + 1 + np.flatnonzero((f.part[i + 1 :] != f.part[i]) & _allowed(m[i + 1 :], m[i], percent) & (within | (g[i + 1 :] != g[i])))
+                        if len(j):
+                            f.join(i, j[(s[j] != s[i]).sum(axis=1) <= MOST])
+                    a += [int(ids[lo + i]) for i, _ in f.links]
+                    b += [int(ids[lo + j]) for _, j in f.links]
+                yield _pairs_batch(a, b)
+
+        return rows.mapInArrow(run, "a long, b long").distinct()
+
+    return _two_rounds(dealt, "key", compare)
 
 
 def _full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -237,15 +278,15 @@ def _full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return needed.select("doc_id", "text").mapInArrow(run, "id long, shingles binary")
 
 
-def _linked(ids: np.ndarray, own: np.ndarray, sets: list[np.ndarray], sig: np.ndarray, apart: bool, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the confirmed links of one group (of two blocks, if ``apart``: then links inside a block are another group's)."""
+def _linked(ids: np.ndarray, guest: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], sig: np.ndarray, within: bool, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the confirmed links of one block that join different labels; with ``within`` those between its members too, else only those of members and guests."""
     n = np.array([len(s) for s in sets])
-    f = Forest(len(ids))
+    f = Forest(labels)
     _, flat = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.cumsum(n) - n
     mark = np.zeros(int(flat.max(initial=-1)) + 1, bool)
     for i in range(len(ids) - 1):
-        j = i + 1 + np.flatnonzero((f.part[i + 1 :] != f.part[i]) & _allowed(n[i + 1 :], n[i], percent) & ((own[i + 1 :] != own[i]) | (not apart)))
+        j = i + 1 + np.flatnonzero((f.part[i + 1 :] != f.part[i]) & _allowed(n[i + 1 :], n[i], percent) & (within | (guest[i + 1 :] != guest[i])))
         j = j[(sig[j] != sig[i]).sum(axis=1) <= MOST]
         if not len(j):
             continue
@@ -261,25 +302,29 @@ def _linked(ids: np.ndarray, own: np.ndarray, sets: list[np.ndarray], sig: np.nd
 
 def _confirmed(groups: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(a, b): spanning forests of the links inside the coarse groups (id, component): 100 * |intersection| >= percent * |union| on the full sets."""
-    known = groups.join(nodes.select("id", "n", "sig"), "id")
+    known = groups.join(nodes.select("id", "n"), "id")
     sizes = known.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"))
     blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("total") / BLOCK_SHINGLES))
-    rows = _blocked(known.join(sizes, "component"), blocks)
-    rows = rows.join(_full_sets(docs, groups.select("id"), words), "id")
-    rows = rows.select("component", "lo", "hi", "own", "id", "n", "sig", "shingles").repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "n")
+    dealt = _dealt(known.join(sizes, "component").withColumnRenamed("component", "coarse"), "coarse", blocks).select("coarse", "block", "guest", "label", "id", "blocks")
 
-    def run(batches):
-        for table in _chunks((b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)), 3, CHUNK_ROWS, 5, BLOCK_SHINGLES // 2):
-            low, high, own, ids = (table.column(k).to_numpy() for k in (1, 2, 3, 4))
-            sig = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint8).reshape(-1, SIZE)
-            sets = [np.frombuffer(x.as_py(), U) for x in table.column(7)]
-            links = []
-            for lo, hi in zip(*(x.tolist() for x in _groups(table, 3)), strict=True):
-                if hi - lo > 1:
-                    links += _linked(ids[lo:hi], own[lo:hi], sets[lo:hi], sig[lo:hi], bool(low[lo] != high[lo]), percent)
-            yield _pairs_batch([a for a, _ in links], [b for _, b in links])
+    def compare(rows: DataFrame, within: bool) -> DataFrame:
+        rows = rows.join(nodes.select("id", "n", "sig"), "id").join(_full_sets(docs, rows.select("id").distinct(), words), "id")
+        rows = rows.select("coarse", "block", "guest", "label", "id", "n", "sig", "shingles").repartition("coarse", "block").sortWithinPartitions("coarse", "block", "n")
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+        def run(batches):
+            for table in _chunks((b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)), 2, CHUNK_ROWS, 5, BLOCK_SHINGLES // 2):
+                guest, label, ids = (table.column(k).to_numpy() for k in (2, 3, 4))
+                sig = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint8).reshape(-1, SIZE)
+                sets = [np.frombuffer(x.as_py(), U) for x in table.column(7)]
+                links = []
+                for lo, hi in zip(*(x.tolist() for x in _groups(table, 2)), strict=True):
+                    if hi - lo > 1:
+                        links += _linked(ids[lo:hi], guest[lo:hi], label[lo:hi], sets[lo:hi], sig[lo:hi], within, percent)
+                yield _pairs_batch([a for a, _ in links], [b for _, b in links])
+
+        return rows.mapInArrow(run, "a long, b long").distinct()
+
+    return _two_rounds(dealt, "coarse", compare)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -292,15 +337,20 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or state[0] == 0:
-            return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
+            ends = now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("component")))
+            out = stage(ends.groupBy("id").agg(F.min("component").alias("component")), "components")
+            drop_staged(now)
+            return out
         before = state
         both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = stage(large, "stars")
+        drop_staged(now)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(least.select("u", F.col("m").alias("v"))).distinct()
         now = stage(small, "stars")
+        drop_staged(large)
 
 
 def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -316,11 +366,13 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     keys = _keys(nodes)
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
     members = stage(keys.join(shared, "key"), "near-members")
-    # rows that repeat an id with another text are linked through the id
-    groups = stage(components(_coarse(members, nodes, percent)), "near-groups")
+    near = _coarse(members, nodes, percent)
+    groups = components(near)
+    links = _confirmed(groups, nodes, docs, words, percent)
     # rows that repeat an id with another text are linked through the id
     same = some.select("f1", "f2", "n", "doc_id").join(nodes, ["f1", "f2", "n"]).select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
-    labels = stage(components(same.unionAll(_confirmed(groups, nodes, docs, words, percent))), "near-components")
+    labels = components(same.unionAll(links))
+    drop_staged(nodes, members, near, groups, links)
     out = signed.select("doc_id", F.col("n").alias("n_shingles")).join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

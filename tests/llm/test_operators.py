@@ -525,12 +525,54 @@ def test_components_of_random_copies(spark, monkeypatch):
             words = [r.choice("abcdefghijklmnopqrstuvwxyz") * r.randint(1, 3) for _ in range(r.choice((1, 2, 6, 30, 80)))]
         rows.append((i, " ".join(words)))
     want = brute_components(rows, 2, 80)
-    for block in (2048, 16):
+    for block, few in ((2048, 32), (16, 2), (5, 1)):
         monkeypatch.setattr(near_dedup, "BLOCK", block)
+        monkeypatch.setattr(near_dedup, "REPRESENTATIVES", few)
         got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in near_dedup.cluster(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()}
         assert got == want
 
 
+def test_a_large_group_takes_linear_work(spark, monkeypatch):
+    """Near copies of one text over many blocks: representatives join them, so that hardly any row goes to another block than its own; distant texts of the same bucket stay apart."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 50)
+    r = random.Random(19)
+    base = [f"w{r.randint(0, 10_000)}" for _ in range(60)]
+    rows = []
+    for i in range(1500):
+        words = list(base)
+        for _ in range(2 if i % 3 else 0):
+            words[r.randrange(60)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    guests, staged = [], near_dedup.stage
+
+    def spy(df, name):
+        out = staged(df, name)
+        if name in ("near-dealt", "near-apart"):
+            guests.append(out.where("guest").count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "stage", spy)
+    got = near_dedup.cluster(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()
+    assert {x["component_id"] for x in got} == {0} and len(got) == 1500
+    groups = 75 * 1500 / 50  # at most so many blocks in the buckets of one key, and 30 in the coarse group
+    assert len(guests) >= 2 and sum(guests) < (groups + 30) * near_dedup.REPRESENTATIVES * 1.2  # pairs of blocks would be 75 * 1500 * 30
+
+
+def test_recall_near_the_threshold():
+    """Pairs of a similarity just above 0.8 share a key and are within the distance; the stated chance of a miss is 5.2e-5."""
+    r = np.random.default_rng(20)
+    missed = 0
+    for _ in range(2000):
+        both = r.integers(0, 2**63, 80, dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([both, r.integers(0, 2**63, 10, dtype=np.uint64)])) for _ in range(2))
+        sa, sb = (np.frombuffer(near_dedup.signature(x), np.uint8) for x in (a, b))
+        near = (sa != sb).sum() <= near_dedup.MOST
+        missed += not near
+        if near:
+            assert (near_dedup.chunk_keys(sa[None]) == near_dedup.chunk_keys(sb[None])).any()
+    assert missed <= 3
+
+
 def test_keys_meet_within_the_distance():
     r = np.random.default_rng(3)
     a = r.integers(0, 256, (200, near_dedup.SIZE)).astype(np.uint8)
