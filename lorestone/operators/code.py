@@ -69,9 +69,18 @@ def triviality(text: Column) -> Column:
     return F.when(F.size(real) == 0, "empty").when(importing, "import_only").when(defining, "definition").when(constant, "constant").when(assigning, "assignment").otherwise("other")
 
 
+#: Comments that allow a duplicate, each with its reason as the group. Fixed values.
+OVERRIDES = (r"#\s*@allow-duplicate(?:\s*:\s*(.+))?", r"//\s*@allow-duplicate(?:\s*:\s*(.+))?", r"/\*\s*@allow-duplicate(?:\s*:\s*(.+))?\s*\*/", r"#\s*MEMORY_GUARD_ALLOW(?:\s*:\s*(.+))?", r"//\s*MEMORY_GUARD_ALLOW(?:\s*:\s*(.+))?")
+NO_REASON = "Override comment detected"
+
+
 def override_reason(text: Column) -> Column:
-    """The reason given in an override comment, or null."""
-    return F.nullif(F.trim(F.regexp_extract(text, r"(?i)(?:#|//)\s*@?allow-duplicate:\s*([^\n]+)", 1)), F.lit(""))
+    """The reason given in an override comment, NO_REASON if it gives none, null without such a comment."""
+    out = F.lit(None).cast("string")
+    for pattern in reversed(OVERRIDES):
+        reason = F.trim(F.regexp_replace(F.regexp_extract(text, "(?i)" + pattern, 1), r"\s*\*/\s*$", ""))
+        out = F.when(text.rlike("(?i)" + pattern), F.coalesce(F.nullif(reason, F.lit("")), F.lit(NO_REASON))).otherwise(out)
+    return out
 
 
 def definitions(text: Column) -> Column:

@@ -1,12 +1,11 @@
 """Entities, relations and implementation chunks from source files, one row each. A file that cannot be parsed gives an error row, never a failed job.
 
-Each language is a function of (file, text) in a registry by extension; a task runs it over its Arrow batches. Python uses the standard syntax tree; the
-others use line rules.
+Each language is a function of (file, text) in a registry by extension; a task runs it over its Arrow batches. Python uses the standard syntax tree,
+JavaScript a scanner of tokens and brackets, Markdown its sections; the others use line rules.
 """
 
 from __future__ import annotations
 
-import ast
 import configparser
 import csv
 import io
@@ -17,14 +16,11 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-Row = tuple[str, str, str | None, str, int, str | None]  # row, name, other, kind, line, content
-SCHEMA = "file string, row string, name string, other string, kind string, line int, content string"
-#: Calls that read or write files, and the type of the relation they give. Fixed values.
-FILE_CALLS = {
-    "open": "file_open", "read_csv": "pandas_csv_read", "read_json": "pandas_json_read", "read_excel": "pandas_excel_read", "to_csv": "pandas_csv_write", "to_json": "pandas_json_write",
-    "read_text": "path_read_text", "write_text": "path_write_text", "read_bytes": "path_read_bytes", "write_bytes": "path_write_bytes", "load": "json_load", "dump": "json_write",
-}
-MODES = frozenset("r w a x rb wb ab xb r+ w+ a+ rt wt at b t".split())
+from lorestone.operators import javascript_source, python_source, sections
+from lorestone.operators.parsed import Row
+
+SCHEMA = "file string, row string, name string, other string, kind string, line int, content string, detail string"
+#: Arrays whose objects are content, of a JSON file. Fixed values.
 ITEM_ARRAYS = ("site_pages", "items", "articles", "posts", "data", "entries", "records", "results", "content")
 registry: dict[str, Callable[[str, str], Iterator[Row]]] = {}
 
@@ -37,125 +33,97 @@ def parser(*extensions: str):
     return add
 
 
-def _name_of(node: ast.AST) -> str | None:
-    if isinstance(node, ast.Name):
-        return node.id
-    if isinstance(node, ast.Attribute):
-        left = _name_of(node.value)
-        return f"{left}.{node.attr}" if left else node.attr
-    return None
-
-
-def _targets(node: ast.AST) -> Iterator[str]:
-    """Names bound by an assignment target: names in tuples, lists and starred parts; attributes are none."""
-    if isinstance(node, ast.Name):
-        yield node.id
-    elif isinstance(node, (ast.Tuple, ast.List)):
-        for e in node.elts:
-            yield from _targets(e)
-    elif isinstance(node, ast.Starred):
-        yield from _targets(node.value)
+parser(".py")(python_source.python)
+parser(".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs")(javascript_source.javascript)
 
 
-@parser(".py")
-def python(file: str, text: str) -> Iterator[Row]:
-    tree = ast.parse(text)
-    yield "entity", file, None, "file", 1, None
-    todo: list[tuple[ast.AST, str, bool]] = [(n, file, False) for n in tree.body]
-    while todo:
-        node, parent, in_class = todo.pop(0)
-        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-            kind = "class" if isinstance(node, ast.ClassDef) else "method" if in_class else "function"
-            yield "entity", node.name, ast.get_docstring(node), kind, node.lineno, None
-            yield "relation", parent, node.name, "contains", node.lineno, None
-            yield "chunk", node.name, None, "implementation", node.lineno, ast.get_source_segment(text, node)
-            inner = {n for n in ast.walk(node) if isinstance(n, ast.Call)} if kind != "class" else set()
-            for name in sorted({c for n in inner if (c := _name_of(n.func))}):
-                yield "relation", node.name, name.split(".")[-1], "calls", node.lineno, None
-            if kind == "class":
-                for base in node.bases:
-                    if b := _name_of(base):
-                        yield "relation", node.name, b, "inherits", node.lineno, None
-                todo = [(n, node.name, True) for n in node.body] + todo
-        elif isinstance(node, ast.Import):
-            for a in node.names:
-                yield "relation", file, a.name, "imports", node.lineno, None
-        elif isinstance(node, ast.ImportFrom):
-            yield "relation", file, "." * node.level + (node.module or ""), "imports", node.lineno, None
-        elif isinstance(node, (ast.Assign, ast.AnnAssign, ast.AugAssign)):
-            for t in node.targets if isinstance(node, ast.Assign) else [node.target]:
-                for name in _targets(t):
-                    yield "entity", name, parent, "constant" if name.isupper() else "variable", node.lineno, None
-        elif isinstance(node, (ast.If, ast.Try, ast.With)):
-            todo = [(n, parent, in_class) for field in ("body", "orelse", "finalbody") for n in getattr(node, field, [])] + todo
-    for node in ast.walk(tree):
-        if isinstance(node, ast.Call) and (name := _name_of(node.func)) and (kind := FILE_CALLS.get(name.split(".")[-1])):
-            for arg in node.args[:1]:
-                if isinstance(arg, ast.Constant) and isinstance(arg.value, str) and arg.value not in MODES:
-                    yield "relation", file, arg.value, kind, node.lineno, None
-        elif isinstance(node, ast.NamedExpr):
-            yield "entity", node.target.id, file, "variable", node.lineno, None
-
-
-JS_RULES = (
-    (re.compile(r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*([\w$]+)"), "function"), (re.compile(r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+([\w$]+)(?:\s+extends\s+([\w$.]+))?"), "class"),
-    (re.compile(r"^\s*(?:export\s+)?(?:const|let|var)\s+([\w$]+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|[\w$]+)\s*=>"), "function"), (re.compile(r"^\s*(?:export\s+)?interface\s+([\w$]+)"), "interface"), (re.compile(r"^\s*(?:export\s+)?(?:const|let|var)\s+([\w$]+)"), "variable"),
-)
-JS_IMPORT = re.compile(r"""(?:import\s.*?from\s*|import\s*|require\s*\(\s*)["']([^"']+)["']""")
-
-
-@parser(".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs")
-def javascript(file: str, text: str) -> Iterator[Row]:
-    yield "entity", file, None, "file", 1, None
-    for n, line in enumerate(text.split("\n"), 1):
-        for rule, kind in JS_RULES:
-            if m := rule.match(line):
-                yield "entity", m[1], None, kind, n, None
-                yield "relation", file, m[1], "contains", n, None
-                if kind == "class" and m[2]:
-                    yield "relation", m[1], m[2], "inherits", n, None
-                break
-        for target in JS_IMPORT.findall(line):
-            if target.startswith((".", "/")):  # packages are external
-                yield "relation", file, target, "imports", n, None
+def whole(file: str, text: str) -> Iterator[Row]:
+    """The file itself as a chunk, if it has any text."""
+    if text.strip():
+        yield Row("chunk", file, None, "implementation", 1, text)
 
 
 @parser(".css", ".scss", ".sass")
 def css(file: str, text: str) -> Iterator[Row]:
-    yield "entity", file, None, "file", 1, None
+    yield Row("entity", file, None, "file", 1, None)
     seen = set()
+    # comments, strings, addresses and imports name no selectors
+    plain = re.sub(r"""(?s)/\*.*?\*/|"[^"\n]*"|'[^'\n]*'|url\([^)]*\)|@import[^;]*;""", lambda m: re.sub(r"[^\n]", " ", m[0]), text)
     for kind, rule in (("class", r"\.([A-Za-z_][\w-]*)(?=[^{}]*\{)"), ("id", r"#([A-Za-z_][\w-]*)(?=[^{}:;]*\{)"), ("variable", r"(--[\w-]+)\s*:")):
-        for m in re.finditer(rule, text):
+        for m in re.finditer(rule, plain):
             if (kind, m[1]) not in seen:
                 seen.add((kind, m[1]))
-                yield "entity", m[1], None, kind, text.count("\n", 0, m.start()) + 1, None
+                yield Row("entity", m[1], None, kind, text.count("\n", 0, m.start()) + 1, None)
     for m in re.finditer(r"""@import\s+(?:url\()?["']([^"']+)["']""", text):
-        yield "relation", file, m[1], "imports", text.count("\n", 0, m.start()) + 1, None
+        yield Row("relation", file, m[1], "imports", text.count("\n", 0, m.start()) + 1, None)
+    yield from whole(file, text)
+
+
+#: What a page's markup names: (row kind, pattern); as operators.web, which reads tables of pages.
+MARKUP = (
+    ("id", r"""\sid\s*=\s*["']([^"']+)["']"""), ("custom", r"<([a-z][a-z0-9]*-[a-z0-9-]+)[\s>/]"), ("component", r"""data-component\s*=\s*["']([^"']+)["']"""),
+)
+
+
+@parser(".html", ".htm")
+def html(file: str, text: str) -> Iterator[Row]:
+    yield Row("entity", file, None, "file", 1, None)
+    at = lambda m: text.count("\n", 0, m.start()) + 1
+    for kind, rule in MARKUP:
+        for m in re.finditer("(?i)" + rule, text):
+            yield Row("entity", m[1], None, kind, at(m), None)
+    for m in re.finditer(r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']+)["']""", text):
+        if not re.match(r"(?i)#|javascript:|mailto:", m[1]):
+            yield Row("relation", file, m[1], "links", at(m), None)
+    for m in re.finditer(r"""(?i)<(?:script|img|link)\s[^>]*?(?:src|href)\s*=\s*["']([^"']+)["']""", text):
+        if not re.match(r"(?i)(?:https?:)?//", m[1]):
+            yield Row("relation", file, m[1], "imports", at(m), None)
+    for m in re.finditer(r"""(?i)<[a-z][^>]*?\sclass\s*=\s*["']([^"']+)["']""", text):
+        for name in m[1].split():
+            yield Row("relation", file, f".{name}", "uses", at(m), None)
+    for m in re.finditer(r"(?is)<style[^>]*>(.*?)</style>", text):
+        for name in sorted(set(re.findall(r"\.([A-Za-z_][\w-]*)\s*[{,]", m[1]))):
+            yield Row("entity", f".{name}", None, "class", at(m), None)
+    yield from whole(file, text)
 
 
 @parser(".json")
 def json_file(file: str, text: str) -> Iterator[Row]:
     data = json.loads(text)
-    yield "entity", file, None, "file", 1, None
+    yield Row("entity", file, None, "file", 1, None)
     todo: list[tuple[str, object, str]] = [("", data, file)]
     while todo:
         path, value, parent = todo.pop(0)
         if isinstance(value, dict):
             for k, v in value.items():
                 own = f"{path}.{k}" if path else k
-                yield "entity", own, parent, "object" if isinstance(v, dict) else "array" if isinstance(v, list) else "value", 1, None
-                yield "relation", parent, own, "contains", 1, None
+                yield Row("entity", own, parent, "object" if isinstance(v, dict) else "array" if isinstance(v, list) else "value", 1, None)
+                yield Row("relation", parent, own, "contains", 1, None)
                 todo.append((own, v, own))
         elif isinstance(value, list):
             todo += [(path + "[]", v, parent) for v in value if isinstance(v, dict)]
-    if isinstance(data, dict):
+    if not isinstance(data, dict):
+        yield from whole(file, text)
+        return
+    base = file.rpartition("/")[2]
+    if base == "package.json":
         for section in ("dependencies", "devDependencies"):
-            for package in data.get(section, {}) if file.endswith("package.json") and isinstance(data.get(section), dict) else ():
-                yield "relation", file, package, section, 1, None
-        for name in ITEM_ARRAYS:
-            for i, item in enumerate(data[name]) if isinstance(data.get(name), list) else ():
-                if isinstance(item, dict):
-                    yield "chunk", item_name(name, i, item), None, name.rstrip("s"), 1, item_text(item)
+            for package in data[section] if isinstance(data.get(section), dict) else ():
+                yield Row("relation", file, package, section, 1, None)
+    if re.fullmatch(r"tsconfig[\w.-]*\.json", base):
+        if isinstance(data.get("extends"), str):
+            yield Row("relation", file, data["extends"], "imports", 1, None)
+        options = data.get("compilerOptions")
+        for name, value in options.items() if isinstance(options, dict) else ():
+            yield Row("entity", f"compilerOptions.{name}", json.dumps(value), "option", 1, None)
+    found = False
+    for name in ITEM_ARRAYS:
+        for i, item in enumerate(data[name]) if isinstance(data.get(name), list) else ():
+            if isinstance(item, dict):
+                found = True
+                yield Row("chunk", item_name(name, i, item), None, name.rstrip("s"), 1, item_text(item))
+    if not found:
+        yield from whole(file, text)
 
 
 def item_name(array: str, index: int, item: dict) -> str:
@@ -169,126 +137,131 @@ def item_name(array: str, index: int, item: dict) -> str:
     return f"{one}_{key}" if key is not None else f"{one}_{index + 1}"
 
 
-def item_text(item: dict) -> str:
-    title = next((item[f].strip() for f in ("title", "name", "subject") if isinstance(item.get(f), str)), None)
-    parts = [item[f].strip() for f in ("content", "body", "text", "description", "summary") if isinstance(item.get(f), str) and item[f].strip()]
+def author_of(item: dict) -> str | None:
     author = item.get("author")
-    replies = [item_text(r) for f in ("replies", "comments", "children") for r in item.get(f, []) if isinstance(r, dict)] if isinstance(item, dict) else []
-    return "\n".join([*([title] if title else []), *([f"Author: {author}"] if isinstance(author, str) else []), *parts, *replies])
+    if isinstance(author, dict):
+        author = author.get("name") or author.get("username")
+    return author if isinstance(author, str) and author.strip() else None
+
+
+def item_text(item: dict) -> str:
+    """Title, author, bodies and the replies at any depth, which are written in the order they stand."""
+    out: list[str] = []
+    todo = [item]
+    while todo:
+        now = todo.pop()
+        text = lambda fields, now=now: [now[f].strip() for f in fields if isinstance(now.get(f), str) and now[f].strip()]
+        author = author_of(now)
+        out += [*text(("title", "name", "subject"))[:1], *([f"Author: {author}"] if author else []), *text(("content", "body", "text", "description", "summary"))]
+        replies = [r for f in ("replies", "comments", "children") if isinstance(now.get(f), list) for r in now[f] if isinstance(r, dict)]
+        todo += reversed(replies)
+    return "\n".join(out)
+
+
+def yaml_kind(file: str, text: str) -> str:
+    """By the path first, then by the content."""
+    if ".github/workflows" in file:
+        return "workflow"
+    if "docker-compose" in file or re.search(r"(?m)^services:", text):
+        return "compose"
+    return "kubernetes" if re.search(r"(?m)^apiVersion:", text) and re.search(r"(?m)^kind:", text) else "config"
 
 
 @parser(".yaml", ".yml")
 def yaml(file: str, text: str) -> Iterator[Row]:
-    kind = "workflow" if ".github/workflows" in file else "compose" if "docker-compose" in file or re.search(r"(?m)^services:", text) else "kubernetes" if re.search(r"(?m)^apiVersion:", text) else "config"
-    yield "entity", file, None, kind, 1, None
+    """Keys by indentation; the jobs of workflows, the services of compose files and the resources of Kubernetes documents are entities of their own."""
+    kind = yaml_kind(file, text)
+    yield Row("entity", file, None, kind, 1, None)
     stack: list[tuple[int, str]] = []
-    for n, line in enumerate(text.split("\n"), 1):
-        if m := re.match(r"^(\s*)(?:- )?([\w.\-/]+):(?:\s|$)", line):
-            depth = len(m[1])
-            while stack and stack[-1][0] >= depth:
-                stack.pop()
-            own = ".".join([*(k for _, k in stack), m[2]])
-            yield "entity", own, None, "key", n, None
-            yield "relation", ".".join(k for _, k in stack) or file, own, "contains", n, None
-            stack.append((depth, m[2]))
+    resource: dict[str, str] = {}
+    for n, line in enumerate([*text.split("\n"), "---"], 1):
+        if line.startswith("---"):
+            if kind == "kubernetes" and "kind" in resource:
+                name = f"{resource['kind']}/{resource.get('metadata.name', '')}"
+                yield Row("entity", name, None, "resource", n, None)
+                yield Row("relation", file, name, "contains", n, None)
+            stack, resource = [], {}
+            continue
+        m = re.match(r"""^(\s*)((?:- )*)(["']?)([\w.\-/ ]*[\w.\-/])\3:(?:\s+(.*?))?\s*$""", line)
+        if not m or line.lstrip().startswith("#"):
+            continue
+        depth = len(m[1]) + len(m[2])
+        while stack and stack[-1][0] >= depth:
+            stack.pop()
+        own = ".".join([*(k for _, k in stack), m[4]])
+        yield Row("entity", own, None, "key", n, None)
+        yield Row("relation", ".".join(k for _, k in stack) or file, own, "contains", n, None)
+        if m[5] and not m[5].startswith("#"):
+            resource.setdefault(own, m[5].strip("\"'"))
+        part = {("workflow", "jobs"): "job", ("compose", "services"): "service"}.get((kind, stack[0][1] if len(stack) == 1 else ""))
+        if part:
+            yield Row("entity", m[4], None, part, n, None)
+            yield Row("relation", file, m[4], "contains", n, None)
+        if kind == "workflow" and m[4] == "uses" and m[5]:
+            yield Row("relation", file, m[5].strip("\"'"), "uses", n, None)
+        if kind == "compose" and len(stack) == 2 and m[4] == "image" and m[5]:
+            yield Row("relation", stack[1][1], m[5].strip("\"'"), "uses", n, None)
+        stack.append((depth, m[4]))
+    yield from whole(file, text)
 
 
 @parser(".csv")
 def csv_file(file: str, text: str) -> Iterator[Row]:
     rows = list(csv.reader(io.StringIO(text)))
-    yield "entity", file, str(max(0, len(rows) - 1)), "file", 1, None
+    yield Row("entity", file, str(max(0, len(rows) - 1)), "file", 1, None)
     for name in rows[0] if rows else ():
-        yield "entity", name.strip(), file, "column", 1, None
+        yield Row("entity", name.strip(), file, "column", 1, None)
 
 
 @parser(".ini", ".conf", ".cfg")
 def ini(file: str, text: str) -> Iterator[Row]:
     config = configparser.ConfigParser(interpolation=None, strict=False, allow_no_value=True)
     config.read_string(text)
-    yield "entity", file, None, "file", 1, None
+    yield Row("entity", file, None, "file", 1, None)
     for section in config.sections():
-        yield "entity", section, None, "section", 1, None
+        yield Row("entity", section, None, "section", 1, None)
         for key in config[section]:
             if key not in config.defaults():
-                yield "entity", f"{section}.{key}", section, "key", 1, None
-
-
-TARGET, LARGEST, LEAST, BUDGET, SECTIONS = 800, 1000, 100, 850, 10
-
-
-def markdown_groups(text: str) -> list[tuple[str, int, str]]:
-    """(title, line, content): sections under their headers, small neighbours joined under the budget, oversized ones parted at empty lines.
-
-    A section with less than five characters of text is only the title of what follows. Sections of at least LEAST tokens stand alone.
-    """
-    sections: list[list] = []
-    fenced = False
-    for n, line in enumerate(text.split("\n"), 1):
-        fenced ^= line.startswith("```")
-        if not fenced and re.match(r"^#{1,6}\s+\S", line):
-            sections.append([line.lstrip("#").strip(), n, []])
-        elif sections:
-            sections[-1][2].append(line)
-        elif line.strip():
-            sections.append(["", n, [line]])
-    whole = [(t, n, "\n".join(body).strip()) for t, n, body in sections]
-    tokens = lambda s: max(1, len(s) // 4)
-    groups: list[list[tuple[str, int, str]]] = []
-    for s in whole:
-        size = sum(tokens(x[2]) for x in groups[-1]) if groups else 0
-        if groups and tokens(s[2]) < LEAST and tokens(groups[-1][-1][2]) < LEAST and size + tokens(s[2]) <= BUDGET and len(groups[-1]) < SECTIONS:
-            groups[-1].append(s)
-        else:
-            groups.append([s])
-    out = []
-    for g in groups:
-        title = g[0][0] + (f" (+{len(g) - 1} more)" if len(g) > 1 else "")
-        content = "\n\n".join(f"{t}\n{c}".strip() for t, _, c in g)
-        if tokens(content) <= LARGEST:
-            out.append((title, g[0][1], content))
-            continue
-        part: list[str] = []
-        for block in content.split("\n\n"):
-            if part and tokens("\n\n".join([*part, block])) > TARGET:
-                out.append((title, g[0][1], "\n\n".join(part)))
-                part = []
-            part.append(block)
-        out.append((title, g[0][1], "\n\n".join(part)))
-    return out
+                yield Row("entity", f"{section}.{key}", section, "key", 1, None)
 
 
 @parser(".md", ".markdown")
 def markdown(file: str, text: str) -> Iterator[Row]:
-    yield "entity", file, None, "file", 1, None
-    fenced = False
-    for n, line in enumerate(text.split("\n"), 1):
-        fenced ^= line.startswith("```")
-        if not fenced and (m := re.match(r"^#{1,2}\s+(\S.*?)\s*$", line)):
-            yield "entity", m[1], None, "documentation", n, None
-            yield "relation", file, m[1], "contains", n, None
-    for title, n, content in markdown_groups(text):
-        yield "chunk", title or file, None, "implementation", n, content
+    """Headers of the first two levels as entities; chunks of grouped sections, each with a metadata row."""
+    yield Row("entity", file, None, "file", 1, None)
+    for title, level, i in sections.headers(text.split("\n")):
+        if level <= 2:
+            yield Row("entity", title, None, "documentation", i + 1, None)
+            yield Row("relation", file, title, "contains", i + 1, None)
+    for c in sections.chunks(text):
+        about = {"headers": list(c.titles), "token_count": c.tokens, "section_count": len(c.titles), "word_count": len(c.content.split()), "line_count": c.content.count("\n") + 1, "end_line": c.end}
+        content = c.content + (f"\n\n[Previous context: ...{c.overlap}]" if c.overlap else "")
+        yield Row("chunk", c.title or file, None, "implementation", c.line, content, json.dumps(about))
+        yield Row("chunk", c.title or file, None, "metadata", c.line, sections.metadata_text(c), json.dumps(about))
 
 
 @parser(".txt", ".log")
 def plain(file: str, text: str) -> Iterator[Row]:
-    yield "entity", file, None, "file", 1, None
+    """Blocks of fifty lines, as operators.chunking.line_chunks cuts them; a file that is too short for a block is one chunk."""
+    yield Row("entity", file, None, "file", 1, None)
     lines = [s if len(s) <= 1000 else s[:1000] + "..." for s in text.split("\n")]
+    if len(text.strip()) <= 10:
+        yield from whole(file, text)
     for i in range(0, len(lines), 50):
         content = "\n".join(lines[i : i + 50])
         if len(content.strip()) > 10:
-            yield "chunk", f"{file}_chunk_{i // 50 + 1}", None, "implementation", i + 1, content
+            yield Row("chunk", f"{file}_chunk_{i // 50 + 1}", None, "implementation", i + 1, content)
 
 
 def rows_of(file: str, text: str | None) -> list[Row]:
     extension = "." + file.rpartition(".")[2].lower() if "." in file else ""
     use = registry.get(extension)
     if use is None:
-        return [("error", file, None, "no parser", 1, None)]
+        return [Row("error", file, None, "no parser", 1)]
     try:
         return list(use(file, text or ""))
-    except (SyntaxError, ValueError, configparser.Error, csv.Error, RecursionError) as e:
-        return [("error", file, None, type(e).__name__, getattr(e, "lineno", None) or 1, None)]
+    except Exception as e:  # whatever a parser meets in one file must not end the job
+        return [Row("error", file, None, type(e).__name__, getattr(e, "lineno", None) or 1)]
 
 
 def extract(files: DataFrame) -> DataFrame:
@@ -296,12 +269,12 @@ def extract(files: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [], [], [])
             for file, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 for r in rows_of(file or "", text.as_py()):
                     for col, v in zip(out, (file, *r), strict=True):
                         col.append(v)
-            kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["file", "row", "name", "other", "kind", "line", "content"])
+            kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["file", "row", "name", "other", "kind", "line", "content", "detail"])
 
     return files.select("file", "text").mapInArrow(run, SCHEMA)

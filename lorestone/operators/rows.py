@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from lorestone.functions.text import point_id, split_name
 
 NO_IMPLEMENTATION = ("import", "variable", "constant")
-#: Patterns of site furniture in scraped documentation, removed in this order. Fixed values.
-NOISE = (r"(?im)^\s*(skip to (main )?content|table of contents|on this page)\s*$", r"(?im)^\s*(edit this page|report an issue|was this page helpful\??)\s*$", r"(?im)^\s*(previous|next)\s*$", r"(?i)©[^\n]*", r"!\[[^\]]*\]\([^)]*\)", r"\n{3,}")
+#: Patterns of site furniture in scraped documentation, removed in this order, any case, ``^`` and ``$`` at line ends. Fixed values.
+NOISE = (
+    r"Search\.\.\.\s*⌘K", r"Search\.\.\.", r"\*\s*\[Research\].*?\n", r"\*\s*\[Login\].*?\n", r"\*\s*\[Support\].*?\n", r"\*\s*\[Sign up\].*?\n", r"Was this page helpful\?\s*Yes\s*No", r"x\s*linkedin\s*discord",
+    r"On this page\s*\n", r"Copy page\s*\n", r"^Copy\s*$", r"\* \[.*?\]\({site}.*?\)\n", r"\[.*?\]\({site}.*?\)\[.*?\]\({site}.*?\)", r"## \s*\n\[\u200b\]\({site}.*?\)\n", r"\[\u200b\]\({site}.*?\)\n", r"\* \* \*\s*\n",
+    r"Check the\s*\n", r"see the\s*\n(?!\w)", r"##\s*\n(?=\[)",
+)
+DOCS_SITE = r"https://docs\."  # how the addresses of the documentation's own pages start
 FRAMEWORKS = {"django": ("from django", "models.Model"), "flask": ("from flask", "@app.route"), "fastapi": ("from fastapi", "FastAPI("), "pytest": ("import pytest", "@pytest"), "pandas": ("import pandas", "pd."), "async": ("async def", "await ")}
 BEHAVIOURS = ("validates", "processes", "handles", "manages", "creates", "updates", "deletes", "returns", "raises", "calculates", "transforms", "parses", "loads", "saves")
 
@@ -87,10 +92,12 @@ def items(rows: DataFrame, array: str) -> DataFrame:
     return each.select("id", "index", name.alias("name"), F.trim(text).alias("text"))
 
 
-def without_noise(text: Column) -> Column:
-    for pattern in NOISE[:-1]:
-        text = F.regexp_replace(text, pattern, "")
-    return F.trim(F.regexp_replace(text, NOISE[-1], "\n\n"))
+def without_noise(text: Column, site: str = DOCS_SITE) -> Column:
+    """Without the furniture of ``site``, a pattern for the start of its addresses; white space settled."""
+    for pattern in NOISE:
+        text = F.regexp_replace(text, "(?mi)" + pattern.replace("{site}", site).replace("\\u200b", "\u200b"), "")
+    text = F.regexp_replace(text, r"\n\s*\n\s*\n", "\n\n")
+    return F.regexp_replace(F.regexp_replace(text, r"(?m)^\s+", ""), r"^\s+|\s+$", "")
 
 
 def page_title(text: Column) -> Column:
@@ -133,3 +140,14 @@ def backup(manual: DataFrame, relations: DataFrame) -> DataFrame:
 def restore(saved: DataFrame, stored: DataFrame) -> DataFrame:
     """(point_id, id, json) of what is not stored yet."""
     return saved.withColumn("point_id", point_id(F.col("id")).cast("string")).join(stored.select("point_id").distinct(), "point_id", "left_anti")
+
+
+SCALARS = (str, int, float, bool)
+
+
+def payload_filter(rows: DataFrame, conditions: dict[str, object]) -> DataFrame:
+    """Rows that equal every scalar condition; conditions of other kinds are ignored, a name with a dot is a nested field."""
+    for name, value in conditions.items():
+        if isinstance(value, SCALARS):
+            rows = rows.where(F.col(name) == F.lit(value))
+    return rows

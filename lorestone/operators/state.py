@@ -74,3 +74,64 @@ def missing_metadata(chunks: DataFrame) -> DataFrame:
     """Implementation rows without a metadata row of the same file, type and name."""
     keys = ["file_path", "entity_type", "entity_name"]
     return chunks.where("chunk_type = 'implementation'").join(chunks.where("chunk_type = 'metadata'").select(*keys).distinct(), keys, "left_anti").select(*keys)
+
+
+def replace_changed(stored: DataFrame, fresh: DataFrame, changed: DataFrame) -> DataFrame:
+    """Stored metadata and implementation rows of changed entities give way to the fresh ones, whether or not their content is stored; other fresh rows are added if their content is new for them.
+
+    ``changed``: file_path, entity_name. Rows: id, file_path, entity_name, chunk_type, content_hash.
+    """
+    keys = ["file_path", "entity_name"]
+    touched = changed.select(*keys).distinct()
+    chunk = F.col("chunk_type").isin("metadata", "implementation")
+    kept = stored.where(~chunk).unionByName(stored.where(chunk).join(touched, keys, "left_anti").select(*stored.columns))
+    new = fresh.join(touched, keys, "left_semi").select(*stored.columns)
+    rest = fresh.join(touched, keys, "left_anti").join(kept.select("id", "content_hash"), ["id", "content_hash"], "left_anti").select(*stored.columns)
+    added = new.unionByName(rest).dropDuplicates(["id"])
+    return kept.join(added.select("id"), "id", "left_anti").unionByName(added)
+
+
+def known_names(rows: DataFrame) -> DataFrame:
+    """(name) of stored rows; a row of grouped sections stands for each of its headers too. ``rows``: entity_name, headers."""
+    return rows.select(F.explode(F.array_union(F.array("entity_name"), F.coalesce("headers", F.array().cast("array<string>")))).alias("name")).where("name <> ''").distinct()
+
+
+def of_file(rows: DataFrame, path: str) -> DataFrame:
+    """Rows of a file: those with its path, and its own entity by name."""
+    return rows.where((F.col("file_path") == path) | (F.col("entity_name") == path))
+
+
+def of_file_by_two_searches(rows: DataFrame, path: str, key: str = "id") -> DataFrame:
+    """The same from two searches, each row once, as stores without an OR give it."""
+    return rows.where(F.col("file_path") == path).unionByName(rows.where(F.col("entity_name") == path)).dropDuplicates([key])
+
+
+def by_chunk_type(rows: DataFrame) -> DataFrame:
+    """(chunk_type, entities): the rows of one file as lists of (id, entity_name) by chunk type."""
+    return rows.groupBy("chunk_type").agg(F.sort_array(F.collect_list(F.struct("id", "entity_name"))).alias("entities"))
+
+
+def recorded_files(payloads: DataFrame, root: str) -> DataFrame:
+    """(path) of file entities in either payload layout, relative to ``root``. ``payloads``: json."""
+    from lorestone.operators.builders import relative_path
+
+    at = lambda p: F.get_json_object("json", p)
+    kind = F.coalesce(at("$.entity_type"), at("$.metadata.entity_type"))
+    return payloads.where((kind == "file") & (at("$.metadata.file_path") != "")).select(relative_path(at("$.metadata.file_path"), root).alias("path")).distinct()
+
+
+def relation_hashes(relations: DataFrame) -> DataFrame:
+    """(file_path, hashes): for every file the map from its relations' ids to their content hashes. ``relations``: file_path, id, content_hash."""
+    return relations.groupBy("file_path").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("id", "content_hash")))).alias("hashes"))
+
+
+def probe(names: DataFrame, stored: DataFrame) -> DataFrame:
+    """Adds ``exists``: whether an entity has a metadata row. ``names``: entity_name."""
+    there = stored.where("chunk_type = 'metadata'").select("entity_name").distinct().withColumn("_e", F.lit(True))
+    return names.join(there, "entity_name", "left").withColumn("exists", F.coalesce("_e", F.lit(False))).drop("_e")
+
+
+def should_process(files: DataFrame, batch: str) -> DataFrame:
+    """(batch, files, unchanged, should_process): a batch is worked on if fewer files are unchanged than it has. ``files``: old and new hashes."""
+    same = F.count(F.when(F.col("old").eqNullSafe(F.col("new")) & F.col("new").isNotNull(), 1))
+    return files.groupBy(batch).agg(F.count(F.lit(1)).alias("files"), same.alias("unchanged")).withColumn("should_process", F.col("unchanged") < F.col("files"))

@@ -15,7 +15,10 @@ from lorestone.sources.tables import chunks, table, texts
 ENT = (("load", "function", ["description: reads a file", "method: one", "method: two"], "src/io/load.py"), ("", "class", [], "a.py"), ("userName", "variable", [], "b.py"), (None, "class", ["x"], "c.py"), ("Box", "class", ["note"], None))
 LINES = ((1, "# comment"), (2, "a = 1"), (3, "b=x=y"), (4, ""), (5, "flag = TRUE"), (6, "a = 2.5"), (7, "nothing"))
 JSONS = ((1, '{"items": [{"title": " T ", "body": "B", "author": "me", "replies": [{"author": "you", "text": "R"}]}, {"id": "7", "content": "C"}, {}]}'), (2, '{"other": []}'), (3, '{"items": []}'))
-NOTES = ((1, "# Title\n\nSkip to content\n**bold** and `code`\n- item\n\n\n\n© 2024 us\nNext\n"), (2, "no title"), (3, "## Sub\n![img](a.png) text"))
+NOTES = (
+    (1, "# Title\n\nSearch... ⌘K\n* [Login](https://x.y/login)\n**bold** and `code`\n- item\n\n\n\nOn this page\n\nCopy page\nCopy\nWas this page helpful? Yes No\nx linkedin discord\n"), (2, "no title"),
+    (3, "## Sub\n![img](a.png) text\n* [Next page](https://docs.x.y/next)\n* * *\nsee the\n[guide](z)\nsee the\nword"), (4, "## \n[\u200b](https://docs.x.y/a#b)\nText\n##\n[One](https://docs.x.y/1)[Two](https://docs.x.y/2)\n  Check the\nlist"),
+)
 DOCSTRINGS = ((1, "Validates and returns the input."), (2, "Nothing."), (3, "Parses text, raises errors"))
 SAVED = (("note", "decision", "kept"), ("load", "pattern", "seen"))
 CHANGES = (("a.py", None, "1"), ("b.py", "1", "1"), ("c.py", "1", "2"))
@@ -143,8 +146,10 @@ ENTS, JSN, NOT = values(ENT, "name, entity_type, observations, file"), values(JS
 SAV = values(SAVED, "entity_name, entity_type, content")
 TAGGED = lambda kind: f"list_transform(list_filter(observations, lambda o: starts_with(lower(o), '{kind}:')), lambda o: trim(string_split(o, ':')[-1]))"
 CLEAN = "text"
-for _p in R.NOISE[:-1]:
-    CLEAN = f"regexp_replace({CLEAN}, '{_p}', '', 'g')"
+for _p in R.NOISE:  # without look-ahead: what follows is kept by a group
+    _p = _p.replace("{site}", R.DOCS_SITE).replace(r"\u200b", "\u200b")
+    _p = _p.replace(r"(?!\w)", r"([^\w]|\z)").replace(r"(?=\[)", r"(\[)")
+    CLEAN = f"regexp_replace({CLEAN}, '(?mi){_p}', '{chr(92) + '1' if _p.endswith(')') and '(' in _p and not _p.endswith(chr(92) + ')') else ''}', 'g')"
 MARKED = "text"
 for _p, _r in ((r"(?m)^### (.+)$", r"<h3>\1</h3>"), (r"(?m)^## (.+)$", r"<h2>\1</h2>"), (r"(?m)^# (.+)$", r"<h1>\1</h1>"), (r"\*\*(.+?)\*\*", r"<strong>\1</strong>"), (r"`([^`]+)`", r"<code>\1</code>"), (r"(?m)^- (.+)$", r"<li>\1</li>")):
     MARKED = f"regexp_replace({MARKED}, '{_p}', '{_r}', 'g')"
@@ -160,7 +165,7 @@ QUERIES = {
     "json_items": (json_items, f"""WITH a AS (SELECT id, CAST(json::JSON->'$.items' AS JSON[]) AS l FROM {JSN}), e AS (SELECT id, unnest(l) AS i, generate_subscripts(l, 1) AS k FROM a)
 SELECT id, CAST(k - 1 AS INTEGER) AS index, CASE WHEN i->>'$.title' IS NOT NULL THEN 'item_' || k || '_' || trim(i->>'$.title') WHEN i->>'$.id' IS NOT NULL THEN 'item_' || (i->>'$.id') ELSE 'item_' || k END AS name,
 trim(concat_ws(chr(10), i->>'$.title', 'Author: ' || (i->>'$.author'), i->>'$.content', i->>'$.body', i->>'$.text', nullif(array_to_string(list_transform(CAST(i->'$.replies' AS JSON[]), lambda r: concat_ws(chr(10), 'Author: ' || (r->>'$.author'), r->>'$.content', r->>'$.body', r->>'$.text')), chr(10)), ''))) AS text FROM e"""),
-    "docs_noise": (docs_noise, f"SELECT id, trim(regexp_replace({CLEAN}, '\\n{{3,}}', chr(10) || chr(10), 'g')) AS clean, coalesce(nullif(regexp_extract(text, '(?m)^#\\s+(.+)', 1), ''), 'Untitled') AS title FROM {NOT}"),
+    "docs_noise": (docs_noise, f"SELECT id, regexp_replace(regexp_replace(regexp_replace({CLEAN}, '\\n\\s*\\n\\s*\\n', chr(10) || chr(10), 'g'), '(?m)^\\s+', '', 'g'), '^\\s+|\\s+$', '', 'g') AS clean, coalesce(nullif(regexp_extract(text, '(?m)^#\\s+(.+)', 1), ''), 'Untitled') AS title FROM {NOT}"),
     "markdown_html": (markdown_html, f"SELECT id, {MARKED} AS html FROM {NOT}"),
     "docstring_behaviours": (docstring_behaviours, "SELECT id, array_to_string(list_filter([" + ", ".join(f"'{b}'" for b in R.BEHAVIOURS) + f"], lambda b: contains(lower(text), b)), ',') AS behaviours FROM {values(DOCSTRINGS, 'id, text')}"),
     "framework_tags": (framework_tags, "SELECT file, array_to_string(list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(text, '{m}')" for m in marks) + f" THEN '{n}' END" for n, marks in R.FRAMEWORKS.items()) + f"], lambda t: t IS NOT NULL), ',') AS tags FROM {SRC}"),
