@@ -102,3 +102,20 @@ def implementation_scope(chunks: DataFrame, names: DataFrame, scope: str, most:
     found = found.groupBy("asked", "entity_name", "file_path").agg(F.min("hop").alias("hop"))
     order = Window.partitionBy("asked").orderBy("hop", "entity_name", "file_path")
     return found.withColumn("rank", F.row_number().over(order)).where((F.col("hop") == 0) | (F.col("rank") <= most)).select("asked", "entity_name", "file_path", "hop")
+
+
+def components(edges: DataFrame, keep) -> DataFrame:
+    """(id, component): the smallest id that can be reached, for every end of the edges (a, b). Stars are hung to smaller ones until nothing changes; ``keep`` writes a pass out and reads it back."""
+    now = keep(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    before = None
+    while True:
+        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == before or not state[0]:
+            ends = now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("component")))
+            return ends.groupBy("id").agg(F.min("component").alias("component"))
+        before = state
+        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        now = keep(large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(least.select("u", F.col("m").alias("v"))).distinct())

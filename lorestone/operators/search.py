@@ -8,13 +8,19 @@ from __future__ import annotations
 
 import functools
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorestone.functions.text import tokens
+from lorestone.sources.store import staged
 
 RRF_K, ALPHA, LIMIT = 60, 0.5, 10
-QUERY_ROWS = 10_000  # rows of a query block that are broadcast at most
+QUERY_ROWS = 4096  # queries that are sent to the tasks at once
+SLICE = 1024  # rows that are compared with them at once
+CELLS = 4_000_000  # numbers of differences that are held at once
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -39,9 +45,9 @@ def query_block(queries: DataFrame) -> DataFrame:
 
 
 def query_blocks(queries: DataFrame) -> list[DataFrame]:
-    """The queries in broadcast blocks of about QUERY_ROWS rows, dealt by a hash of query_id."""
+    """The queries in blocks of about QUERY_ROWS rows, dealt by a hash of query_id."""
     blocks = max(1, -(-queries.count() // QUERY_ROWS))
-    return [F.broadcast(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries) for b in range(blocks)]
+    return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries for b in range(blocks)]
 
 
 def top(scored: DataFrame, by: list[str], k: int, ascending: bool = False, id_col: str = "id") -> DataFrame:
@@ -50,14 +56,111 @@ def top(scored: DataFrame, by: list[str], k: int, ascending: bool = False, id_co
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _measured(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
+    """Scores (query, row), rounded; null where a vector has no length."""
+    product = q @ x.T
+    if metric == "euclid":
+        out = np.empty(product.shape)
+        step = max(1, CELLS // max(1, q.size))
+        for k in range(0, len(x), step):  # differences, as the squares of close vectors cancel out
+            out[:, k : k + step] = np.sqrt(((q[:, None, :] - x[None, k : k + step, :]) ** 2).sum(axis=2))
+    elif metric == "cosine":
+        size = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((x * x).sum(axis=1))[None]
+        out = np.divide(product, size, out=np.full(product.shape, np.nan), where=size > 0)
+    else:
+        out = product
+    return np.floor(np.abs(out) * 1e6 + 0.5) / 1e6 * np.sign(out)
+
+
+def _best_here(rows: DataFrame, queries: DataFrame, k: int, metric: str, threshold: float | None) -> DataFrame:
+    """(query_id, id, score): for each query the k best of every task, by products of matrices; ties by id, so the k best of all are among them."""
+    asked = queries.select("query_id", F.col("query").cast("array<double>")).where("query IS NOT NULL").collect()  # a block of bounded size
+    shared = rows.sparkSession.sparkContext.broadcast(([r[0] for r in asked], [r[1] for r in asked]))
+    sign = 1.0 if METRICS[metric][1] else -1.0
+    plain = rows.select("id", F.col("vector").cast("array<double>").alias("vector")).where("vector IS NOT NULL")
+
+    def run(batches):
+        names, given = shared.value
+        sizes = np.array([len(g) for g in given])
+        # by query: places in ``names``, signed scores and ids of the best so far
+        who, best, ids = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        limit = np.full(len(names), np.inf)
+        matrices = {n: (np.flatnonzero(sizes == n), np.array([g for g in given if len(g) == n])) for n in set(sizes.tolist())}
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                vectors = part.column(1)
+                flat, lengths = vectors.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+                for n in set(lengths.tolist()) & set(matrices):
+                    at = np.flatnonzero(lengths == n)
+                    x = (flat.reshape(-1, n) if len(at) == part.num_rows else np.array([vectors[int(i)].as_py() for i in at])).astype(np.float64)
+                    places, q = matrices[n]
+                    score = _measured(x, q, metric)
+                    good = sign * score <= limit[places][:, None]
+                    if threshold is not None:
+                        good &= score <= threshold if sign > 0 else score >= threshold
+                    i, j = np.nonzero(good)
+                    who, best, ids = np.concatenate([who, places[i]]), np.concatenate([best, sign * score[i, j]]), np.concatenate([ids, part.column(0).to_numpy()[at][j]])
+                    order = np.lexsort((ids, best, who))
+                    who, best, ids = who[order], best[order], ids[order]
+                    first = np.searchsorted(who, np.arange(len(names)))
+                    kept = np.arange(len(who)) - first[who] < k
+                    who, best, ids = who[kept], best[kept], ids[kept]
+                    full = np.bincount(who, minlength=len(names)) == k
+                    ends = np.searchsorted(who, np.arange(len(names)), side="right") - 1
+                    limit[full] = best[ends[full]]
+        yield pa.RecordBatch.from_arrays([pa.array([names[w] for w in who.tolist()], pa.int64()), pa.array(ids, pa.int64()), pa.array(sign * best + 0.0, pa.float64())], names=["query_id", "id", "score"])
+
+    return plain.select(F.col("id").cast("long").alias("id"), "vector").mapInArrow(run, "query_id long, id long, score double")
+
+
 def dense(rows: DataFrame, queries: DataFrame, k: int = LIMIT, metric: str = "cosine", threshold: float | None = None) -> DataFrame:
-    """(query_id, id, score, rank). ``rows``: id, vector and whatever filter was applied; ``queries``: query_id, query."""
-    measure, ascending = METRICS[metric]
-    parts = [rows.join(block).select("query_id", "id", F.round(measure(F.col("vector"), F.col("query")), 6).alias("score")) for block in query_blocks(queries)]
-    scored = functools.reduce(DataFrame.unionAll, parts)
-    if threshold is not None:
-        scored = scored.where(F.col("score") <= threshold if ascending else F.col("score") >= threshold)
-    return top(scored, ["query_id"], k, ascending)
+    """(query_id, id, score, rank). ``rows``: id, vector and whatever filter was applied; ``queries``: query_id, query. Ids are integers; only vectors of equal length are compared.
+
+    Every block of queries goes to all tasks once; a task keeps k rows for each query, so what is shuffled does not grow with the rows of a task.
+    """
+    ascending = METRICS[metric][1]
+    parts = [_best_here(rows, block, k, metric, threshold) for block in query_blocks(queries)]
+    return top(functools.reduce(DataFrame.unionAll, parts), ["query_id"], k, ascending)
+
+
+MODES = ("semantic", "keyword", "hybrid")
+
+
+def search(mode: str, queries: DataFrame, rows: DataFrame | None = None, docs: DataFrame | None = None, k: int = LIMIT, alpha: float = ALPHA, threshold: float | None = None) -> DataFrame:
+    """(query_id, id, score, rank) by the mode's search. ``queries`` has query_id, and query (a vector) or text, as the mode needs; both for hybrid.
+
+    A mode that is not known, or one whose tables or columns are missing, is refused (ValueError).
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}")
+    for needed, column, given in (("keyword", "query", rows), ("semantic", "text", docs)):
+        if mode != needed and (given is None or column not in queries.columns):
+            raise ValueError(f"{mode} search needs {'vectors' if column == 'query' else 'texts'} and queries with {column}")
+    if not 0 <= alpha <= 1:
+        raise ValueError("alpha must be from 0 to 1")
+    if mode == "semantic":
+        return dense(rows, queries.select("query_id", "query"), k, threshold=threshold)
+    if mode == "keyword":
+        return keyword(docs, queries.select("query_id", "text"), k)
+    n = leg_size(k)
+    return fused(dense(rows, queries.select("query_id", "query"), n), keyword(docs, queries.select("query_id", "text"), n), k, alpha, threshold or 0.0)
+
+
+def with_payload(found: DataFrame, payload: DataFrame) -> DataFrame:
+    """(query_id, id, score, rank) and the payload's columns, by id."""
+    return found.join(payload, "id", "left")
+
+
+class FittedKeywords:
+    """A vocabulary with weights, fitted once and used for later texts: terms it does not know do not count."""
+
+    def __init__(self, docs: DataFrame):
+        self.weights = staged(term_weights(docs).join(vocabulary_index(docs), "term"), "keywords")
+
+    def embed(self, docs: DataFrame) -> DataFrame:
+        """(id, idx, weight): the sparse vectors of the texts; weights of 0 are left out."""
+        return postings(docs).join(self.weights.where("weight > 0"), "term").select("id", "idx", "weight")
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -97,7 +200,7 @@ def keyword(docs: DataFrame, queries: DataFrame, k: int = LIMIT) -> DataFrame:
     Only the terms that are asked for leave the scan of the texts; their frequencies, and so their weights, are those of the whole corpus.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    here = postings(docs).join(query_block(asked.select("term").distinct()), "term", "left_semi")
+    here = staged(postings(docs).join(query_block(asked.select("term").distinct()), "term", "left_semi"), "postings")  # the texts are read into words once
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     weight = F.round(F.greatest(F.lit(0.0), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))), 6)
     weights = here.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n)).select("term", weight.alias("weight")).where("weight > 0")

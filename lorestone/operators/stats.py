@@ -76,3 +76,41 @@ def top_groups(rows: DataFrame, group: str, value: str, k: int) -> DataFrame:
     """(group, value, n, rank): the most frequent values of each group."""
     counted = rows.groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
     return counted.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n"), value))).where(F.col("rank") <= k)
+
+
+def overview(rows: DataFrame, collection: str) -> DataFrame:
+    """(collection, points, manual, automated, files): automated is what is not manual. ``rows``: is_manual, file_path."""
+    n = rows.groupBy(collection).agg(F.count(F.lit(1)).alias("points"), F.count(F.when(F.col("is_manual"), 1)).alias("manual"), F.countDistinct("file_path").alias("files"))
+    return n.withColumn("automated", F.col("points") - F.col("manual"))
+
+
+def extension_totals(rows: DataFrame) -> DataFrame:
+    """(extension, points, files) over all collections; a path without an extension has none. ``rows``: file_path."""
+    extension = F.lower(F.regexp_extract("file_path", r"\.([^./]+)$", 1))
+    return rows.groupBy(extension.alias("extension")).agg(F.count(F.lit(1)).alias("points"), F.countDistinct("file_path").alias("files"))
+
+
+def category_mix(rows: DataFrame, relations: DataFrame, code: tuple[str, ...], many: int = 5) -> DataFrame:
+    """(category, entities, relations, relations_per_entity, hubs): documentation, code, manual and other; hubs have at least ``many`` relations that leave them. ``rows``: entity_name, entity_type, is_manual; ``relations``: src."""
+    kind = F.when(F.col("is_manual"), "manual").when(F.col("entity_type") == "documentation", "documentation").when(F.col("entity_type").isin(*code), "code").otherwise("other")
+    out = relations.groupBy(F.col("src").alias("entity_name")).agg(F.count(F.lit(1)).alias("_n"))
+    each = rows.withColumn("category", kind).join(out, "entity_name", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    mixed = each.groupBy("category").agg(F.count(F.lit(1)).alias("entities"), F.sum("_n").alias("relations"), F.count(F.when(F.col("_n") >= many, 1)).alias("hubs"))
+    return mixed.withColumn("relations_per_entity", F.round(F.col("relations") / F.col("entities"), 4))
+
+
+def manual_share(rows: DataFrame) -> DataFrame:
+    """(entity_type, manual, automatic)."""
+    return rows.groupBy("entity_type").agg(F.count(F.when(F.col("is_manual"), 1)).alias("manual"), F.count(F.when(~F.col("is_manual"), 1)).alias("automatic"))
+
+
+def usage(requests: DataFrame, prices: DataFrame) -> DataFrame:
+    """(embedder, requests, tokens, cost, tokens_per_request): by model, with its price for a thousand tokens. ``requests``: embedder, tokens; ``prices``: embedder, price."""
+    n = requests.groupBy("embedder").agg(F.count(F.lit(1)).alias("requests"), F.sum("tokens").alias("tokens"))
+    return n.join(prices, "embedder", "left").select("embedder", "requests", "tokens", F.round(F.col("tokens") * F.col("price") / 1000, 6).alias("cost"), F.round(F.col("tokens") / F.col("requests"), 4).alias("tokens_per_request"))
+
+
+def run_success(runs: DataFrame) -> DataFrame:
+    """(run, success_rate, duration): the share of items that went well, 1 if there were none; seconds from the first to the last. ``runs``: run, ok, ts."""
+    rate = F.coalesce(F.round(F.count(F.when(F.col("ok"), 1)) / F.count("ok"), 6), F.lit(1.0))
+    return runs.groupBy("run").agg(rate.alias("success_rate"), ((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 1_000_000).alias("duration"))

@@ -6,6 +6,7 @@ import hashlib
 import json
 import re
 import tempfile
+import uuid
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -33,6 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lorestone"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read back: what is used twice is computed once, and lineage ends there."""
+    at = f"{shared_dir(df.sparkSession)}/staged/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def _folder(spark: SparkSession, path: str):
     """(file system, path) of any store that Spark reads."""
     context = spark.sparkContext
