@@ -19,7 +19,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_staged, read, stage
@@ -134,55 +134,82 @@ def _keys(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", "sig").mapInArrow(run, "key long, id long")
 
 
-class Forest:
-    """Links between the rows of a group that join different parts; ``part`` names each row's part, at first by its label."""
+class Parts:
+    """The rows of a block in parts: at first those of one label, then of linked ones."""
 
     def __init__(self, labels: np.ndarray):
+        self.labels = labels
         self.part = np.unique(labels, return_inverse=True)[1]
-        self.links: list[tuple[int, int]] = []
+        self.joined = False
 
     def join(self, i: int, others: np.ndarray) -> None:
         for j in others.tolist():
             if self.part[j] != self.part[i]:
                 self.part[self.part == self.part[j]] = self.part[i]
-                self.links.append((i, j))
-
-
-def _dealt(rows: DataFrame, group: str, blocks) -> DataFrame:
-    """(group, block, guest, label, id, blocks) of the first round: each row in its block, and the representatives of groups of several blocks in all blocks."""
-    held = rows.withColumns({"blocks": blocks.cast("int"), "label": F.col("id"), "guest": F.lit(False)})
-    held = held.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    few = Window.partitionBy(group).orderBy(F.xxhash64("id", F.lit(1)), "id")
-    guests = held.where("blocks > 1").withColumn("_r", F.row_number().over(few)).where(F.col("_r") <= REPRESENTATIVES).drop("_r")
-    return held.unionByName(_in_all_blocks(guests))
-
-
-def _in_all_blocks(guests: DataFrame) -> DataFrame:
-    own = guests.withColumns({"guest": F.lit(True), "_own": F.col("block")}).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return own.where("block <> _own").drop("_own")  # there they are members
+                self.joined = True
+
+    def stars(self) -> tuple[np.ndarray, np.ndarray]:
+        """(a, b): in each part every label and the smallest one, where they differ. Stars come to their components in few passes."""
+        if not self.joined:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        least = np.full(len(self.part), np.iinfo(np.int64).max)
+        np.minimum.at(least, self.part, self.labels)
+        pairs = np.unique(np.stack([self.labels, least[self.part]]), axis=1)
+        return tuple(pairs[:, pairs[0] != pairs[1]])
+
+    def names(self, guest: np.ndarray) -> np.ndarray:
+        """A name for every row's part that holds in other blocks too: the smallest representative in it; without one its smallest row."""
+        least, known = (np.full(len(self.part), np.iinfo(np.int64).max) for _ in range(2))
+        np.minimum.at(least, self.part, self.labels)
+        np.minimum.at(known, self.part[guest], self.labels[guest])
+        have = np.zeros(len(least), bool)
+        have[self.part[guest]] = True
+        return np.where(have, known, least)[self.part]
+
+
+def _dealt(rows: DataFrame, group: str, large: DataFrame) -> DataFrame:
+    """(group, block, blocks, guest, label, id) of the first round: each row in its block, and the representatives of groups of several blocks in all blocks. ``large``: group, size, blocks of those."""
+    few = large.count() <= BROADCAST_IDS
+    held = rows.select(group, "id").join(F.broadcast(large) if few else large, group, "left")
+    held = held.withColumns({"blocks": F.coalesce("blocks", F.lit(1)), "label": F.col("id")})
+    place = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    chosen = F.coalesce(F.pmod(F.xxhash64("id", F.lit(1)), F.col("size")) < REPRESENTATIVES, F.lit(False))
+    # a representative is a member of all blocks but its own, where it stands as one already
+    where = F.when(chosen, F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), F.lit(True).alias("guest")))).otherwise(F.array(F.struct(place.alias("block"), F.lit(False).alias("guest"))))
+    return held.withColumn("at", F.explode(where)).select(group, F.col("at.block").alias("block"), "blocks", F.col("at.guest").alias("guest"), "label", "id")
+
+
+def _still_apart(named: DataFrame, group: str) -> DataFrame:
+    """The rows of the second round: groups whose parts have several names, where the rows outside the largest part are guests of all blocks. ``named``: group, block, blocks, id, label."""
+    sizes = named.groupBy(group, "label").agg(F.count(F.lit(1)).alias("size"))
+    main = sizes.groupBy(group).agg(F.max_by("label", F.struct("size", -F.col("label"))).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+    open_ = named.join(main, group)
+    every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), (b != F.col("block")).alias("guest")))
+    where = F.when(F.col("label") != F.col("main"), every).otherwise(F.array(F.struct(F.col("block"), F.lit(False).alias("guest"))))
+    return open_.withColumn("at", F.explode(where)).select(group, F.col("at.block").alias("block"), "blocks", F.col("at.guest").alias("guest"), "label", "id")
 
 
-def _still_apart(dealt: DataFrame, group: str, labels: DataFrame) -> DataFrame:
-    """The rows of the second round: groups of several blocks and several components, where members outside the largest one are guests of all blocks."""
-    large = dealt.where("blocks > 1 AND NOT guest").drop("label").join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-    sizes = large.groupBy(group, "label").agg(F.count(F.lit(1)).alias("size"))
-    main = sizes.groupBy(group).agg(F.max_by("label", F.struct("size", -F.col("label"))).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-    large = large.join(main, group)
-    return large.drop("main").unionByName(_in_all_blocks(large.where("label <> main").drop("main")))
+FOUND = "a long, b long, {0} long, block int, blocks int"
 
 
 def _two_rounds(dealt: DataFrame, group: str, compare) -> DataFrame:
-    """The edges (a, b) that ``compare`` (rows, whether members of a block are compared with each other) finds in both rounds."""
-    dealt = stage(dealt, "near-dealt")
+    """The edges (a, b) that ``compare`` (rows, whether members of a block are compared with each other) finds in both rounds.
+
+    Of groups of several blocks it also gives each member's part: there ``a`` is the id, ``b`` the name of the part, and ``blocks`` more than 0.
+    """
     first = stage(compare(dealt, True), "near-links")
-    if dealt.where("blocks > 1").isEmpty():
-        drop_staged(dealt)
-        return first
-    labels = components(first)
-    apart = stage(_still_apart(dealt, group, labels), "near-apart")
+    edges = first.where("blocks = 0").select("a", "b")
+    named = first.where("blocks > 0").select(group, "block", "blocks", F.col("a").alias("id"), F.col("b").alias("label"))
+    if named.isEmpty():  # no group of several blocks
+        return _once(edges, first)
+    apart = stage(_still_apart(named, group), "near-apart")
     second = stage(compare(apart, False), "near-links")
-    out = stage(first.unionAll(second), "near-links")
-    drop_staged(dealt, first, labels, apart, second)
+    return _once(edges.unionAll(second.where("blocks = 0").select("a", "b")), first, apart, second)
+
+
+def _once(edges: DataFrame, *used: DataFrame) -> DataFrame:
+    out = stage(edges.distinct(), "near-edges")
+    drop_staged(*used)
     return out
 
 
@@ -226,41 +253,70 @@ def _allowed(na, nb, percent: int):
     return 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
 
 
-def _pairs_batch(a: list[int], b: list[int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+class Found:
+    """Collects edges, and of blocks of large groups the names of their members' parts, as a batch of FOUND."""
+
+    def __init__(self, group: str):
+        self.group = group
+        self.columns: tuple[list, ...] = ([], [], [], [], [])
+
+    def add(self, parts: Parts, ids: np.ndarray, guest: np.ndarray, group: int, block: int, blocks: int, within: bool) -> None:
+        a, b = parts.stars()
+        none = np.zeros(len(a), np.int64)
+        rows = [(a, b, none + group, none + block, none)]
+        if within and blocks > 1:
+            # a representative is named once, in the block that its id deals it to: named by that block's parts
+            own = ~guest | (_home(ids, blocks) == block)
+            names = parts.names(guest)[own]
+            rows.append((ids[own], names, np.full(len(names), group), np.full(len(names), block), np.full(len(names), blocks)))
+        for r in rows:
+            for column, values in zip(self.columns, r, strict=True):
+                column.append(values)
+
+    def batch(self) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *c]), k) for c, k in zip(self.columns, kinds, strict=True)], names=["a", "b", self.group, "block", "blocks"])
+
+
+def _home(ids: np.ndarray, blocks: int) -> np.ndarray:
+    """A block for each representative, in which it is named."""
+    return (_mixed(ids.view(U)) % U(blocks)).astype(np.int64)
 
 
 def _coarse(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(a, b): spanning forests of the pairs within the distance in each bucket."""
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    dealt = _dealt(members.join(sizes, "key"), "key", F.ceil(F.col("size") / BLOCK)).select("key", "block", "guest", "label", "id", "blocks")
+    large = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
 
     def compare(rows: DataFrame, within: bool) -> DataFrame:
-        rows = rows.join(nodes.select("id", "n", "sig"), "id").select("key", "block", "guest", "label", "id", "n", "sig")
+        rows = rows.join(nodes.select("id", "n", "sig"), "id").select("key", "block", "blocks", "guest", "label", "id", "n", "sig")
         rows = rows.repartition("key", "block").sortWithinPartitions("key", "block", "n")
 
         def run(batches):
             for table in _chunks(batches, 2, CHUNK_ROWS):
-                guest, label, ids, n = (table.column(k).to_numpy() for k in (2, 3, 4, 5))
-                sig = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint8).reshape(-1, SIZE)
+                key, block, blocks, guest, label, ids, n = (table.column(k).to_numpy() for k in range(7))
+                sig = np.frombuffer(b"".join(table.column(7).to_pylist()), np.uint8).reshape(-1, SIZE)
                 begin, end = _groups(table, 2)
-                two = begin[end - begin == 2]
-                ok = ((sig[two] != sig[two + 1]).sum(axis=1) <= MOST) & _allowed(n[two], n[two + 1], percent) & (label[two] != label[two + 1])
-                a, b = ids[two[ok]].tolist(), ids[two[ok] + 1].tolist()
-                for lo, hi in zip(begin[end - begin > 2].tolist(), end[end - begin > 2].tolist(), strict=True):
-                    f = Forest(label[lo:hi])
+                found = Found("key")
+                # most buckets are pairs
+                two = begin[(end - begin == 2) & (blocks[begin] == 1)]
+                ok = two[((sig[two] != sig[two + 1]).sum(axis=1) <= MOST) & _allowed(n[two], n[two + 1], percent) & (label[two] != label[two + 1])]
+                none = np.zeros(len(ok), np.int64)
+                for column, values in zip(found.columns, (label[ok], label[ok + 1], key[ok], none, none), strict=True):
+                    column.append(values)
+                more = (end - begin > 2) | (blocks[begin] > 1)
+                for lo, hi in zip(begin[more].tolist(), end[more].tolist(), strict=True):
+                    parts = Parts(label[lo:hi])
                     s, m, g = sig[lo:hi], n[lo:hi], guest[lo:hi]
                     for i in range(hi - lo - 1):
-                        j = i + 1 + np.flatnonzero((f.part[i + 1 :] != f.part[i]) & _allowed(m[i + 1 :], m[i], percent) & (within | (g[i + 1 :] != g[i])))
+                        j = i + 1 + np.flatnonzero((parts.part[i + 1 :] != parts.part[i]) & _allowed(m[i + 1 :], m[i], percent) & (within | (g[i + 1 :] != g[i])))
                         if len(j):
-                            f.join(i, j[(s[j] != s[i]).sum(axis=1) <= MOST])
-                    a += [int(ids[lo + i]) for i, _ in f.links]
-                    b += [int(ids[lo + j]) for _, j in f.links]
-                yield _pairs_batch(a, b)
+                            parts.join(i, j[(s[j] != s[i]).sum(axis=1) <= MOST])
+                    found.add(parts, ids[lo:hi], g, int(key[lo]), int(block[lo]), int(blocks[lo]), within)
+                yield found.batch()
 
-        return rows.mapInArrow(run, "a long, b long").distinct()
+        return rows.mapInArrow(run, FOUND.format("key"))
 
-    return _two_rounds(dealt, "key", compare)
+    return _two_rounds(_dealt(members, "key", large), "key", compare)
 
 
 def _full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -278,15 +334,15 @@ def _full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return needed.select("doc_id", "text").mapInArrow(run, "id long, shingles binary")
 
 
-def _linked(ids: np.ndarray, guest: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], sig: np.ndarray, within: bool, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the confirmed links of one block that join different labels; with ``within`` those between its members too, else only those of members and guests."""
+def _linked(guest: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], sig: np.ndarray, within: bool, percent: int) -> Parts:
+    """The parts that confirmed links make of one block's labels; with ``within`` also those between members, else only those of members and guests."""
     n = np.array([len(s) for s in sets])
-    f = Forest(labels)
+    parts = Parts(labels)
     _, flat = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.cumsum(n) - n
     mark = np.zeros(int(flat.max(initial=-1)) + 1, bool)
-    for i in range(len(ids) - 1):
-        j = i + 1 + np.flatnonzero((f.part[i + 1 :] != f.part[i]) & _allowed(n[i + 1 :], n[i], percent) & (within | (guest[i + 1 :] != guest[i])))
+    for i in range(len(n) - 1):
+        j = i + 1 + np.flatnonzero((parts.part[i + 1 :] != parts.part[i]) & _allowed(n[i + 1 :], n[i], percent) & (within | (guest[i + 1 :] != guest[i])))
         j = j[(sig[j] != sig[i]).sum(axis=1) <= MOST]
         if not len(j):
             continue
@@ -296,35 +352,37 @@ def _linked(ids: np.ndarray, guest: np.ndarray, labels: np.ndarray, sets: list[n
         at = np.repeat(starts[j] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
         common = np.add.reduceat(mark[flat[at]].astype(np.int64), np.cumsum(size) - size)
         mark[mine] = False
-        f.join(i, j[100 * common >= percent * (n[i] + size - common)])
-    return [(int(ids[i]), int(ids[j])) for i, j in f.links]
+        parts.join(i, j[100 * common >= percent * (n[i] + size - common)])
+    return parts
 
 
 def _confirmed(groups: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(a, b): spanning forests of the links inside the coarse groups (id, component): 100 * |intersection| >= percent * |union| on the full sets."""
-    known = groups.join(nodes.select("id", "n"), "id")
-    sizes = known.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"))
-    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("total") / BLOCK_SHINGLES))
-    dealt = _dealt(known.join(sizes, "component").withColumnRenamed("component", "coarse"), "coarse", blocks).select("coarse", "block", "guest", "label", "id", "blocks")
+    known = groups.join(nodes.select("id", "n"), "id").withColumnRenamed("component", "coarse")
+    sizes = known.groupBy("coarse").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"))
+    large = sizes.withColumn("blocks", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")).where("blocks > 1").drop("total")
+    # a node is in one group; its set is made once, unless it represents its group or is compared again
+    ids = groups.select("id")
 
     def compare(rows: DataFrame, within: bool) -> DataFrame:
-        rows = rows.join(nodes.select("id", "n", "sig"), "id").join(_full_sets(docs, rows.select("id").distinct(), words), "id")
-        rows = rows.select("coarse", "block", "guest", "label", "id", "n", "sig", "shingles").repartition("coarse", "block").sortWithinPartitions("coarse", "block", "n")
+        rows = rows.join(nodes.select("id", "n", "sig"), "id").join(_full_sets(docs, ids if within else rows.select("id").distinct(), words), "id")
+        rows = rows.select("coarse", "block", "blocks", "guest", "label", "id", "n", "sig", "shingles").repartition("coarse", "block").sortWithinPartitions("coarse", "block", "n")
 
         def run(batches):
-            for table in _chunks((b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)), 2, CHUNK_ROWS, 5, BLOCK_SHINGLES // 2):
-                guest, label, ids = (table.column(k).to_numpy() for k in (2, 3, 4))
-                sig = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint8).reshape(-1, SIZE)
-                sets = [np.frombuffer(x.as_py(), U) for x in table.column(7)]
-                links = []
+            for table in _chunks((b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)), 2, CHUNK_ROWS, 6, BLOCK_SHINGLES // 2):
+                coarse, block, blocks, guest, label, ids = (table.column(k).to_numpy() for k in range(6))
+                sig = np.frombuffer(b"".join(table.column(7).to_pylist()), np.uint8).reshape(-1, SIZE)
+                sets = [np.frombuffer(x.as_py(), U) for x in table.column(8)]
+                found = Found("coarse")
                 for lo, hi in zip(*(x.tolist() for x in _groups(table, 2)), strict=True):
-                    if hi - lo > 1:
-                        links += _linked(ids[lo:hi], guest[lo:hi], label[lo:hi], sets[lo:hi], sig[lo:hi], within, percent)
-                yield _pairs_batch([a for a, _ in links], [b for _, b in links])
+                    if hi - lo > 1 or blocks[lo] > 1:
+                        parts = _linked(guest[lo:hi], label[lo:hi], sets[lo:hi], sig[lo:hi], within, percent)
+                        found.add(parts, ids[lo:hi], guest[lo:hi], int(coarse[lo]), int(block[lo]), int(blocks[lo]), within)
+                yield found.batch()
 
-        return rows.mapInArrow(run, "a long, b long").distinct()
+        return rows.mapInArrow(run, FOUND.format("coarse"))
 
-    return _two_rounds(dealt, "coarse", compare)
+    return _two_rounds(_dealt(known, "coarse", large), "coarse", compare)
 
 
 def components(edges: DataFrame) -> DataFrame:
