@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_staged, read, stage
+from .common import drop_staged, free_name, read, stage
 
 WORDS, PERCENT = 5, 80
 CHUNKS, WIDTH, ERRORS = 15, 5, 1
@@ -183,7 +183,8 @@ def _still_apart(named: DataFrame, group: str) -> DataFrame:
     """The rows of the second round: groups whose parts have several names, where the rows outside the largest part are guests of all blocks. ``named``: group, block, blocks, id, label."""
     sizes = named.groupBy(group, "label").agg(F.count(F.lit(1)).alias("size"))
     main = sizes.groupBy(group).agg(F.max_by("label", F.struct("size", -F.col("label"))).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-    open_ = named.join(main, group)
+    main = stage(main, "near-main")  # of groups of several blocks alone
+    open_ = named.join(F.broadcast(main) if main.count() <= BROADCAST_IDS else main, group)
     every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), (b != F.col("block")).alias("guest")))
     where = F.when(F.col("label") != F.col("main"), every).otherwise(F.array(F.struct(F.col("block"), F.lit(False).alias("guest"))))
     return open_.withColumn("at", F.explode(where)).select(group, F.col("at.block").alias("block"), "blocks", F.col("at.guest").alias("guest"), "label", "id")
@@ -438,8 +439,9 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One document of each group stays, the one with the smallest id, with its columns. Rows that repeat its id all stay."""
-    gone = cluster(docs, id_col, text_col, words, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    name = free_name(docs.columns, "_gone")
+    gone = cluster(docs, id_col, text_col, words, percent).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")
 
 
 def op6_hamming_join(spark, sf_dir: str) -> DataFrame:

@@ -128,12 +128,25 @@ def _short(texts: list[str]):
         yield out
 
 
+#: Texts in which a tokenizer that does not take each word with the space ahead of it differs from one that does.
+PROBES = ("The quick  brown\nfox can't jump.", " a b  c ", "don't stop-me 3.14 x_y, über Straße — 東京 <|x|>", "A\tB\r\nC")
+
+
+def _hold_to(path: str, end_id: int) -> None:
+    """Refuses a tokenizer whose ids are not those of its words one by one; such a one needs ``spaced=False``."""
+    coder = WordTokenizer(path, end_id, True)
+    if coder.encode(list(PROBES)) != WordTokenizer(path, end_id, False).encode(list(PROBES)):
+        raise ValueError("this tokenizer does not read texts word by word: give spaced=False")
+
+
 def tokenize(docs: DataFrame, id_col: str, text_col: str, tokenizer: str | None, end_id: int = END_ID, spaced: bool = True) -> DataFrame:
     """One row per document: doc_id, ids (end id included), part, before (the ids ahead of it in its partition). A null text is an empty one.
 
     ``tokenizer`` is a path that every executor can open; None stands for the installed word_bpe_49k.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    if spaced and tokenizer is not None:
+        _hold_to(tokenizer, end_id)
 
     def run(batches):
         from pyspark import TaskContext

@@ -316,7 +316,10 @@ def _mapped(docs: DataFrame, text_col: str, model: Boosted | None, added: list[T
 
 
 def find(docs: DataFrame, text_col: str = "text", model: Boosted | None = None) -> DataFrame:
-    """Adds ``base`` and ``spans``, arrays of (kind, start, end) in code points, to every row; a null or empty text has none. Columns must not have these names."""
+    """Adds ``base`` and ``spans``, arrays of (kind, start, end) in code points, to every row; a null or empty text has none. Columns of these names are refused (ValueError)."""
+    clash = {"base", "spans"} & {c.lower() for c in docs.columns}
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} are in use")
     dicts = lambda s: [{"kind": k, "start": a, "end": b} for k, a, b in s]
 
     def finish(part, _, found):
