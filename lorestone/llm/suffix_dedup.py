@@ -5,7 +5,8 @@ window is named by the least hash among its GRAM-byte substrings, which equal wi
 segment. A name that one place of the corpus gave cannot belong to a repeated window, and segments with the same bytes are counted, not
 compared. What is left, different segments of one name, goes to shards; a shard's suffix array is built by sorting sampled triples,
 recursing on their names and merging the remaining suffixes, and windows are equal where adjacent suffixes share LENGTH bytes. Segments of
-a name with more text than a shard holds are parted anew by FINE_GRAM-byte substrings, and what is still too much is counted window by window.
+a name with more text than a shard holds are parted anew by FINE_GRAM-byte substrings; the names that still have too much go through the same algorithm
+over tables (distributed_suffixes), which no task holds whole.
 """
 
 from __future__ import annotations
@@ -16,14 +17,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read, shuffle_partitions, stage
+from .common import drop_staged, free_name, read, shuffle_partitions, stage
+from .distributed_suffixes import repeated
 
 LENGTH = 200
 GRAM = 64
-SHARD_BYTES = 400_000  # of text in one suffix array; below 2 ** 21 symbols, so that a triple fits in 63 bits
+SHARD_BYTES = 400_000  # of text in one task's suffix array
 PIECE = 1 << 15  # windows of a segment at most; longer ones, of periodic text, are cut
 MANY = 1000  # segments of a name beyond which, as beyond SHARD_BYTES, each is parted anew by longer substrings
 FINE_GRAM = 184
+BROADCAST_NAMES = 1_000_000  # of 8 bytes
 U = np.uint64
 A, B = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 
@@ -83,17 +86,37 @@ def segments(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.n
     return name, new, end, times[np.searchsorted(values, name)] > 1
 
 
+def keys(*groups: tuple[np.ndarray, ...]) -> list[np.ndarray]:
+    """One number for each tuple of a group's columns, in the tuples' order and comparable between the groups: packed where they fit 62 bits, else ranks from one sort."""
+    widths = [max(1, max((int(g[k].max(initial=0)).bit_length() for g in groups), default=1)) for k in range(len(groups[0]))]
+    if sum(widths) <= 62:
+        out = []
+        for g in groups:
+            key = g[0].astype(np.int64)
+            for column, width in zip(g[1:], widths[1:], strict=True):
+                key = (key << width) | column
+            out.append(key)
+        return out
+    columns = [np.concatenate([g[k] for g in groups]) for k in range(len(groups[0]))]
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    for c in columns:
+        new[1:] |= c[order[1:]] != c[order[:-1]]
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new)
+    return np.split(rank, np.cumsum([len(g[0]) for g in groups])[:-1])
+
+
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """Suffix array of symbols >= 1, by difference cover modulo 3; a suffix that ends sorts ahead of its continuations."""
     n = len(s)
     if n < 3:
         return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
     t = np.concatenate([s.astype(np.int64), np.zeros(3, np.int64)])
-    n0, n1, n2 = (n + 2) // 3, (n + 1) // 3, n // 3
+    n0, n1 = (n + 2) // 3, (n + 1) // 3
     first = np.arange(1, n + (n0 - n1), 3)  # with one place behind the end if that makes both halves separable
     sampled = np.concatenate([first, np.arange(2, n, 3)])
-    width = max(1, int(t.max()).bit_length())
-    triple = (((t[sampled] << width) | t[sampled + 1]) << width) | t[sampled + 2]
+    [triple] = keys((t[sampled], t[sampled + 1], t[sampled + 2]))
     order = np.argsort(triple, kind="stable")
     in_order = triple[order]
     name = np.cumsum(np.concatenate([[1], in_order[1:] != in_order[:-1]]))
@@ -106,13 +129,14 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     places = sampled[order]
     rank[places] = np.arange(1, len(order) + 1)
     places = places[places < n]
-    step = (n0 + n2 + 2).bit_length()
     rest = np.arange(0, n, 3)
-    rest = rest[np.argsort((t[rest] << step) | rank[rest + 1], kind="stable")]
+    [key] = keys((t[rest], rank[rest + 1]))
+    rest = rest[np.argsort(key, kind="stable")]
     ones, twos = places[places % 3 == 1], places[places % 3 == 2]
-    ahead = np.searchsorted((t[ones] << step) | rank[ones + 1], (t[rest] << step) | rank[rest + 1])
-    key = lambda p: (((t[p] << width) | t[p + 1]) << step) | rank[p + 2]
-    ahead += np.searchsorted(key(twos), key(rest))
+    a, b = keys(*((t[p], rank[p + 1]) for p in (ones, rest)))
+    ahead = np.searchsorted(a, b)
+    a, b = keys(*((t[p], t[p + 1], rank[p + 2]) for p in (twos, rest)))
+    ahead += np.searchsorted(a, b)
     out = np.empty(n, np.int64)
     at = ahead + np.arange(len(rest))
     free = np.ones(n, bool)
@@ -153,8 +177,6 @@ def ranges_of(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-RANGES = "array<struct<lo:int,hi:int>>"
-ARROW_RANGES = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 
 
 def _named(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -224,31 +246,6 @@ def _parted(many: DataFrame, length: int) -> DataFrame:
     return many.mapInArrow(run, "name long, f1 long, f2 long, off int, n int, g1 long, g2 long, piece binary, again boolean")
 
 
-def _windows(pieces: DataFrame, length: int) -> DataFrame:
-    """(f1, f2, at, w1, w2): every window of the pieces by two hashes of its bytes."""
-    import xxhash
-
-    def run(batches):
-        for batch in batches:
-            for k in range(0, batch.num_rows, 100):
-                out: tuple[list, ...] = ([], [], [], [], [])
-                for f1, f2, piece in zip(*(batch.column(c).slice(k, 100).to_pylist() for c in range(3)), strict=True):
-                    for at in range(len(piece) - length + 1):
-                        w = xxhash.xxh3_128_intdigest(piece[at : at + length])
-                        for col, v in zip(out, (f1, f2, at, (w >> 64) - 2**63, w % 2**64 - 2**63), strict=True):
-                            col.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["f1", "f2", "at", "w1", "w2"])
-
-    return pieces.select("f1", "f2", "piece").mapInArrow(run, "f1 long, f2 long, at int, w1 long, w2 long")
-
-
-def _counted(pieces: DataFrame, length: int) -> DataFrame:
-    """(f1, f2, lo, hi) as _compared gives, by counting the windows: no task holds a name's pieces, however many there are."""
-    windows = stage(_windows(pieces, length), "repeats-windows")
-    again = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("w1", "w2")
-    return windows.join(again, ["w1", "w2"]).select("f1", "f2", F.col("at").alias("lo"), (F.col("at") + 1).alias("hi"))
-
-
 def _compared(parts: DataFrame, length: int) -> DataFrame:
     """(f1, f2, lo, hi): windows of a segment that stand elsewhere among the different segments of its name too."""
     bound = SHARD_BYTES
@@ -280,14 +277,16 @@ def _compared(parts: DataFrame, length: int) -> DataFrame:
     return parts.mapInArrow(run, "f1 long, f2 long, lo int, hi int")
 
 
-def _split(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(name, f1, f2, piece) of different pieces to compare: those of names that fit a shard, and those of names that do not."""
+def _split(groups: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(name, f1, f2, piece) of different pieces to compare: those of names that fit a shard, and those of names that do not; and the staged sizes they are read by."""
     by_name = groups.groupBy("name").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.octet_length("piece")).alias("bytes"), F.max("again").alias("twice"))
     by_name = stage(by_name.where("kinds > 1 OR twice"), "repeats-sizes")
     crowded = (F.col("kinds") > MANY) | (F.col("bytes") > SHARD_BYTES)
     rows = lambda g: g.select("name", "f1", "f2", "piece")
-    names = F.broadcast(by_name.where(crowded).select("name"))  # few, as each has much text; so no task gets all pieces of such a name
-    return rows(groups.join(names, "name", "left_anti").join(by_name.where(~crowded), "name")), rows(groups.join(names, "name"))
+    names = by_name.where(crowded).select("name")
+    if names.count() <= BROADCAST_NAMES:  # each has much text; else the join is left to the planner
+        names = F.broadcast(names)
+    return rows(groups.join(names, "name", "left_anti").join(by_name.where(~crowded), "name")), rows(groups.join(names, "name")), by_name
 
 
 def _sharded(few: DataFrame, length: int) -> DataFrame:
@@ -298,14 +297,17 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Adds ``spans`` to every row: disjoint ranges (start, end) of UTF-8 bytes, in order and not touching, covered by strings of ``length`` bytes that start elsewhere too.
 
     Strings never cross documents; overlapping occurrences count, within a document too. Null, empty and shorter texts have no spans. Repeated rows are repeats
-    of each other. Only columns named _d, _h and spans must not be there.
+    of each other. A column named spans is refused (ValueError); all others stay.
     """
     if length < 2:
         raise ValueError("length must be at least 2")
+    if "spans" in (c.lower() for c in docs.columns):
+        raise ValueError("a column is named spans")
     gram = max(1, min(GRAM, length // 2))
     text = F.col(text_col).cast("binary")
-    keyed = docs.withColumns({"_d": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), "_h": F.xxhash64(text)})
-    plain = keyed.select(F.col("_d").alias("d"), F.col("_h").alias("h"), text.alias("text"))
+    d_col, h_col = free_name(docs.columns, "_d"), free_name(docs.columns, "_h")
+    keyed = docs.withColumns({d_col: F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), h_col: F.xxhash64(text)})
+    plain = keyed.select(F.col(d_col).alias("d"), F.col(h_col).alias("h"), text.alias("text"))
     named = stage(_named(plain, length, gram), "repeats-names")
     shared = named.groupBy("name").agg(F.count(F.lit(1)).alias("times"), F.max("again").alias("again")).where("times > 1 OR again").select("name")
     # rows that repeat an id and a text have the same segments twice; they are kept once here and counted below
@@ -314,32 +316,41 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cut = stage(_cut(plain.join(kept, ["d", "h"]), length), "repeats-segments")
     groups = cut.groupBy("name", "f1", "f2").agg(F.count(F.lit(1)).alias("times"), F.first("piece").alias("piece"), F.first("n").alias("n"), F.max("again").alias("again"))
     groups = stage(groups, "repeats-groups")
-    few, many = _split(groups)
+    few, many, sizes = _split(groups)
     # names with too many segments for a shard: pieces by a longer name, equal ones counted as above, found in pieces first and then placed in their segments
     fine = stage(_parted(many, length), "repeats-fine")
     pieces = stage(fine.groupBy("name", F.col("g1").alias("f1"), F.col("g2").alias("f2")).agg(F.count(F.lit(1)).alias("times"), F.first("piece").alias("piece"), F.first("n").alias("n"), F.max("again").alias("again")), "repeats-pieces")
-    fine_few, fine_many = _split(pieces)
+    fine_few, fine_many, fine_sizes = _split(pieces)
+    used = [fine, pieces, sizes, fine_sizes]
     whole = lambda g: g.where("times > 1").select("f1", "f2", F.lit(0).alias("lo"), F.col("n").alias("hi"))
-    inner = _sharded(fine_few, length).unionAll(_counted(fine_many, length)).unionAll(whole(pieces)).withColumnsRenamed({"f1": "g1", "f2": "g2"})
+    inner = _sharded(fine_few, length).unionAll(repeated(fine_many, length)).unionAll(whole(pieces)).withColumnsRenamed({"f1": "g1", "f2": "g2"})
     placed = fine.select("f1", "f2", "off", "g1", "g2").join(inner, ["g1", "g2"]).select("f1", "f2", (F.col("off") + F.col("lo")).alias("lo"), (F.col("off") + F.col("hi")).alias("hi"))
     found = _sharded(few, length).unionAll(placed).unionAll(whole(groups))
     hits = cut.select("d", "h", "f1", "f2", F.col("lo").alias("at")).join(found, ["f1", "f2"]).select("d", "h", (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi"))
-    spans = hits.groupBy("d", "h").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("_ranges"))  # of one document
-    spans = stage(spans.withColumnsRenamed({"d": "_d", "h": "_h"}), "repeats-spans")
-    out = keyed.join(spans, ["_d", "_h"], "left")
-    one = "struct<start:bigint,end:bigint>"
+    spans = _merged(hits.groupBy("d", "h").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), length)  # of one document
+    spans = stage(spans.withColumnsRenamed({"d": d_col, "h": h_col}), "repeats-spans")
+    drop_staged(named, kept, cut, groups, *used)
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    return keyed.join(spans, [d_col, h_col], "left").select(*docs.columns, F.coalesce("spans", none).alias("spans"))
 
-    def add(done, r):
-        """The window starts lo..hi cover the bytes lo..hi + length - 1."""
-        now = F.struct(r["lo"].cast("long").alias("start"), (r["hi"] + F.lit(length - 1)).cast("long").alias("end"))
-        last = done["last"]
-        meets = now["start"] <= last["end"]
-        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], now["end"]).alias("end"))
-        return F.struct(F.when(last.isNull() | meets, done["all"]).otherwise(F.concat(done["all"], F.array(last))).alias("all"), F.when(meets, grown).otherwise(now).cast(one).alias("last"))
 
-    start = F.struct(F.array().cast(f"array<{one}>").alias("all"), F.lit(None).cast(one).alias("last"))
-    merged = F.aggregate(F.coalesce("_ranges", F.array().cast(RANGES)), start, lambda done, r: add(done, r), lambda done: F.when(done["last"].isNull(), done["all"]).otherwise(F.concat(done["all"], F.array(done["last"]))))
-    return out.withColumn("spans", merged).select(*docs.columns, "spans")
+def _merged(found: DataFrame, length: int) -> DataFrame:
+    """(d, h, spans): window starts lo..hi cover the bytes lo..hi + length - 1; ranges that meet are one."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for ranges in batch.column(2):
+                lo, hi = (ranges.values.field(f).to_numpy().astype(np.int64) for f in ("lo", "hi"))
+                order = np.argsort(lo, kind="stable")
+                lo, end = lo[order], np.maximum.accumulate(hi[order] + length - 1)
+                new = np.concatenate([[True], lo[1:] > end[:-1]])
+                last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(end) - 1]])
+                out.append([{"start": a, "end": b} for a, b in zip(lo[new].tolist(), end[last].tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], names=["d", "h", "spans"])
+
+    return found.mapInArrow(run, "d long, h long, spans array<struct<start:bigint,end:bigint>>")
 
 
 def without_spans(text: bytes, spans: list[dict]) -> bytes:
@@ -351,7 +362,9 @@ def without_spans(text: bytes, spans: list[dict]) -> bytes:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """The rows with ``kept``, the bytes of the text that no span covers, and ``spans``. Cutting can split a character, so ``kept`` is binary."""
+    """The rows with ``kept``, the bytes of the text that no span covers, and ``spans``. Cutting can split a character, so ``kept`` is binary. A column named kept is refused (ValueError)."""
+    if "kept" in (c.lower() for c in docs.columns):
+        raise ValueError("a column is named kept")
     found = find_repeats(docs, id_col, text_col, length)
     at = found.columns.index(text_col)
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.cloudpickle import register_pickle_by_value, unregister_pickle_by_value
 
-from lorestone.llm import bpe, decontaminate, html_extract, near_dedup, packing, pii, sharding, suffix_dedup, toxicity, url_filter, vptree
+from lorestone.llm import bpe, decontaminate, distributed_suffixes, html_extract, near_dedup, packing, pii, sharding, suffix_dedup, toxicity, url_filter, vptree
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [(1, None), (2, ""), (3, "x" * 300_000), (4, "same words in here"), (5, "same words in here"), (5, "same words in here"), (None, "no id"), (7, " \t\n"), (8, "é" * 5000)]
@@ -831,7 +831,7 @@ def test_repeats(spark, monkeypatch, length, many, piece):
             docs.append(u[a : a + r.randint(0, 60)] + "".join(r.choice("abé") for _ in range(r.randint(0, 9))))
         else:
             docs.append("a" * r.randint(0, 90) if k < 0.5 else "".join(r.choice("abcdefghijkl mnopé") for _ in range(r.randint(0, 90))))
-    rows = spark.createDataFrame([(i, t, 1, "c") for i, t in enumerate(docs)], "doc_id long, text string, lo int, name string").repartition(3)
+    rows = spark.createDataFrame([(i, t, 1, "c") for i, t in enumerate(docs)], "doc_id long, text string, lo int, _d string").repartition(3)
     got = {x["doc_id"]: x for x in suffix_dedup.remove_repeats(rows, length=length).collect()}
     for i, want in enumerate(brute_repeats([t.encode() for t in docs], length)):
         spans = got[i]["spans"]
@@ -862,6 +862,53 @@ def test_common_passage_is_no_large_shard(spark, monkeypatch):
         assert (sum(s["end"] - s["start"] for s in spans), len(spans), bytes(got[i]["kept"])) == want
 
 
+@pytest.mark.parametrize(("length", "bucket", "alphabet"), [(3, 40, "ab"), (20, 64, "abc"), (200, 500, "abcdefgh")])
+def test_distributed_difference_cover(spark, monkeypatch, length, bucket, alphabet):
+    """Over tables, in many buckets: the windows that start elsewhere too, for pieces that overlap in all residues."""
+    monkeypatch.setattr(distributed_suffixes, "BUCKET", bucket)
+    r = random.Random(length)
+    base = "".join(r.choices(alphabet, k=3 * length))
+    pieces = ["".join(r.choices(alphabet, k=r.randint(0, length))) + base[(a := r.randint(0, len(base) - 1)) : a + r.randint(1, 2 * length)] + "".join(r.choices(alphabet, k=r.randint(0, 9))) for _ in range(30)]
+    pieces += ["", "a", base, base + "a" * length, "b" * (2 * length)]
+    rows = [(i, i * 7, bytearray(p.encode())) for i, p in enumerate(pieces)]
+    got = {(x["f1"], x["lo"]) for x in distributed_suffixes.repeated(spark.createDataFrame(rows, "f1 long, f2 long, piece binary").repartition(3), length).collect()}
+    count = collections.Counter(p[k : k + length] for p in pieces for k in range(len(p) - length + 1))
+    assert got == {(i, k) for i, p in enumerate(pieces) for k in range(len(p) - length + 1) if count[p[k : k + length]] > 1}
+    assert distributed_suffixes.repeated(spark.createDataFrame([], "f1 long, f2 long, piece binary"), length).count() == 0
+
+
+def test_a_line_in_many_contexts(spark, monkeypatch):
+    """A line shorter than a window with other text around it everywhere: its names fit no shard, and nothing but planted copies goes."""
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 4000)
+    ran, whole = [], suffix_dedup.repeated
+    monkeypatch.setattr(suffix_dedup, "repeated", lambda pieces, length: ran.append(pieces.count()) or whole(pieces, length))
+    r = random.Random(21)
+    line, letters = "".join(r.choices("abcdefghij", k=184)), "klmnopqrstuvwxyz"
+    docs = ["".join(r.choices(letters, k=16)) + line + "".join(r.choices(letters, k=16)) for _ in range(600)]
+    docs += [docs[3], docs[5][:210], "x" + docs[7][5:]]
+    got = {x["doc_id"]: x for x in suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(4)).collect()}
+    assert ran[0] > 100
+    for i, want in enumerate(brute_repeats([t.encode() for t in docs], 200)):
+        spans = got[i]["spans"]
+        assert (sum(s["end"] - s["start"] for s in spans), len(spans), bytes(got[i]["kept"])) == want
+
+
+def test_suffix_array_of_many_symbols():
+    """More names than 21 bits hold, and symbols of 40 bits."""
+    r = np.random.default_rng(22)
+    s = r.integers(1, 2**40, 4_000_000)
+    sa = suffix_dedup.suffix_array(s)
+    assert (np.diff(s[sa]) >= 0).all() and len(np.unique(sa)) == len(s)
+    small = [np.array([r.integers(1, 4) * (1 << 40) for _ in range(n)]) for n in range(3, 40)]
+    assert all(suffix_dedup.suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i, s=s: s[i:].tolist()) for s in small)
+
+
+@pytest.mark.parametrize("name", ["spans", "kept"])
+def test_repeats_refuse_their_own_columns(spark, name):
+    with pytest.raises(ValueError, match=name):
+        suffix_dedup.remove_repeats(spark.createDataFrame([(1, "x", 1)], f"doc_id long, text string, {name} int"))
+
+
 def test_difference_cover():
     r = random.Random(3)
     for _ in range(300):
