@@ -1,7 +1,7 @@
 """The difference-cover algorithm over tables: suffixes of texts of any total size in order, and the windows that neighbours share.
 
 Positions that are 1 or 2 modulo 3 are sampled. Their triples of symbols are sorted by a range shuffle and named by prefix sums over the partitions;
-if names repeat, the string of names is ordered the same way. Then all positions are merged: splitters, taken from the sampled order, deal every suffix to a
+if names repeat, the string of names is ordered the same way, in one task once it fits a bucket. Then all positions are merged: splitters, taken from the sampled order, deal every suffix to a
 bucket by the comparisons that the cover allows, buckets are merged in memory, and neighbours are compared across their ends too. Every text ends in a symbol of its
 own. Only prefixes of LENGTH bytes must come together, so the recursion ends when names stand for that many; ties there are broken by position.
 """
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .common import drop_staged, shuffle_partitions, stage
 
 BUCKET = 1 << 18  # suffixes of a bucket, about
+OVERSAMPLED = 16  # candidates for each splitter, so that buckets are alike
 U = np.uint64
 
 
@@ -145,8 +146,9 @@ def _bucketed(places: DataFrame, ranks: DataFrame, more: tuple[str, ...]) -> Dat
     full = stage(full.select(*COLUMNS, *more), "suffixes-places")
     n = full.count()
     buckets = -(-n // BUCKET)
-    every = max(1, n * 2 // 3 // max(1, buckets - 1)) if buckets > 1 else 0
-    chosen = full.where("pos % 3 <> 0").where(F.pmod(F.xxhash64("pos"), F.lit(every)) == 0).select(*COLUMNS).orderBy("r0").collect() if every else []  # about one for each bucket
+    every = max(1, n * 2 // 3 // (OVERSAMPLED * buckets)) if buckets > 1 else 0
+    chosen = full.where("pos % 3 <> 0").where(F.pmod(F.xxhash64("pos"), F.lit(every)) == 0).select(*COLUMNS).orderBy("r0").collect() if every else []  # about OVERSAMPLED for each bucket
+    chosen = chosen[OVERSAMPLED - 1 :: OVERSAMPLED]
     fixed = full.sparkSession.sparkContext.broadcast({c: np.array([r[c] for r in chosen], np.int64) for c in COLUMNS})
 
     def run(batches):
@@ -177,6 +179,19 @@ def _merged(table: pa.Table) -> np.ndarray:
     return out
 
 
+def _ranked_here(string: DataFrame) -> DataFrame:
+    """(pos, rank) of a string that fits a bucket, by the same algorithm in one task."""
+    from .suffix_dedup import suffix_array
+
+    def run(table: pa.Table) -> pa.Table:
+        pos, name = table.column("pos").to_numpy(), table.column("s0").to_numpy()
+        order = np.argsort(pos)
+        pos, symbols = pos[order], np.unique(name, return_inverse=True)[1][order] + 1
+        return pa.table([pa.array(pos[suffix_array(symbols)]), pa.array(np.arange(1, len(pos) + 1))], names=["pos", "rank"])
+
+    return string.select(F.lit(0).alias("all"), "pos", "s0").groupBy("all").applyInArrow(run, "pos long, rank long")
+
+
 def _ranked(places: DataFrame, depth: int) -> tuple[DataFrame, list[DataFrame]]:
     """(pos, rank) of the sampled places, ranks from 1; and what is staged for it."""
     named, found, unique = _named(places)
@@ -188,6 +203,11 @@ def _ranked(places: DataFrame, depth: int) -> tuple[DataFrame, list[DataFrame]]:
     shorter = named.select(F.explode(at).alias("x")).select("x.*").groupBy("pos").agg(F.max("s0").alias("s0"), *[F.coalesce(F.max(f"s{j}"), F.lit(0)).alias(f"s{j}") for j in (1, 2)])
     shorter = stage(shorter.where("s0 IS NOT NULL"), "suffixes-string")
     drop_staged(found)
+    back = F.when(F.col("pos") < half, 3 * F.col("pos") + 1).otherwise(3 * (F.col("pos") - half) + 2)
+    if shorter.count() <= BUCKET:
+        ranks = stage(_ranked_here(shorter), "suffixes-ranks")
+        drop_staged(shorter)
+        return ranks.select(back.alias("pos"), "rank"), [ranks]
     ranks, used = _ranked(shorter, depth - 1)
     dealt = _bucketed(shorter, ranks, ())
 
@@ -202,12 +222,11 @@ def _ranked(places: DataFrame, depth: int) -> tuple[DataFrame, list[DataFrame]]:
         bases[r["bucket"]] = (n,)
         n += r["n"]
     ranks = _shifted(merged, bases, "bucket", ["rank"])
-    back = F.when(F.col("pos") < half, 3 * F.col("pos") + 1).otherwise(3 * (F.col("pos") - half) + 2)
     return ranks.select(back.alias("pos"), "rank"), [merged]
 
 
 def repeated(pieces: DataFrame, length: int) -> DataFrame:
-    """(f1, f2, lo, hi): the windows lo..hi of ``length`` bytes that start elsewhere in the pieces too. ``pieces``: f1, f2, piece, of any number and size."""
+    """(f1, f2, lo, hi): the windows of ``length`` bytes that start from lo up to and without hi and start elsewhere in the pieces too, as whole runs. ``pieces``: f1, f2, piece, of any number and size."""
     kind = "f1 long, f2 long, lo int, hi int"
     if pieces.isEmpty():
         return pieces.sparkSession.createDataFrame([], kind)
@@ -241,5 +260,19 @@ def repeated(pieces: DataFrame, length: int) -> DataFrame:
     hits = found.where("edge = 0").select("start", "pos")
     if ends:
         hits = hits.unionAll(found.sparkSession.createDataFrame(ends, "start long, pos long"))
-    lo = (F.col("pos") - F.col("start")).cast("int")
-    return hits.distinct().join(texts.select("start", "f1", "f2"), "start").select("f1", "f2", lo.alias("lo"), (lo + 1).alias("hi"))
+    runs = hits.groupBy("start").agg(F.collect_set("pos").alias("places"))  # of one piece
+
+    def ranges(batches):
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [])
+            for start, places in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                at = np.sort(places.values.to_numpy()) - start
+                cut = np.flatnonzero(np.diff(at) > 1)
+                lo, hi = at[np.concatenate([[0], cut + 1])], at[np.concatenate([cut, [len(at) - 1]])] + 1
+                for column, values in zip(out, (np.full(len(lo), start), lo, hi), strict=True):
+                    column.append(values)
+            kinds = (pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *c]), k) for c, k in zip(out, kinds, strict=True)], names=["start", "lo", "hi"])
+
+    found = runs.mapInArrow(ranges, "start long, lo int, hi int")
+    return found.join(texts.select("start", "f1", "f2"), "start").select("f1", "f2", "lo", "hi")

@@ -871,7 +871,7 @@ def test_distributed_difference_cover(spark, monkeypatch, length, bucket, alphab
     pieces = ["".join(r.choices(alphabet, k=r.randint(0, length))) + base[(a := r.randint(0, len(base) - 1)) : a + r.randint(1, 2 * length)] + "".join(r.choices(alphabet, k=r.randint(0, 9))) for _ in range(30)]
     pieces += ["", "a", base, base + "a" * length, "b" * (2 * length)]
     rows = [(i, i * 7, bytearray(p.encode())) for i, p in enumerate(pieces)]
-    got = {(x["f1"], x["lo"]) for x in distributed_suffixes.repeated(spark.createDataFrame(rows, "f1 long, f2 long, piece binary").repartition(3), length).collect()}
+    got = {(x["f1"], k) for x in distributed_suffixes.repeated(spark.createDataFrame(rows, "f1 long, f2 long, piece binary").repartition(3), length).collect() for k in range(x["lo"], x["hi"])}
     count = collections.Counter(p[k : k + length] for p in pieces for k in range(len(p) - length + 1))
     assert got == {(i, k) for i, p in enumerate(pieces) for k in range(len(p) - length + 1) if count[p[k : k + length]] > 1}
     assert distributed_suffixes.repeated(spark.createDataFrame([], "f1 long, f2 long, piece binary"), length).count() == 0
