@@ -3,6 +3,10 @@
 Every stage works on all that the one before it kept. Toxicity drops documents whose score is at least its threshold; near-dedup keeps the
 document with the smallest id of each group; decontamination drops documents in which a benchmark phrase occurs; personal data is
 replaced in the text, whose n_chars follows; packing gives the pieces of the training sequences. All stages but the last return the columns of documents.
+
+A null or empty text is scored by the bias, has no words and no personal data, and is packed as the end id alone. Rows that repeat an id stay or go together in
+near-dedup; rows without an id stay. Of equal documents the smallest id stays. An empty table gives no piece. Columns beside doc_id, text and n_chars go through unread; a column
+named score, n_words, spans, items or base is refused by the stage that would write it.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorestone.llm import decontaminate, near_dedup, packing, pii, toxicity
-from lorestone.llm.common import read, stage
+from lorestone.llm.common import drop_staged, read, stage
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +51,13 @@ ORACLE_SQL = None  # several stages cannot be expressed in SQL; tests hold run()
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order; each result but the last is written and read again."""
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for i, (name, step) in enumerate(STAGES):
-        docs = step(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = stage(docs, f"pipeline-{name}")
+        out = step(spark, docs, sf_dir)
+        if i + 1 == len(STAGES):
+            return out
+        docs = stage(out, f"pipeline-{name}")
+        if before is not None:
+            drop_staged(before)  # what it kept is in the next result
+        before = docs
     return docs

@@ -13,10 +13,15 @@ BIDIRECTIONAL = ("references", "uses")
 AUTO_ONLY_FIELDS = ("file_hash", "parser_version", "indexed_at")
 #: Entity types of people's notes, and of code. Fixed values.
 MANUAL_TYPES = (
-    "debugging_pattern", "implementation_pattern", "integration_pattern", "configuration_pattern", "architecture_pattern", "performance_pattern", "knowledge_insight", "active_issue", "ideas",
-    "solution_pattern", "best_practice", "lesson_learned", "project_milestone", "decision", "pattern", "note",
+    "optimization_pattern", "milestone", "solution", "bug", "performance-metric", "feature-verification", "task-completion", "technical-analysis", "debugging-analysis", "project_milestone",
+    "verification_report", "system_validation", "completed_optimization", "performance_improvement", "refactoring_project", "design_patterns", "architecture_pattern", "verification_plan", "checklist", "verification_result",
+    "technical_pattern", "solution_pattern", "test", "analysis-report", "code-pattern", "code-analysis", "infrastructure-analysis", "critical-bug", "debugging-report", "bug-reproduction",
+    "bug-analysis", "workflow_pattern", "configuration_pattern", "best_practice", "implementation_note", "decision_record", "learning", "insight", "code_analysis", "debugging_solution",
+    "project_architecture", "reference", "research_summary", "section", "documentation", "manual_test", "user_note", "comment", "annotation", "summary",
+    "guide", "tutorial", "example", "template", "specification", "requirement", "design_document", "meeting_notes", "decision", "changelog",
+    "release_notes", "troubleshooting", "faq", "howto", "tips", "tricks", "active_issue", "ideas",
 )
-CODE_TYPES = ("class", "file", "function", "documentation", "text_chunk", "relation", "variable", "import", "constant", "interface")
+CODE_TYPES = ("file", "function", "class", "variable", "import", "directory", "project")
 #: Words of errors that pass. Fixed values.
 TRANSIENT = ("rate limit", "timeout", "connection", "temporary", "503", "502", "429")
 

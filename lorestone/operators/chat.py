@@ -18,6 +18,7 @@ CATEGORIES = {
     "ideas": ("idea", "feature", "suggestion", "enhancement", "brainstorm", "concept", "proposal", "future", "roadmap", "vision", "inspiration", "innovation"),
 }
 DEFAULT_CATEGORY = "implementation_pattern"
+#: Fence tags that are no languages, marks of code, words that say nothing. Fixed values.
 NOT_LANGUAGES = ("bash", "shell", "sh", "text")
 CODE_MARKERS = ("```", "def ", "class ", "function ", "import ", "const ", "SELECT ")
 STOP_WORDS = ("about", "would", "could", "should", "there", "these")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,15 +26,24 @@ def with_overlap(chunks: DataFrame, size: int = OVERLAP) -> DataFrame:
 
 
 def budget_batches(rows: DataFrame, group: str, order: str, cost: str, limit: int, most: int) -> DataFrame:
-    """Adds ``batch``: rows of a group in order, a new batch where the sum would exceed ``limit`` or the count ``most``. A fold over the rows of one group."""
-    one = F.struct(F.col(order).alias("o"), F.col(cost).cast("long").alias("c"))
-    kind = "struct<batch:int,sum:bigint,n:int,out:array<struct<o:bigint,batch:int>>>"
-
-    def add(s, r):
-        fits = (s["sum"] + r["c"] <= limit) & (s["n"] < most)
-        batch = F.when(fits | (s["n"] == 0), s["batch"]).otherwise(s["batch"] + 1)
-        return F.struct(batch.alias("batch"), F.when(fits, s["sum"] + r["c"]).otherwise(r["c"]).alias("sum"), F.when(fits, s["n"] + 1).otherwise(1).alias("n"), F.concat(s["out"], F.array(F.struct(r["o"].cast("long").alias("o"), batch.alias("batch")))).alias("out")).cast(kind)
-
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).cast("long").alias("sum"), F.lit(0).alias("n"), F.array().cast("array<struct<o:bigint,batch:int>>").alias("out")).cast(kind)
-    folded = rows.groupBy(group).agg(F.aggregate(F.sort_array(F.collect_list(one)), start, add, lambda s: s["out"]).alias("out"))
-    return folded.select(group, F.explode("out").alias("x")).select(group, F.col("x.o").alias(order), F.col("x.batch").alias("batch"))
+    """(group, order, batch): rows of a group in order, a new batch where the sum would exceed ``limit`` or the count ``most``.
+
+    A fold over sorted rows as they stream by: its state is one group's open batch, so a group of any size needs no memory. A null cost is 0.
+    """
+    plain = rows.select(group, F.col(order).cast("long").alias(order), F.coalesce(F.col(cost).cast("long"), F.lit(0)).alias("_cost"))
+
+    def run(batches):
+        last, batch, total, n = object(), 0, 0, 0
+        for part in batches:
+            out = []
+            for g, c in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True):
+                if g != last:
+                    last, batch, total, n = g, 0, 0, 0
+                elif total + c > limit or n >= most:
+                    batch, total, n = batch + 1, 0, 0
+                total, n = total + c, n + 1
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.int32())], names=[group, order, "batch"])
+
+    kind = f"`{group}` {rows.schema[group].dataType.simpleString()}, `{order}` long, batch int"
+    return plain.repartition(group).sortWithinPartitions(group, order).mapInArrow(run, kind)

@@ -61,23 +61,16 @@ def corpus_fingerprint(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("texts"), part(1).cast("string").alias("first"), part(13).cast("string").alias("second"))
 
 
-SPANS = 4096
-
-
 def evicted(requests: DataFrame, capacity: int) -> DataFrame:
-    """(key, first, evicted): keys in the order of their first request; whenever ``capacity`` are held, the older half goes. ``requests``: at, key.
+    """(key, first, evicted): keys in the order of their first request; whenever ``capacity`` are held, the older half goes. ``requests``: at, key. No task numbers all keys."""
+    from lorestone.sources.store import numbered
 
-    Keys are numbered span by span of time, SPANS of equal width, so that no task numbers all of them.
-    """
     first = requests.groupBy("key").agg(F.min("at").alias("first"))
-    ends = first.agg(F.count(F.lit(1)).alias("total"), F.min("first").alias("lo"), F.max("first").alias("hi"))
-    placed = first.join(F.broadcast(ends)).withColumn("span", F.floor((F.col("first") - F.col("lo")) * SPANS / (F.col("hi") - F.col("lo") + 1)))
-    sizes = placed.groupBy("span").agg(F.count(F.lit(1)).alias("n"))  # at most SPANS rows
-    before = sizes.select("span", F.coalesce(F.sum("n").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    place = F.col("before") + F.row_number().over(Window.partitionBy("span").orderBy("first", "key"))
+    placed = numbered(first, ["first", "key"], "_place")
+    total = placed.agg(F.count(F.lit(1)).alias("total"))
     half = capacity // 2
     gone = F.when(F.col("total") <= capacity, 0).otherwise(F.floor((F.col("total") - capacity - 1) / half) * half + half)
-    return placed.join(F.broadcast(before), "span").select("key", "first", (place <= gone).alias("evicted"))
+    return placed.join(F.broadcast(total)).select("key", "first", (F.col("_place") < gone).alias("evicted"))
 
 
 def items(rows: DataFrame, array: str) -> DataFrame:

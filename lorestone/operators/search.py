@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorestone.functions.text import tokens
-from lorestone.sources.store import staged
+from lorestone.sources.store import numbered, staged
 
 RRF_K, ALPHA, LIMIT = 60, 0.5, 10
 QUERY_ROWS = 4096  # queries that are sent to the tasks at once
@@ -186,12 +186,8 @@ def term_weights(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary_index(docs: DataFrame) -> DataFrame:
-    """(term, idx): sorted terms numbered from 0, by ranges of the first letters so that no task sorts all of them."""
-    terms = document_frequency(docs).select("term", F.substring("term", 1, 2).alias("head"))
-    heads = terms.groupBy("head").agg(F.count(F.lit(1)).alias("n"))  # at most 36 * 37 rows, as terms are ASCII letters and digits
-    before = heads.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = F.row_number().over(Window.partitionBy("head").orderBy("term"))
-    return terms.withColumn("own", own).join(F.broadcast(before), "head").select("term", (F.col("before") + F.col("own") - 1).cast("long").alias("idx"))
+    """(term, idx): sorted terms numbered from 0; no task numbers all of them."""
+    return numbered(document_frequency(docs).select("term"), ["term"], "idx").select("term", "idx")
 
 
 def keyword(docs: DataFrame, queries: DataFrame, k: int = LIMIT) -> DataFrame:

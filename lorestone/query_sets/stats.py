@@ -9,7 +9,7 @@ from lorestone.query_sets.graph import EDGES, _rows, values
 from lorestone.sources.tables import chunks, contains_edges, table
 
 CHUNKS = """(SELECT doc_id AS id, source || '/' || doc_id AS file_path, 'doc_' || doc_id AS entity_name, lang AS entity_type, text AS content, 'implementation' AS chunk_type FROM documents
-UNION ALL SELECT doc_id, source || '/' || doc_id, 'doc_' || doc_id, lang, text[1:120], 'metadata' FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))"""
+UNION ALL SELECT doc_id, source || '/' || doc_id, 'doc_' || doc_id, lang, concat_ws(' | ', 'Document: doc_' || doc_id, 'Language: ' || lang, 'Description: ' || text), 'metadata' FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))"""
 HEALTH = ((1, "green", 0, 0, 0), (2, "green", 1000, 985, 5), (3, "GREEN", 1000, 930, 40), (4, "green", 1000, 100, 90), (5, "yellow", 10, 10, 300), (6, "grey", 10, 0, 1), (7, "red", 1, 1, 1), (8, "odd", 1, 1, 1))
 NAMES = (("test_run",), ("my_temp_x",), ("Function_a",), ("clean",), ("old_new_",), ("data_copy_",), ("x",))
 

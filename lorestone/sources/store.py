@@ -41,6 +41,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def numbered(df: DataFrame, order: list[str], name: str = "number") -> DataFrame:
+    """Adds ``name``: 0, 1, ... in the order of ``order``. One range shuffle sorts the rows, each partition numbers its own, and sums over the partitions' counts tell where each begins."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.monotonically_increasing_id()
+    held = staged(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(name, at), "numbered")
+    part = F.shiftright(name, 33).cast("int")
+    begins, n = [], 0
+    for r in held.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():  # a row for each partition
+        begins.append((r["part"], n))
+        n += r["n"]
+    first = df.sparkSession.createDataFrame(begins, "_part int, _first long")
+    inside = F.col(name).bitwiseAND(F.lit((1 << 33) - 1))
+    return held.withColumn("_part", part).join(F.broadcast(first), "_part").withColumn(name, inside + F.col("_first")).drop("_part", "_first")
+
+
 def _folder(spark: SparkSession, path: str):
     """(file system, path) of any store that Spark reads."""
     context = spark.sparkContext

@@ -11,11 +11,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, file_path, entity_name, entity_type, chunk_type, content): a document is an implementation chunk, a labelled one a metadata chunk too."""
+    """(id, file_path, entity_name, entity_type, chunk_type, content): a document is an implementation chunk, a labelled one a metadata chunk too, of observations that hold the whole text."""
     docs = table(spark, sf_dir, "documents")
     base = docs.select(F.col("doc_id").alias("id"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("file_path"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("entity_name"), F.col("lang").alias("entity_type"), F.col("text").alias("content"))
     labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
-    meta = base.join(labelled, "id", "left_semi").withColumn("content", F.substring("content", 1, 120))
+    meta = base.join(labelled, "id", "left_semi").withColumn("content", F.concat_ws(" | ", F.concat(F.lit("Document: "), "entity_name"), F.concat(F.lit("Language: "), "entity_type"), F.concat(F.lit("Description: "), "content")))
     return base.withColumn("chunk_type", F.lit("implementation")).unionByName(meta.withColumn("chunk_type", F.lit("metadata")))
 
 

@@ -1,14 +1,20 @@
 """Operators on small inputs: nulls, empty tables, ties, and what the twins cannot state."""
 
+import json
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from lorestone.functions import text as X
+from lorestone.operators import chunking as K
 from lorestone.operators import extract as E
 from lorestone.operators import graph as G
 from lorestone.operators import search as S
+from lorestone.operators import sections as M
 from lorestone.operators import state as T
-from lorestone.sources.store import Collection, chat_lines, files
+from lorestone.sources.store import Catalog, Collection, chat_lines, files, store
 
 
 def test_entry_without_training_operators(spark, sf):
@@ -83,7 +89,7 @@ def test_readers(spark, tmp_path):
 
 def test_python_extractor():
     code = 'import os\nfrom .a import b\n\nclass A(Base):\n    """Doc."""\n    def m(self):\n        return helper(open("f.txt"))\n\n(x, *y), LIMIT = 1, 2\nif (n := 3):\n    z = 4\n'
-    rows = E.rows_of("m.py", code)
+    rows = [tuple(r[:6]) for r in E.rows_of("m.py", code)]
     assert ("entity", "A", "Doc.", "class", 4, None) in rows
     assert ("relation", "A", "Base", "inherits", 4, None) in rows
     assert ("relation", "m", "helper", "calls", 6, None) in rows
@@ -94,13 +100,98 @@ def test_python_extractor():
 
 
 def test_markdown_groups():
-    groups = E.markdown_groups("# A\nshort\n## B\nalso\n# C\n" + "word " * 200 + "\n```\n# no header\n```\n")
-    assert [g[0] for g in groups] == ["A (+1 more)", "C"]
-    assert E.markdown_groups("") == []
-    big = "# T\n" + "\n\n".join("word " * 300 for _ in range(5))
-    assert len(E.markdown_groups(big)) > 1
+    """Small sections are joined, those without text give their titles to the next; large ones are parted, and neighbours overlap."""
+    text = "# A\nshort text\n## B\nsome more\n# C\n" + "word " * 200 + "\n```\n# no header\n```\n"
+    assert [c.titles for c in M.chunks(text)] == [("A", "B", "C")] and M.chunks(text)[0].title == "A (+2 more)"
+    assert [s.title for s in M.sections("# A\n## B\nx\n### C\nhas a text")] == ["C (+2 more)"]
+    assert M.chunks("") == []
+    big = M.chunks("# T\n" + "\n\n".join("Word " * 300 for _ in range(5)))
+    assert len(big) > 1 and big[1].overlap == big[0].content[-200:] and all(c.tokens <= M.LARGEST for c in big)
 
 
 @pytest.mark.parametrize(("file", "text", "names"), [("a.json", '{"k": {"l": [1]}}', {"a.json", "k", "k.l"}), ("a.ini", "[s]\nk = v", {"a.ini", "s", "s.k"}), ("a.csv", "x,y\n1,2", {"a.csv", "x", "y"}), ("a.yaml", "a:\n  b: 1\nc: 2", {"a.yaml", "a", "a.b", "c"}), ("a.css", ".k { --v: 1 }", {"a.css", "k", "--v"})])
 def test_other_extractors(file, text, names):
     assert {r[1] for r in E.rows_of(file, text) if r[0] == "entity"} == names
+
+
+def test_extractors_never_fail_a_job():
+    """Whatever stands where a list or a text is expected; what cannot be parsed is an error row."""
+    for text in ('{"items": [{"comments": 3, "title": "t"}, {"replies": null, "text": "x"}, 5]}', '{"items": 3}', "[]", '{"dependencies": [1]}'):
+        assert all(r.row != "error" for r in E.rows_of("package.json", text))
+    assert [r.kind for r in E.rows_of("a.json", "{")] == ["JSONDecodeError"] and [r.kind for r in E.rows_of("a.py", "def (")] == ["SyntaxError"]
+    assert [r.row for r in E.rows_of("a.bin", "x")] == ["error"]
+    for name in ("a.py", "a.js", "a.md", "a.css", "a.json", "a.yaml", "a.html", "a.csv", "a.ini", "a.txt"):
+        assert all(isinstance(r, tuple) for r in E.rows_of(name, None)) and E.rows_of(name, "\x00{[(\"'`<")
+
+
+def test_python_classes():
+    text = 'class Shop(Base, x.Y):\n    """Sells. More."""\n    def __init__(self):\n        self.items = []\n        self.name: str = ""\n    def create_item(self): pass\n    def notify_all(self): pass\n'
+    said = {r.name: json.loads(r.detail) for r in E.rows_of("s.py", text) if r.row == "entity"}
+    assert said["Shop"] == ["Responsibility: Sells", "Key methods: __init__, create_item, notify_all", "Inherits from: Base, x.Y", "Factory pattern", "Observer pattern", "Attributes: items, name"]
+
+
+def test_javascript_patterns():
+    text = "const { one, two: renamed, three = four(5), ...rest } = cfg\nlet [h, [m]] = list\nclass A {\n  size = 1\n  static kind = 'x';\n  @Input() go(a) { if (a) { const inner = 1 } }\n}\n@Injectable()\nclass Svc { }\nfor (const t of list) { }\n"
+    rows = E.rows_of("a.ts", text)
+    names = {r.name for r in rows if r.row == "entity"}
+    assert {"one", "renamed", "three", "rest", "h", "m", "size", "kind", "go", "A", "Svc"} <= names and not names & {"two", "four", "inner", "t", "cfg"}
+    assert ("Svc", "Injectable") in {(r.name, r.other) for r in rows if r.kind == "decorated_by"}
+
+
+def test_sections_keep_all_text():
+    """However sections are parted, grouped and joined, every word of their texts stands in one chunk once."""
+    r = random.Random(4)
+    for _ in range(60):
+        lines, n = [], 0
+        for _ in range(r.randint(1, 12)):
+            lines.append("#" * r.randint(1, 4) + f" Title {r.randint(0, 99)}")
+            for _ in range(r.choice((0, 1, 3, 30))):
+                words = [f"w{n + k}" for k in range(r.randint(3, 60))]
+                n += len(words)
+                lines += [" ".join(words) + ".", ""] if r.random() < 0.7 else [" ".join(words)]
+        found = M.chunks("\n".join(lines))
+        assert sorted(re.findall(r"\bw\d+\b", " ".join(c.content for c in found))) == sorted(f"w{k}" for k in range(n))
+        groups = M.grouped([p for s in M.sections("\n".join(lines)) for p in M.parted(s)])
+        assert all(len(g) == 1 or sum(s.tokens for s in g) <= M.BUDGET for g in groups)
+
+
+def test_search_refuses(spark):
+    queries = spark.createDataFrame([(1, "x")], "query_id long, text string")
+    for mode, options in (("other", {}), ("semantic", {}), ("hybrid", {"docs": queries}), ("keyword", {})):
+        with pytest.raises(ValueError, match="mode|needs"):
+            S.search(mode, queries, **options)
+
+
+def test_dense_in_slices(spark, monkeypatch):
+    """Many rows a task, slices of few, ties by id, vectors of other lengths and none."""
+    monkeypatch.setattr(S, "SLICE", 7)
+    data = [(i, [float(i % 5), 1.0]) for i in range(100)] + [(200, None), (201, [1.0]), (202, [0.0, 0.0])]
+    rows = spark.createDataFrame(data, "id long, vector array<float>").repartition(3)
+    asked = spark.createDataFrame([(9, [1.0, 1.0]), (8, [2.0])], "query_id long, query array<double>")
+    got = [(r["query_id"], r["id"], r["rank"]) for r in S.dense(rows, asked, 4, "euclid").orderBy("query_id", "rank").collect()]
+    assert got == [(8, 201, 1), (9, 1, 1), (9, 6, 2), (9, 11, 3), (9, 16, 4)]
+    assert S.dense(rows, asked, 200, "cosine").where("query_id = 9").count() == 100
+
+
+def test_batches_of_an_unsorted_group(spark):
+    rows = spark.createDataFrame([("a", i, c) for i, c in enumerate((5, 9, 1, None, 4, 20))] + [("b", 0, 30)], "g string, i int, c int").repartition(3)
+    got = {(r["g"], r["i"]): r["batch"] for r in K.budget_batches(rows, "g", "i", "c", 10, 3).collect()}
+    assert got == {("a", 0): 0, ("a", 1): 1, ("a", 2): 1, ("a", 3): 1, ("a", 4): 2, ("a", 5): 3, ("b", 0): 0}
+
+
+def test_collections_are_found_again(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    first = Catalog(spark, root).create("notes", metric="dot", dense=8)
+    first.upsert(spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "id long, v string"))
+    (tmp_path / "notes" / "v2").mkdir()  # a write that broke off
+    again = Catalog(spark, root).open("notes")
+    assert again.count() == 2 and again.version == 1 and again.info()["metric"] == "dot" and again.info()["dense_size"] == 8
+    again.upsert(spark.createDataFrame([(3, "d")], "id long, v string"))
+    assert again.version == 2 and first.count() == 3
+    with pytest.raises(ValueError, match="already"):
+        Catalog(spark, root).create("notes")
+    with pytest.raises(KeyError):
+        Catalog(spark, root).open("other")
+    assert Catalog(spark, root).drop("notes") and not Catalog(spark, root).drop("notes") and Catalog(spark, root).names() == []
+    with pytest.raises(ValueError, match="backend"):
+        store(spark, {"backend": "other"})
