@@ -63,17 +63,18 @@ def blanked(text: str) -> tuple[str, dict[int, str]]:
 
 def _pattern_names(tokens: list[str]) -> list[str]:
     """Names that a destructuring pattern binds: the last of ``key: name``, those of nested patterns, without defaults."""
-    out, depth, skip = [], 0, 0
+    out, depth, default = [], 0, None  # the depth of a default value that is being passed over
     for i, t in enumerate(tokens):
-        depth += t in ("{", "[", "(") and 1 or 0
-        if t == "=":
-            skip = depth
-        elif t == "," and depth <= (skip or depth):
-            skip = 0
-        elif t in ("}", "]", ")"):
+        if t in ("}", "]", ")"):
             depth -= 1
-            skip = 0 if depth < skip else skip
-        elif not skip and NAME.match(t) and (i + 1 >= len(tokens) or tokens[i + 1] != ":"):
+            default = None if default is not None and depth < default else default
+        elif t == "," and depth == default:
+            default = None
+        elif t in ("{", "[", "("):
+            depth += 1
+        elif t == "=" and default is None:
+            default = depth
+        elif default is None and NAME.match(t) and (i + 1 >= len(tokens) or tokens[i + 1] != ":"):
             out.append(t)
     return out
 
@@ -134,6 +135,8 @@ class Scanner:
     def body(self, k: int) -> int | None:
         """The bracket of the body behind a parameter list at token k, past a return type; None if there is none."""
         j = self.match.get(k, k) + 1
+        if self.get(j) != ":":
+            return j if self.get(j) == "{" else None
         depth = 0
         while j < len(self.tokens) and j < self.match.get(k, k) + 40:
             t = self.tokens[j]
@@ -221,7 +224,7 @@ class Scanner:
 
     def member(self, k: int, t: str, opens: dict[int, tuple[str, str]]) -> None:
         before, after = self.get(k - 1), self.get(k + 1)
-        if t in NOT_METHODS or before in (".", "=", "new", "=>") or t in MODIFIERS and NAME.match(after):
+        if t in NOT_METHODS or before in (".", "=", "new", "=>", "@") or t in MODIFIERS and NAME.match(after):
             return
         if after == "(" and (start := self.body(k + 1)) is not None:
             opens[start] = ("function", t)
