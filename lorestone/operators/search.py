@@ -1,7 +1,7 @@
 """Dense, sparse and fused search over chunk tables.
 
-Dense queries are a stated set against all rows, taken in blocks of bounded size that are broadcast; sparse scores come from an
-equi join on terms. Scores are rounded before ranking, so that the order does not depend on how a sum was split; ties go to the smaller id.
+Queries are a stated set against all rows, taken in blocks of bounded size that are broadcast; dense and sparse scores are products of
+matrices, of which a task keeps the k best rows for each query. Scores are rounded before ranking, so that the order does not depend on how a sum was split; ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -13,14 +13,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lorestone.functions.text import tokens
-from lorestone.sources.store import numbered, staged
+from lorestone.sources.store import dropped, numbered, staged
 
 RRF_K, ALPHA, LIMIT = 60, 0.5, 10
 QUERY_ROWS = 4096  # queries that are sent to the tasks at once
+QUERY_TERMS = 1_000_000  # terms of such queries
 SLICE = 1024  # rows that are compared with them at once
 CELLS = 4_000_000  # numbers of differences that are held at once
+PRODUCTS = 1_000_000  # products of weights that are held at once
+OFTEN = 1 / 150  # share of the pairs of a text and a query from which a term's products cost less as a full matrix
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -46,8 +50,11 @@ def query_block(queries: DataFrame) -> DataFrame:
 
 def query_blocks(queries: DataFrame) -> list[DataFrame]:
     """The queries in blocks of about QUERY_ROWS rows, dealt by a hash of query_id."""
-    blocks = max(1, -(-queries.count() // QUERY_ROWS))
-    return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries for b in range(blocks)]
+    return _dealt(queries, -(-queries.count() // QUERY_ROWS))
+
+
+def _dealt(queries: DataFrame, blocks: int) -> list[DataFrame]:
+    return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)] if blocks > 1 else [queries]
 
 
 def top(scored: DataFrame, by: list[str], k: int, ascending: bool = False, id_col: str = "id") -> DataFrame:
@@ -190,18 +197,136 @@ def vocabulary_index(docs: DataFrame) -> DataFrame:
     return numbered(document_frequency(docs).select("term"), ["term"], "idx").select("term", "idx")
 
 
+def _places(docs: DataFrame, known: list[str]) -> DataFrame:
+    """(id, places): the distinct terms of each text by their places in ``known``; texts that have none of them are left out."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches):
+        names = pa.array(shared.value, pa.string())
+        for batch in batches:
+            terms = batch.column(1)
+            flat = terms.flatten()
+            place = pc.index_in(flat, value_set=names.cast(flat.type))
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(terms).to_numpy(zero_copy_only=False))[pc.is_valid(place).to_numpy(zero_copy_only=False)]
+            size = np.bincount(row, minlength=batch.num_rows)
+            places = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), place.drop_null())
+            yield pa.RecordBatch.from_arrays([batch.column(0), places], names=["id", "places"]).filter(pa.array(size > 0))
+
+    terms = docs.where("text IS NOT NULL").select("id", F.array_distinct(tokens(F.col("text"))).alias("terms"))  # a filter on the terms would read the texts twice
+    return terms.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, places array<int>")
+
+
+def _sortable(ids: pa.Array) -> np.ndarray:
+    if pa.types.is_integer(ids.type) and not ids.null_count:
+        return ids.to_numpy(zero_copy_only=False)
+    return pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
+
+
+def _best_texts(here: DataFrame, shared, name_type: str, k: int) -> DataFrame:
+    """(query_id, id, score): for each query the k best texts of every task; ties by id, so the k best of all are among them. ``here``: id, places, and times if a place counts more than once."""
+
+    def run(batches):
+        names, begins, who, worth, often, matrix = shared.value
+        width, column = np.diff(begins), np.full(len(begins) - 1, -1)
+        column[often] = np.arange(len(often))
+        limit, pool, held = np.zeros(len(names)), [], 0
+
+        def settled():
+            """The k best of the pool; what they leave to beat goes to ``limit``."""
+            q, best, ids = np.concatenate([p[0] for p in pool]), np.concatenate([p[1] for p in pool]), pa.concat_arrays([p[2] for p in pool])
+            order = np.lexsort((_sortable(ids), -best, q))
+            q = q[order]
+            order = order[np.arange(len(q)) - np.searchsorted(q, q) < k]
+            q, best, ids = np.concatenate([p[0] for p in pool])[order], best[order], ids.take(pa.array(order))
+            ends = np.searchsorted(q, np.arange(len(names)), side="right") - 1
+            full = np.bincount(q, minlength=len(names)) == k
+            limit[full] = np.maximum(limit[full], best[ends[full]])
+            return q, best, ids
+
+        for batch in batches:
+            flat, lengths = batch.column(1).flatten().to_numpy(zero_copy_only=False), pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            times = batch.column(2).flatten().to_numpy(zero_copy_only=False) if batch.num_columns > 2 else None
+            row, offsets = np.repeat(np.arange(batch.num_rows), lengths), np.concatenate([[0], np.cumsum(lengths)])
+            cost = np.cumsum(np.bincount(row, weights=width[flat], minlength=batch.num_rows) + len(names) + len(often))
+            cuts = [0, *(np.flatnonzero(np.diff(cost // PRODUCTS)) + 1).tolist(), batch.num_rows]
+            for start, end in zip(cuts, cuts[1:]):
+                part = slice(offsets[start], offsets[end])
+                t, r, n = flat[part], row[part] - start, end - start
+                given = np.zeros((n, len(often)))
+                at = column[t] >= 0
+                given[r[at], column[t[at]]] = 1 if times is None else times[part][at]
+                score = given @ matrix
+                w = width[t]
+                place = np.arange(w.sum()) + np.repeat(begins[t] - (np.cumsum(w) - w), w)
+                value = worth[place] if times is None else worth[place] * np.repeat(times[part], w)
+                score += np.bincount(np.repeat(r * len(names), w) + who[place], weights=value, minlength=score.size).reshape(score.shape)
+                if not pool and n >= k:  # so that the first rows do not all go to the pool
+                    np.maximum(limit, np.partition(np.ascontiguousarray(score.T), n - k, axis=1)[:, n - k], out=limit)
+                i, q = np.nonzero((score > 0) & (score >= limit - 1e-6))  # before rounding
+                if not len(i):
+                    continue
+                pool.append((q, np.floor(score[i, q] * 1e6 + 0.5) / 1e6, batch.column(0).take(pa.array(start + i))))
+                held += len(i)
+                if held > 2 * max(len(names) * k, 1 << 15):
+                    pool = [settled()]
+                    held = len(pool[0][0])
+        if pool:
+            q, best, ids = settled()
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), ids, pa.array(best)], names=["query_id", "id", "score"])
+
+    return here.mapInArrow(run, f"query_id {name_type}, id {here.schema['id'].dataType.simpleString()}, score double")
+
+
 def keyword(docs: DataFrame, queries: DataFrame, k: int = LIMIT) -> DataFrame:
     """(query_id, id, score, rank) by the sum of products of positive weights.
 
-    Only the terms that are asked for leave the scan of the texts; their frequencies, and so their weights, are those of the whole corpus.
+    For each block of queries the texts are read into words once, and only the places of the terms that are asked for are written out; frequencies, and so
+    weights, are those of the whole corpus. Products are summed inside a task, which keeps k texts for each query: no pair of a text and a query is shuffled.
+    Rows of one id count together, as do queries of one query_id.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    here = staged(postings(docs).join(query_block(asked.select("term").distinct()), "term", "left_semi"), "postings")  # the texts are read into words once
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
-    weight = F.round(F.greatest(F.lit(0.0), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))), 6)
-    weights = here.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n)).select("term", weight.alias("weight")).where("weight > 0")
-    scored = here.join(asked.join(weights, "term"), "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * F.col("weight")), 6).alias("score"))
-    return top(scored, ["query_id"], k)
+    asked = staged(queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("terms")), "asked").where(F.size("terms") > 0)
+    rows, terms = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
+    n = docs.count()
+    repeated = staged(docs.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("again")), "repeated")
+    blocks = _dealt(asked, max(-(-rows // QUERY_ROWS), -(-terms // QUERY_TERMS)))
+    return functools.reduce(DataFrame.unionAll, [_keyword_block(docs, block, k, n, None if repeated.isEmpty() else repeated) for block in blocks])
+
+
+def _keyword_block(docs: DataFrame, block: DataFrame, k: int, n: int, repeated: DataFrame | None) -> DataFrame:
+    found = block.collect()  # a block of bounded size
+    names = list(dict.fromkeys(r["query_id"] for r in found))
+    known = sorted({t for r in found for t in r["terms"]})
+    number, place = {q: i for i, q in enumerate(names)}, {t: i for i, t in enumerate(known)}
+    who = np.array([number[r["query_id"]] for r in found for _ in r["terms"]], np.int64)
+    term = np.array([place[t] for r in found for t in r["terms"]], np.int64)
+    here = staged(_places(docs, known), "places")
+    weight = F.round(F.greatest(F.lit(0.0), F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))), 6)
+    counted = here.select(F.explode("places").alias("place")).groupBy("place").agg(F.count(F.lit(1)).alias("df")).select("place", "df", weight.alias("weight"))
+    weights, df = np.zeros(len(known)), np.zeros(len(known))
+    for r in counted.where("weight > 0").collect():  # a row for each term of the block
+        weights[r["place"]], df[r["place"]] = r["weight"], r["df"]
+    asked = np.bincount(term, minlength=len(known))
+    often = np.flatnonzero((df > 0) & (df * asked > OFTEN * n * len(names)))
+    matrix = np.zeros((len(often), len(names)))
+    column = np.full(len(known), -1)
+    column[often] = np.arange(len(often))
+    full = column[term] >= 0
+    np.add.at(matrix, (column[term[full]], who[full]), weights[term[full]] ** 2)
+    rest = np.flatnonzero(~full & (weights[term] > 0))
+    rest = rest[np.argsort(term[rest], kind="stable")]
+    begins = np.searchsorted(term[rest], np.arange(len(known) + 1))
+    name_type = block.schema["query_id"].dataType
+    shared = here.sparkSession.sparkContext.broadcast((pa.array(names, to_arrow_type(name_type)), begins, who[rest], weights[term[rest]] ** 2, often, matrix))
+    if repeated is None:
+        best = _best_texts(here, shared, name_type.simpleString(), k)
+    else:
+        same = F.col("id").eqNullSafe(F.col("again"))
+        merged = here.join(repeated, same, "left_semi").select("id", F.explode("places").alias("place")).groupBy("id", "place").agg(F.count(F.lit(1)).cast("int").alias("times"))
+        merged = merged.groupBy("id").agg(F.collect_list(F.struct("place", "times")).alias("all")).select("id", F.col("all.place").alias("places"), F.col("all.times").alias("times"))
+        best = _best_texts(here.join(repeated, same, "left_anti"), shared, name_type.simpleString(), k).unionAll(_best_texts(merged, shared, name_type.simpleString(), k))
+    out = staged(top(best, ["query_id"], k), "keyword")
+    dropped(here)
+    return out
 
 
 def fused(first: DataFrame, second: DataFrame, k: int = LIMIT, alpha: float = ALPHA, threshold: float = 0.0) -> DataFrame:

@@ -38,7 +38,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Written to the shared folder and read back: what is used twice is computed once, and lineage ends there."""
     at = f"{shared_dir(df.sparkSession)}/staged/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out._staged_at = at
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes what ``staged`` wrote, once nothing reads it any more."""
+    fs, at = _folder(df.sparkSession, df._staged_at)
+    fs.delete(at, True)
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "number") -> DataFrame:

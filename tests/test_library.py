@@ -195,3 +195,52 @@ def test_collections_are_found_again(spark, tmp_path):
     assert Catalog(spark, root).drop("notes") and not Catalog(spark, root).drop("notes") and Catalog(spark, root).names() == []
     with pytest.raises(ValueError, match="backend"):
         store(spark, {"backend": "other"})
+
+
+def test_keyword_by_products(spark, monkeypatch):
+    """Blocks of queries, slices of few texts, frequent and rare terms, ties, repeated and missing ids, against plain sums over all pairs."""
+    import math
+
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    text = lambda: " ".join(w for i, w in enumerate(words) if r.random() < (0.4 if i < 6 else 0.08))
+    docs = [(i if i < 90 else i % 4 if i < 97 else None, text()) for i in range(100)] + [(200 + i, "w1 w7 w9") for i in range(30)] + [(300, None), (301, "")]
+    asked = [(i, text() if i else None) for i in range(12)] + [(3, "w1 w30"), (20, "w9"), (21, "none")]
+    split = lambda t: set((t or "").split())
+    weight = {w: round(max(0.0, math.log((len(docs) - df + 0.5) / (df + 0.5))), 6) for w in words for df in [sum(w in split(t) for _, t in docs)]}
+    sums = {}
+    for q, a in asked:
+        for d, t in docs:
+            for w in split(a) & split(t):
+                if weight[w] > 0:
+                    sums[q, d] = sums.get((q, d), 0.0) + weight[w] ** 2
+    want = []
+    for q in {q for q, _ in sums}:
+        order = sorted((-round(s, 6), d is not None, d or 0) for (p, d), s in sums.items() if p == q)[:7]
+        want += [(q, d if given else None, -s, k + 1) for k, (s, given, d) in enumerate(order)]
+    d = spark.createDataFrame(docs, "id long, text string").repartition(3)
+    a = spark.createDataFrame(asked, "query_id long, text string")
+    rows = lambda df: sorted(((x["query_id"], x["id"], round(x["score"], 6), x["rank"]) for x in df.collect()), key=repr)
+    assert rows(S.keyword(d, a, 7)) == sorted(want, key=repr)
+    for terms, products, often in ((40, 30, 9.0), (10**6, 100, 0.0)):
+        for name, value in (("QUERY_TERMS", terms), ("PRODUCTS", products), ("OFTEN", often)):
+            monkeypatch.setattr(S, name, value)
+        assert rows(S.keyword(d, a, 7)) == sorted(want, key=repr)
+    named = S.keyword(d.withColumn("id", F.concat(F.lit("d"), "id")), a.withColumn("query_id", F.concat(F.lit("q"), "query_id")), 1000)
+    assert {(x["query_id"], x["id"], round(x["score"], 6)) for x in named.collect()} == {(f"q{q}", d if d is None else f"d{d}", round(s, 6)) for (q, d), s in sums.items()}
+
+
+def test_keyword_shuffles_no_pairs(spark):
+    """Pairs of a text and a query stay in their task: of 600 * 600 pairs, a task hands on k for each query."""
+    docs = spark.range(600).select("id", F.concat(F.lit("common"), F.col("id") % 3, F.lit(" w"), F.col("id")).alias("text")).repartition(2)
+    context, java = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+
+    def stages():
+        context.listenerBus().waitUntilEmpty()
+        found = context.statusStore().stageList(java.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(java.double, 0), java.java.util.ArrayList())
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+    earlier = max(stages(), default=-1)
+    assert S.keyword(docs, docs.withColumnRenamed("id", "query_id"), 5).count() == 3000
+    written = [n for stage, n in stages().items() if stage > earlier]
+    assert 0 < max(written) <= 2 * 600 * 5
