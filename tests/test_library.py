@@ -230,9 +230,8 @@ def test_keyword_by_products(spark, monkeypatch):
     assert {(x["query_id"], x["id"], round(x["score"], 6)) for x in named.collect()} == {(f"q{q}", d if d is None else f"d{d}", round(s, 6)) for (q, d), s in sums.items()}
 
 
-def test_keyword_shuffles_no_pairs(spark):
-    """Pairs of a text and a query stay in their task: of 600 * 600 pairs, a task hands on k for each query."""
-    docs = spark.range(600).select("id", F.concat(F.lit("common"), F.col("id") % 3, F.lit(" w"), F.col("id")).alias("text")).repartition(2)
+def most_written(spark, act):
+    """The most rows that a stage of ``act`` shuffles."""
     context, java = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
 
     def stages():
@@ -241,6 +240,22 @@ def test_keyword_shuffles_no_pairs(spark):
         return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
 
     earlier = max(stages(), default=-1)
-    assert S.keyword(docs, docs.withColumnRenamed("id", "query_id"), 5).count() == 3000
-    written = [n for stage, n in stages().items() if stage > earlier]
-    assert 0 < max(written) <= 2 * 600 * 5
+    act()
+    return max(n for stage, n in stages().items() if stage > earlier)
+
+
+def test_keyword_shuffles_no_pairs(spark):
+    """Pairs of a text and a query stay in their task: of 600 * 600 pairs, a task hands on k for each query."""
+    docs = spark.range(600).select("id", F.concat(F.lit("common"), F.col("id") % 3, F.lit(" w"), F.col("id")).alias("text")).repartition(2)
+    assert 0 < most_written(spark, lambda: S.keyword(docs, docs.withColumnRenamed("id", "query_id"), 5).collect()) <= 2 * 600 * 5
+
+
+def test_modes_shuffle_no_pairs(spark):
+    """Every mode of a search, over the same tables: both legs of the hybrid one hand on 50 rows for each query of a task."""
+    docs = spark.range(600).select("id", F.concat(F.lit("common"), F.col("id") % 3, F.lit(" w"), F.col("id")).alias("text")).repartition(2)
+    rows = spark.range(600).select("id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vector")).repartition(2)
+    queries = docs.withColumnRenamed("id", "query_id").join(rows.select(F.col("id").alias("query_id"), F.col("vector").alias("query")), "query_id")
+    for mode, k in (("semantic", 5), ("keyword", 5), ("hybrid", 50)):
+        got = []
+        assert 0 < most_written(spark, lambda: got.extend(S.search(mode, queries, rows, docs, 5).collect())) <= 2 * 600 * k  # noqa: B023
+        assert len(got) == 600 * 5
