@@ -134,9 +134,10 @@ def dense(rows: DataFrame, queries: DataFrame, k: int = LIMIT, metric: str = "co
 MODES = ("semantic", "keyword", "hybrid")
 
 
-def search(mode: str, queries: DataFrame, rows: DataFrame | None = None, docs: DataFrame | None = None, k: int = LIMIT, alpha: float = ALPHA, threshold: float | None = None) -> DataFrame:
+def search(mode: str, queries: DataFrame, rows: DataFrame | None = None, docs: DataFrame | None = None, k: int = LIMIT, alpha: float = ALPHA, threshold: float | None = None, sparse: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score, rank) by the mode's search. ``queries`` has query_id, and query (a vector) or text, as the mode needs; both for hybrid.
 
+    ``sparse``: what ``keyword`` found for these queries and texts with at least ``leg_size(k)`` rows a query, where several modes share it.
     A mode that is not known, or one whose tables or columns are missing, is refused (ValueError).
     """
     if mode not in MODES:
@@ -148,10 +149,9 @@ def search(mode: str, queries: DataFrame, rows: DataFrame | None = None, docs: D
         raise ValueError("alpha must be from 0 to 1")
     if mode == "semantic":
         return dense(rows, queries.select("query_id", "query"), k, threshold=threshold)
-    if mode == "keyword":
-        return keyword(docs, queries.select("query_id", "text"), k)
-    n = leg_size(k)
-    return fused(dense(rows, queries.select("query_id", "query"), n), keyword(docs, queries.select("query_id", "text"), n), k, alpha, threshold or 0.0)
+    n = k if mode == "keyword" else leg_size(k)
+    texts = keyword(docs, queries.select("query_id", "text"), n) if sparse is None else sparse.where(F.col("rank") <= n)
+    return texts if mode == "keyword" else fused(dense(rows, queries.select("query_id", "query"), n), texts, k, alpha, threshold or 0.0)
 
 
 def with_payload(found: DataFrame, payload: DataFrame) -> DataFrame:

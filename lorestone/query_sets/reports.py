@@ -15,6 +15,7 @@ from lorestone.query_sets.chat import MARK, TALK, TEXT, talk
 from lorestone.query_sets.graph import EDGES, _rows, values
 from lorestone.query_sets.search import COSINE, DENSE_SQL, DOCS, ITEMS, TOKENS_SQL, _asked, _dense50, _ranked, _sparse50, _texts_asked, keyword_sql
 from lorestone.query_sets.stats import CHUNKS
+from lorestone.sources.store import staged
 from lorestone.sources.tables import chunks, contains_edges, nodes, table, texts, vectors
 
 LOG = (
@@ -83,10 +84,11 @@ def chat_search(spark, sf_dir):
 
 
 def search_modes(spark, sf_dir):
-    """One set of queries by each mode."""
+    """One set of queries by each mode. The texts are searched once: the keyword mode has the first rows of the hybrid mode's keyword leg."""
     docs, v = texts(spark, sf_dir), vectors(spark, sf_dir)
-    queries = _asked(spark, sf_dir).join(docs.withColumnRenamed("id", "query_id"), "query_id")
-    out = [S.search(m, queries, v.join(docs.select("id"), "id", "left_semi") if m == "semantic" else v, docs).withColumn("mode", F.lit(m)) for m in S.MODES]
+    queries = staged(_asked(spark, sf_dir).join(docs.withColumnRenamed("id", "query_id"), "query_id"), "queries")
+    sparse = S.keyword(docs, queries.select("query_id", "text"), S.leg_size(S.LIMIT))
+    out = [S.search(m, queries, v.join(docs.select("id"), "id", "left_semi") if m == "semantic" else v, docs, sparse=sparse).withColumn("mode", F.lit(m)) for m in S.MODES]
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 

@@ -259,3 +259,19 @@ def test_modes_shuffle_no_pairs(spark):
         got = []
         assert 0 < most_written(spark, lambda: got.extend(S.search(mode, queries, rows, docs, 5).collect())) <= 2 * 600 * k  # noqa: B023
         assert len(got) == 600 * 5
+
+
+def test_modes_read_texts_once(spark, sf, monkeypatch):
+    """The keyword mode and the keyword leg of the hybrid one are one search; what they share is what each finds alone."""
+    from lorestone.query_sets.reports import search_modes
+
+    docs = spark.createDataFrame([(i, f"common w{i % 7} w{i % 11}") for i in range(90)], "id long, text string")
+    rows = spark.range(90).select("id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vector"))
+    queries = docs.where("id % 9 = 0").join(rows, "id").select(F.col("id").alias("query_id"), "text", F.col("vector").alias("query"))
+    sparse = S.keyword(docs, queries.select("query_id", "text"), 50)
+    for mode in S.MODES:
+        assert sorted(S.search(mode, queries, rows, docs, 5, sparse=sparse).collect()) == sorted(S.search(mode, queries, rows, docs, 5).collect())
+    read, plain = [], S._places
+    monkeypatch.setattr(S, "_places", lambda *a: read.append(1) or plain(*a))
+    assert {r["mode"] for r in search_modes(spark, sf).select("mode").distinct().collect()} == set(S.MODES)
+    assert len(read) == 1
