@@ -24,6 +24,7 @@ QUERY_TERMS = 1_000_000  # terms of such queries
 SLICE = 1024  # rows that are compared with them at once
 CELLS = 4_000_000  # numbers of differences that are held at once
 PRODUCTS = 1_000_000  # products of weights that are held at once
+TASKS, LEAST_TASKS = 4, 32  # that a core gets of a search, and that there may be at least
 OFTEN = 1 / 150  # share of the pairs of a text and a query from which a term's products cost less as a full matrix
 
 
@@ -57,6 +58,11 @@ def _dealt(queries: DataFrame, blocks: int) -> list[DataFrame]:
     return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)] if blocks > 1 else [queries]
 
 
+def _few_tasks(rows: DataFrame) -> DataFrame:
+    """The same rows in no more tasks than the cores need: each task hands on k rows for each query, so what is shuffled does not grow with tasks times queries."""
+    return rows.coalesce(max(LEAST_TASKS, TASKS * rows.sparkSession.sparkContext.defaultParallelism))
+
+
 def top(scored: DataFrame, by: list[str], k: int, ascending: bool = False, id_col: str = "id") -> DataFrame:
     score = F.col("score").asc() if ascending else F.col("score").desc()
     order = Window.partitionBy(*by).orderBy(score, F.col(id_col))
@@ -118,7 +124,7 @@ def _best_here(rows: DataFrame, queries: DataFrame, k: int, metric: str, thresho
                     limit[full] = best[ends[full]]
         yield pa.RecordBatch.from_arrays([pa.array([names[w] for w in who.tolist()], pa.int64()), pa.array(ids, pa.int64()), pa.array(sign * best + 0.0, pa.float64())], names=["query_id", "id", "score"])
 
-    return plain.select(F.col("id").cast("long").alias("id"), "vector").mapInArrow(run, "query_id long, id long, score double")
+    return _few_tasks(plain.select(F.col("id").cast("long").alias("id"), "vector")).mapInArrow(run, "query_id long, id long, score double")
 
 
 def dense(rows: DataFrame, queries: DataFrame, k: int = LIMIT, metric: str = "cosine", threshold: float | None = None) -> DataFrame:
@@ -274,7 +280,7 @@ def _best_texts(here: DataFrame, shared, name_type: str, k: int) -> DataFrame:
             q, best, ids = settled()
             yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), ids, pa.array(best)], names=["query_id", "id", "score"])
 
-    return here.mapInArrow(run, f"query_id {name_type}, id {here.schema['id'].dataType.simpleString()}, score double")
+    return _few_tasks(here).mapInArrow(run, f"query_id {name_type}, id {here.schema['id'].dataType.simpleString()}, score double")
 
 
 def keyword(docs: DataFrame, queries: DataFrame, k: int = LIMIT) -> DataFrame:

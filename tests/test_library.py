@@ -275,3 +275,16 @@ def test_modes_read_texts_once(spark, sf, monkeypatch):
     monkeypatch.setattr(S, "_places", lambda *a: read.append(1) or plain(*a))
     assert {r["mode"] for r in search_modes(spark, sf).select("mode").distinct().collect()} == set(S.MODES)
     assert len(read) == 1
+
+
+def test_searches_hand_on_by_few_tasks(spark):
+    """A table in many partitions: the rows handed on for a query are bounded by the cores, not by the partitions; the result is the same."""
+    docs = spark.range(600).select("id", F.concat(F.lit("common"), F.col("id") % 3, F.lit(" w"), F.col("id")).alias("text"))
+    rows = spark.range(600).select("id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vector"))
+    queries = docs.join(rows, "id").select(F.col("id").alias("query_id"), "text", F.col("vector").alias("query"))
+    most = max(S.LEAST_TASKS, S.TASKS * spark.sparkContext.defaultParallelism) * 600
+    for search in (lambda n: S.keyword(docs.repartition(n), queries.select("query_id", "text"), 1), lambda n: S.dense(rows.repartition(n), queries.select("query_id", "query"), 1)):
+        got = []
+        assert 600 <= most_written(spark, lambda: got.extend(search(300).collect())) <= most  # noqa: B023
+        assert sorted(got) == sorted(search(2).collect())
+        assert len(got) == 600
