@@ -1,15 +1,17 @@
 """The difference-cover algorithm over tables: suffixes of texts of any total size in order, and the windows that neighbours share.
 
-Positions that are 1 or 2 modulo 3 are sampled. Their triples of symbols are sorted by a range shuffle and named by prefix sums over the partitions;
-if names repeat, the string of names is ordered the same way, in one task once it fits a bucket. Then all positions are merged: splitters, taken from the sampled order, deal every suffix to a
+Positions that are 1 or 2 modulo 3 are sampled. The bytes at each, HEAD at most, are sorted by a range shuffle and named by prefix sums over the partitions;
+if names repeat, the string of names is ordered the same way by triples of names, in one task once it fits a bucket. HEAD is a multiple of 3, so that places a head apart are
+sampled alike; two rounds of jobs reach LENGTH, where triples of bytes would need five. Then all positions are merged: splitters, taken from the sampled order, deal every suffix to a
 bucket by the comparisons that the cover allows, buckets are merged in memory, and neighbours are compared across their ends too. Every text ends in a symbol of its
-own. Only prefixes of LENGTH bytes must come together, so the recursion ends when names stand for that many; ties there are broken by position.
+own, which is less than all bytes. Only prefixes of LENGTH bytes must come together, so the recursion ends when names stand for that many; ties there are broken by position.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from .common import drop_staged, shuffle_partitions, stage
 
 BUCKET = 1 << 18  # suffixes of a bucket, about
+HEAD = 69  # bytes of a first name at most, a multiple of 3; three of them are longer than LENGTH
 OVERSAMPLED = 16  # candidates for each splitter, so that buckets are alike
 U = np.uint64
 
@@ -27,8 +30,8 @@ def _arrow(names: str, *columns: np.ndarray) -> pa.RecordBatch:
 
 def _shifted(df: DataFrame, bases: dict[int, tuple[int, ...]], key: str, names: list[str]) -> DataFrame:
     """Adds to the columns ``names`` the numbers of the row's ``key``: one row for each partition or bucket."""
-    kind = ", ".join(["_key long", *(f"_{n} long" for n in names)])
-    table = df.sparkSession.createDataFrame([(k, *v) for k, v in bases.items()], kind)
+    columns = [[*bases], *([v[k] for v in bases.values()] for k in range(len(names)))]
+    table = df.sparkSession.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in columns], names=["_key", *(f"_{n}" for n in names)]))  # stays with the driver, no job
     joined = df.join(F.broadcast(table), F.col(key).cast("long") == F.col("_key"))
     return joined.withColumns({n: F.col(n) + F.col(f"_{n}") for n in names}).drop("_key", *(f"_{n}" for n in names))
 
@@ -51,68 +54,83 @@ def placed(pieces: DataFrame) -> DataFrame:
     for r in rows.groupBy("part").agg(F.max("end").alias("end")).orderBy("part").collect():  # a row for each partition
         bases[r["part"]] = (at,)
         at += r["end"]
-    out = stage(_shifted(rows, bases, "part", ["start"]).select("start", "f1", "f2", "piece"), "suffixes-pieces") if bases else rows.select("start", "f1", "f2", "piece")
-    if bases:
-        drop_staged(rows)
-    return out
+    return _shifted(rows, bases, "part", ["start"]).select("start", "f1", "f2", "piece")
+
+
+def _heads(texts: DataFrame, width: int) -> DataFrame:
+    """(pos, head, end) of the sampled places of the texts and their ends: the next ``width`` bytes, fewer where the text ends, and its end symbol if it stands among them, else 0."""
+
+    def run(batches):
+        for batch in batches:
+            for start, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data = np.frombuffer(piece, np.uint8)
+                n = len(data)
+                every = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(width, np.uint8)]), width)
+                sampled = np.flatnonzero((start + np.arange(n + 1)) % 3)
+                for k in range(0, len(sampled), 1 << 14):
+                    at = sampled[k : k + (1 << 14)]
+                    sizes = np.minimum(width, n - at)
+                    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                    flat = every[at][np.arange(width) < sizes[:, None]]
+                    head = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+                    yield _arrow("pos head end", start + at, head, np.where(n - at < width, -1 - start - n, 0))
+
+    return texts.select("start", "piece").mapInArrow(run, "pos long, head binary, end long")
 
 
-def _letters(texts: DataFrame, length: int, windows: bool) -> DataFrame:
-    """(pos, s0, s1, s2) of every place of the texts and their ends, with two hashes of its window and the text's start, if asked for; 0 where no window fits."""
+def _letters(texts: DataFrame, length: int) -> DataFrame:
+    """(pos, s0, s1) of every place of the texts and their ends, two hashes of its window, 0 where none fits, and the text's start."""
     from .suffix_dedup import gram_hashes
 
-    names = "pos s0 s1 s2" + " w1 w2 start" * windows
+    names = "pos s0 s1 w1 w2 start"
 
     def run(batches):
         for batch in batches:
-            for start, piece in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for start, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = np.frombuffer(piece, np.uint8)
                 n = len(data)
-                s = np.concatenate([data.astype(np.int64) + 1, [257 + start + n, 0, 0]])
-                columns = [start + np.arange(n + 1), s[:-2], s[1:-1], s[2:]]
-                if windows:
-                    w = np.zeros((2, n + 1), np.int64)
-                    if n >= length:
-                        w[0, : n - length + 1] = gram_hashes(data, length).view(np.int64)
-                        w[1, : n - length + 1] = gram_hashes(data ^ np.uint8(0x5A), length).view(np.int64)
-                    columns += [w[0], w[1], np.full(n + 1, start)]
-                yield _arrow(names, *columns)
-
-    return texts.select("start", "f1", "f2", "piece").mapInArrow(run, ", ".join(f"{c} long" for c in names.split()))
-
-
-def _named(places: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
-    """(pos, name, row) of the sampled places, by triples in order; what is staged for it; whether all names differ."""
-    triple = ["s0", "s1", "s2"]
+                s = np.concatenate([data.astype(np.int64) + 1, [-1 - start - n, 0]])
+                w = np.zeros((2, n + 1), np.int64)
+                if n >= length:
+                    w[0, : n - length + 1] = gram_hashes(data, length).view(np.int64)
+                    w[1, : n - length + 1] = gram_hashes(data ^ np.uint8(0x5A), length).view(np.int64)
+                yield _arrow(names, start + np.arange(n + 1), s[:-1], s[1:], w[0], w[1], np.full(n + 1, start))
+
+    return texts.select("start", "piece").mapInArrow(run, ", ".join(f"{c} long" for c in names.split()))
+
+
+def _named(places: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame, bool]:
+    """(pos, name, row) of the sampled places, by the columns ``key`` in order; what is staged for it; whether all names differ."""
     parts = shuffle_partitions(places.sparkSession)
-    ordered = places.where("pos % 3 <> 0").select("pos", *triple).repartitionByRange(parts, *triple, "pos").sortWithinPartitions(*triple, "pos")
-    names = "pos part name row a0 a1 a2 b0 b1 b2"
+    ordered = places.where("pos % 3 <> 0").select("pos", *key).repartitionByRange(parts, *key, "pos").sortWithinPartitions(*key, "pos")
+    names = "pos part name row first last"
 
     def run(batches):
         part, name, row = TaskContext.get().partitionId(), 0, 0
         first = last = None
         for batch in batches:
-            pos, *t = (c.to_numpy() for c in batch.columns)
+            pos, *columns = batch.columns
             n = len(pos)
             if not n:
                 continue
-            new = np.ones(n, bool)
-            new[1:] = (t[0][1:] != t[0][:-1]) | (t[1][1:] != t[1][:-1]) | (t[2][1:] != t[2][:-1])
-            head, tail = tuple(int(x[0]) for x in t), tuple(int(x[-1]) for x in t)
+            new = np.zeros(n, bool)
+            for c in columns:
+                new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+            head, tail = (repr([c[k].as_py() for c in columns]) for k in (0, n - 1))
             new[0] = head != last
             first, last = first or head, tail
-            none = np.zeros(n, np.int64)
-            yield _arrow(names, pos, none + part, name + np.cumsum(new), row + np.arange(n), *[none] * 6)
+            none = pa.nulls(n, pa.string())
+            yield _arrow(names, pos, np.full(n, part), name + np.cumsum(new), row + np.arange(n), none, none)
             name, row = name + int(new.sum()), row + n
-        if first:  # one row for the partition: how many names and rows, its first and its last triple
-            yield _arrow(names, *(np.array([x], np.int64) for x in (-1, part, name, row, *first, *last)))
+        if first:  # one row for the partition: how many names and rows, its first and its last key
+            yield _arrow(names, *(np.array([x], np.int64) for x in (-1, part, name, row)), pa.array([first]), pa.array([last]))
 
-    found = stage(ordered.mapInArrow(run, ", ".join(f"{c} long" for c in names.split())), "suffixes-names")
+    found = stage(ordered.mapInArrow(run, "pos long, part long, name long, row long, first string, last string"), "suffixes-names")
     bases, name, row, last = {}, 0, 0, None
     for r in found.where("pos < 0").orderBy("part").collect():  # a row for each partition
-        same = (r["a0"], r["a1"], r["a2"]) == last
+        same = r["first"] == last
         bases[r["part"]] = (name - same, row)
-        name, row, last = name - same + r["name"], row + r["row"], (r["b0"], r["b1"], r["b2"])
+        name, row, last = name - same + r["name"], row + r["row"], r["last"]
     return _shifted(found.where("pos >= 0").select("pos", "part", "name", "row"), bases, "part", ["name", "row"]).drop("part"), found, name == row
 
 
@@ -192,23 +210,24 @@ def _ranked_here(string: DataFrame) -> DataFrame:
     return string.select(F.lit(0).alias("all"), "pos", "s0").groupBy("all").applyInArrow(run, "pos long, rank long")
 
 
-def _ranked(places: DataFrame, depth: int) -> tuple[DataFrame, list[DataFrame]]:
-    """(pos, rank) of the sampled places, ranks from 1; and what is staged for it."""
-    named, found, unique = _named(places)
+def _ranked(places: DataFrame, key: list[str], width: int, depth: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(pos, rank) of the sampled places, ranks from 1; and what is staged for it. ``key``: columns that hold the next ``width`` symbols."""
+    named, found, unique = _named(places, key)
     if unique or depth == 0:
         return named.select("pos", (F.col("row") + 1).alias("rank")), [found]
-    half = named.agg(F.max("pos")).first()[0] // 3 + 4
-    to = F.floor(F.col("pos") / 3) + F.when(F.col("pos") % 3 == 2, half).otherwise(0)
+    # names of places that are ``width`` apart stand one behind the other: a chain for each sampled residue modulo ``width``
+    chain = found.agg(F.max("pos")).first()[0] // width + 4
+    to = F.expr(f"(pos % {width} div 3 * 2 + pos % 3 - 1) * {chain} + pos div {width}")
     at = F.array(*[F.struct((to - k).alias("pos"), *[(F.col("name") if j == k else F.lit(None).cast("long")).alias(f"s{j}") for j in range(3)]) for k in range(3)])
     shorter = named.select(F.explode(at).alias("x")).select("x.*").groupBy("pos").agg(F.max("s0").alias("s0"), *[F.coalesce(F.max(f"s{j}"), F.lit(0)).alias(f"s{j}") for j in (1, 2)])
     shorter = stage(shorter.where("s0 IS NOT NULL"), "suffixes-string")
     drop_staged(found)
-    back = F.when(F.col("pos") < half, 3 * F.col("pos") + 1).otherwise(3 * (F.col("pos") - half) + 2)
+    back = F.expr(f"pos % {chain} * {width} + pos div {chain} div 2 * 3 + pos div {chain} % 2 + 1")
     if shorter.count() <= BUCKET:
         ranks = stage(_ranked_here(shorter), "suffixes-ranks")
         drop_staged(shorter)
         return ranks.select(back.alias("pos"), "rank"), [ranks]
-    ranks, used = _ranked(shorter, depth - 1)
+    ranks, used = _ranked(shorter, ["s0", "s1", "s2"], 3, depth - 1)
     dealt = _bucketed(shorter, ranks, ())
 
     def run(table: pa.Table) -> pa.Table:
@@ -231,11 +250,11 @@ def repeated(pieces: DataFrame, length: int) -> DataFrame:
     if pieces.isEmpty():
         return pieces.sparkSession.createDataFrame([], kind)
     texts = placed(pieces)
-    depth = 0
-    while 3 ** (depth + 1) < length:
+    width, depth = min(HEAD, 3 * -(-length // 9)), 0
+    while width * 3**depth < length:
         depth += 1
-    ranks, used = _ranked(_letters(texts, length, False), depth)
-    dealt = _bucketed(_letters(texts, length, True), ranks, ("w1", "w2", "start"))
+    ranks, used = _ranked(_heads(texts, width), ["head", "end"], width, depth)
+    dealt = _bucketed(_letters(texts, length), ranks, ("w1", "w2", "start"))
     names = "start pos bucket edge w1 w2"
 
     def run(table: pa.Table) -> pa.Table:
