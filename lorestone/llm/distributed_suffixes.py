@@ -1,8 +1,8 @@
 """The difference-cover algorithm over tables: suffixes of texts of any total size in order, and the windows that neighbours share.
 
 Positions that are 1 or 2 modulo 3 are sampled. The bytes at each, HEAD at most, are sorted by a range shuffle and named by prefix sums over the partitions;
-if names repeat, the string of names is ordered the same way by triples of names, in one task once it fits a bucket. HEAD is a multiple of 3, so that places a head apart are
-sampled alike; two rounds of jobs reach LENGTH, where triples of bytes would need five. Then all positions are merged: splitters, taken from the sampled order, deal every suffix to a
+if names repeat, the string of names is ordered the same way by triples of names, in one task once it fits a bucket, and whole by one sort once its triples reach LENGTH.
+HEAD is a multiple of 3, so that places a head apart are sampled alike; two rounds of jobs reach LENGTH, where triples of bytes would need five. Then all positions are merged: splitters, taken from the sampled order, deal every suffix to a
 bucket by the comparisons that the cover allows, buckets are merged in memory, and neighbours are compared across their ends too. Every text ends in a symbol of its
 own, which is less than all bytes. Only prefixes of LENGTH bytes must come together, so the recursion ends when names stand for that many; ties there are broken by position.
 """
@@ -100,9 +100,9 @@ def _letters(texts: DataFrame, length: int) -> DataFrame:
 
 
 def _named(places: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame, bool]:
-    """(pos, name, row) of the sampled places, by the columns ``key`` in order; what is staged for it; whether all names differ."""
+    """(pos, name, row) of the places, by the columns ``key`` in order; what is staged for it; whether all names differ."""
     parts = shuffle_partitions(places.sparkSession)
-    ordered = places.where("pos % 3 <> 0").select("pos", *key).repartitionByRange(parts, *key, "pos").sortWithinPartitions(*key, "pos")
+    ordered = places.select("pos", *key).repartitionByRange(parts, *key, "pos").sortWithinPartitions(*key, "pos")
     names = "pos part name row first last"
 
     def run(batches):
@@ -212,7 +212,7 @@ def _ranked_here(string: DataFrame) -> DataFrame:
 
 def _ranked(places: DataFrame, key: list[str], width: int, depth: int) -> tuple[DataFrame, list[DataFrame]]:
     """(pos, rank) of the sampled places, ranks from 1; and what is staged for it. ``key``: columns that hold the next ``width`` symbols."""
-    named, found, unique = _named(places, key)
+    named, found, unique = _named(places.where("pos % 3 <> 0"), key)
     if unique or depth == 0:
         return named.select("pos", (F.col("row") + 1).alias("rank")), [found]
     # names of places that are ``width`` apart stand one behind the other: a chain for each sampled residue modulo ``width``
@@ -227,7 +227,12 @@ def _ranked(places: DataFrame, key: list[str], width: int, depth: int) -> tuple[
         ranks = stage(_ranked_here(shorter), "suffixes-ranks")
         drop_staged(shorter)
         return ranks.select(back.alias("pos"), "rank"), [ranks]
-    ranks, used = _ranked(shorter, ["s0", "s1", "s2"], 3, depth - 1)
+    triple = ["s0", "s1", "s2"]
+    if depth == 1:  # triples reach as far as is asked for: their order is that of all places, sampled or not
+        named, found, _ = _named(shorter, triple)
+        drop_staged(shorter)
+        return named.select(back.alias("pos"), (F.col("row") + 1).alias("rank")), [found]
+    ranks, used = _ranked(shorter, triple, 3, depth - 1)
     dealt = _bucketed(shorter, ranks, ())
 
     def run(table: pa.Table) -> pa.Table:

@@ -877,20 +877,21 @@ def test_distributed_difference_cover(spark, monkeypatch, length, bucket, alphab
     assert distributed_suffixes.repeated(spark.createDataFrame([], "f1 long, f2 long, piece binary"), length).count() == 0
 
 
-def test_distributed_names_take_two_rounds(spark, monkeypatch):
-    """Places are named by up to 69 bytes, then by three names, in two rounds of jobs and not in five; passages a byte too short, zeros and pieces that end in others do not mislead them."""
+@pytest.mark.parametrize(("length", "rounds", "merges"), [(200, 2, 0), (700, 4, 2)])
+def test_distributed_names_take_few_rounds(spark, monkeypatch, length, rounds, merges):
+    """Places are named by up to 69 bytes, then by three names, for 200 bytes in two rounds of jobs and not in five; passages a byte too short, zeros and pieces that end in others do not mislead them."""
     monkeypatch.setattr(distributed_suffixes, "BUCKET", 300)
     staged, one = [], distributed_suffixes.stage
     monkeypatch.setattr(distributed_suffixes, "stage", lambda df, name: staged.append(name) or one(df, name))
     r = random.Random(69)
     letters, base = bytes([0, 1, 127, 128, 255]), bytes(r.choices(range(256), k=900))
-    pieces = [bytes(r.choices(letters, k=r.randint(0, 9))) + base[(a := r.randint(0, 600)) : a + n] + bytes(r.choices(letters, k=r.randint(0, 9))) for n in (68, 69, 70, 137, 138, 139, 199, 200, 201, 206, 207, 208) for _ in range(3)]
-    pieces += [base[:400], base[:400] + b"\0", base[:399], base[100:400], b"\0" * 250, b"\0" * 201, b"\0" * 199, b"\0" * 300 + b"\1"]
+    pieces = [bytes(r.choices(letters, k=r.randint(0, 9))) + base[(a := r.randint(0, 190)) : a + n] + bytes(r.choices(letters, k=r.randint(0, 9))) for n in (68, 69, 70, 137, 138, 139, 206, 207, 208, length - 1, length, length + 1) for _ in range(3)]
+    pieces += [base[:800], base[:800] + b"\0", base[:799], base[50:800], b"\0" * (length + 50), b"\0" * (length + 1), b"\0" * (length - 1), b"\0" * (length + 100) + b"\1"]
     rows = [(i, i * 7, bytearray(p)) for i, p in enumerate(pieces)]
-    got = {(x["f1"], k) for x in distributed_suffixes.repeated(spark.createDataFrame(rows, "f1 long, f2 long, piece binary").repartition(3), 200).collect() for k in range(x["lo"], x["hi"])}
-    count = collections.Counter(p[k : k + 200] for p in pieces for k in range(len(p) - 199))
-    assert got == {(i, k) for i, p in enumerate(pieces) for k in range(len(p) - 199) if count[p[k : k + 200]] > 1}
-    assert staged.count("suffixes-names") == 2 and staged.count("suffixes-merged") == 1
+    got = {(x["f1"], k) for x in distributed_suffixes.repeated(spark.createDataFrame(rows, "f1 long, f2 long, piece binary").repartition(3), length).collect() for k in range(x["lo"], x["hi"])}
+    count = collections.Counter(p[k : k + length] for p in pieces for k in range(len(p) - length + 1))
+    assert got == {(i, k) for i, p in enumerate(pieces) for k in range(len(p) - length + 1) if count[p[k : k + length]] > 1}
+    assert (staged.count("suffixes-names"), staged.count("suffixes-merged")) == (rounds, merges)
 
 
 def test_a_line_in_many_contexts(spark, monkeypatch):
