@@ -313,7 +313,9 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # rows that repeat an id and a text have the same segments twice; they are kept once here and counted below
     kept = named.join(shared, "name").groupBy("d", "h").agg(F.collect_set(F.struct("name", "lo", "hi", "again")).alias("parts"))  # of one document
     kept = stage(kept, "repeats-shared")
+    drop_staged(named)
     cut = stage(_cut(plain.join(kept, ["d", "h"]), length), "repeats-segments")
+    drop_staged(kept)
     groups = cut.groupBy("name", "f1", "f2").agg(F.count(F.lit(1)).alias("times"), F.first("piece").alias("piece"), F.first("n").alias("n"), F.max("again").alias("again"))
     groups = stage(groups, "repeats-groups")
     few, many, sizes = _split(groups)
@@ -329,7 +331,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hits = cut.select("d", "h", "f1", "f2", F.col("lo").alias("at")).join(found, ["f1", "f2"]).select("d", "h", (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi"))
     spans = _merged(hits.groupBy("d", "h").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), length)  # of one document
     spans = stage(spans.withColumnsRenamed({"d": d_col, "h": h_col}), "repeats-spans")
-    drop_staged(named, kept, cut, groups, *used)
+    drop_staged(cut, groups, *used)
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     return keyed.join(spans, [d_col, h_col], "left").select(*docs.columns, F.coalesce("spans", none).alias("spans"))
 
